@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces
+from . import fingerprints, pieces, quality, secrets
 from .common import table
 
 #: Where the vocabulary files are; a parameter of the operators that need one.
@@ -15,5 +15,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
-QUERIES: dict = {f.__name__: f for f in (op1_sentencepiece,)}
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict = {f.__name__: f for f in (op1_sentencepiece, op4_secret_scans, op7_quality_rules, op8_fingerprints)}
 ORACLE: dict[str, str] = {}
