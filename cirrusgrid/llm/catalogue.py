@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, pieces, quality, secrets
+from . import fingerprints, packing, pieces, quality, secrets, toxicity
 from .common import table
 
 #: Where the vocabulary files are; a parameter of the operators that need one.
@@ -27,5 +27,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict = {f.__name__: f for f in (op1_sentencepiece, op4_secret_scans, op7_quality_rules, op8_fingerprints)}
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict = {f.__name__: f for f in (op1_sentencepiece, op4_secret_scans, op6_best_fit_packing, op7_quality_rules, op8_fingerprints, op10_toxicity)}
 ORACLE: dict[str, str] = {}
