@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, packing, pieces, quality, secrets, toxicity
+from . import archives, fingerprints, packing, pieces, quality, secrets, toxicity
 from .common import table
 
 #: Where the vocabulary files are; a parameter of the operators that need one.
@@ -15,6 +15,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict = {f.__name__: f for f in (op1_sentencepiece, op4_secret_scans, op6_best_fit_packing, op7_quality_rules, op8_fingerprints, op10_toxicity)}
+QUERIES: dict = {f.__name__: f for f in (op1_sentencepiece, op3_warc, op4_secret_scans, op6_best_fit_packing, op7_quality_rules, op8_fingerprints, op10_toxicity)}
 ORACLE: dict[str, str] = {}
