@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, fingerprints, packing, pieces, quality, secrets, toxicity
+from . import archives, fingerprints, jaccard, packing, pieces, quality, secrets, toxicity
 from .common import table
 
 #: Where the vocabulary files are; a parameter of the operators that need one.
@@ -35,9 +35,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict = {f.__name__: f for f in (op1_sentencepiece, op3_warc, op4_secret_scans, op6_best_fit_packing, op7_quality_rules, op8_fingerprints, op10_toxicity)}
+QUERIES: dict = {f.__name__: f for f in (op1_sentencepiece, op3_warc, op4_secret_scans, op6_best_fit_packing, op7_quality_rules, op8_fingerprints, op9_jaccard_join, op10_toxicity)}
 ORACLE: dict[str, str] = {}
