@@ -103,17 +103,20 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
 
     The texts are shuffled once by id; only as much of each as the document before it needs is shuffled again.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = with_sketch(base, "text", "sketch", k)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     order = keep(next_ids(docs, id_col, text_col), "next-ids")
     before = order.select(F.col("next_id").alias("id"), F.col("id").alias("to"), F.floor(F.col("n") / 2).cast("int").alias("need"))
+    # Both sides of the second join read the same exchange of the texts; sketches are made beyond it, as they would widen it.
+    placed = rows.where("id is not null").join(before.hint("merge"), "id")
     first = F.row_number().over(Window.partitionBy("id").orderBy("text"))
-    sent = base.join(before.hint("merge"), "id").withColumn("_first", first).where("_first = 1")
-    sent = sent.select(F.col("to").alias("id"), F.substring("text", F.lit(1), F.col("need")).alias("start"), F.col("sketch").alias("next_sketch"))
-    both = base.join(sent.hint("merge"), "id", "left")
+    sent = with_sketch(placed.withColumn("_first", first).where("_first = 1"), "text", "next_sketch", k)
+    sent = sent.select(F.col("to").alias("id"), F.substring("text", F.lit(1), F.col("need")).alias("start"), "next_sketch")
+    both = placed.select("id", "text").join(sent.hint("merge"), "id")
+    nameless = rows.where("id is null").withColumns({"start": F.lit(""), "next_sketch": F.lit(None).cast("array<bigint>")})
+    both = with_sketch(both.unionByName(nameless), "text", "sketch", k)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("start", F.lit("")), F.lit(1), half)))
+    both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("start", F.lit(1), half)))
     both = with_sketch(both, "edited", "edited_sketch", k)
     return both.select(
         F.col("id").alias(id_col),
