@@ -478,3 +478,115 @@ def _shifts(azimuth: float) -> str:
 @query(f"SELECT f.row_, f.col_, round(greatest(max((coalesce(g.elev,0)/50-coalesce(f.elev,0)/50)/dist),0),6) AS horizon FROM v_dtmf f CROSS JOIN (VALUES {_shifts(225)}) AS o(dr,dc,dist) LEFT JOIN v_dtmf g ON g.row_=f.row_+dr AND g.col_=f.col_+dc GROUP BY f.row_, f.col_")
 def horizon_direction(load):
     return rounded(grid.horizon(load("v_dtmf"), "row_", "col_", "elev", 225, 50), ["row_", "col_"], horizon=F.col("horizon"))
+
+
+def _offset_values(moves) -> str:
+    return ", ".join("(" + ",".join(map(str, m)) + ")" for m in moves)
+
+
+SKY = " UNION ALL ".join(f"SELECT f.row_, f.col_, greatest(max((coalesce(g.elev,0)/50-coalesce(f.elev,0)/50)/dist),0) AS hz FROM v_dtmf f CROSS JOIN (VALUES {_shifts(360 / 8 * k)}) AS o(dr,dc,dist) LEFT JOIN v_dtmf g ON g.row_=f.row_+dr AND g.col_=f.col_+dc GROUP BY f.row_, f.col_" for k in range(8))
+
+
+@query(f"SELECT row_, col_, round(0.5*cos(2*tan(avg(atan(hz))))+0.5,6) AS skyview FROM ({SKY}) GROUP BY row_, col_")
+def sky_view(load):
+    from .operators import terrain
+
+    return rounded(terrain.sky_view(load("v_dtmf"), "row_", "col_", "elev", 50, 8), ["row_", "col_"], skyview=F.col("skyview"))
+
+
+@query(f"SELECT row_, col_, round(1-atan(17*greatest(max(CASE WHEN s>=1.0/50/dist THEN s ELSE 0 END),0))/1.65,6) AS shelter FROM (SELECT f.row_, f.col_, dist, (coalesce(g.elev,0)/50-coalesce(f.elev,0)/50)/dist AS s FROM v_dtmf f CROSS JOIN (VALUES {_shifts(270)}) AS o(dr,dc,dist) LEFT JOIN v_dtmf g ON g.row_=f.row_+dr AND g.col_=f.col_+dc) GROUP BY row_, col_")
+def wind_shelter(load):
+    from .operators import terrain
+
+    return rounded(terrain.shelter(load("v_dtmf"), "row_", "col_", "elev", 270, 50), ["row_", "col_"], shelter=F.col("shelter"))
+
+
+def _ray(direction: float, far: int) -> str:
+    import math
+
+    a, out, k = math.radians(direction), [], 8
+    while (d := (k / 8) ** 2) <= far:
+        out.append((round(-math.cos(a) * d), round(math.sin(a) * d)))
+        k += 1
+    return _offset_values(out)
+
+
+@query(f"SELECT f.row_, f.col_, round((1.0+coalesce(sum(CASE WHEN g.row_ IS NULL THEN NULL WHEN g.elev IS NULL THEN 0 ELSE 1 END),0))/(1+count(g.row_)),6) AS exposure FROM v_dtmf f CROSS JOIN (VALUES {_ray(225, 20)}) AS o(dr,dc) LEFT JOIN v_dtmf g ON g.row_=f.row_+dr AND g.col_=f.col_+dc WHERE f.elev IS NOT NULL GROUP BY f.row_, f.col_")
+def coastal_exposure(load):
+    from .operators import terrain
+
+    return rounded(terrain.coastal_exposure(load("v_dtmf"), "row_", "col_", "elev", 225, 20), ["row_", "col_"], exposure=F.col("exposure"))
+
+
+@query("-- with\na AS (SELECT cell, CAST(floor(winddir/45) AS INT)%8 AS dir, avg(windspeed) AS w FROM v_coarse GROUP BY 1, 2) SELECT a.cell, a.dir, round(0.25*p.w+0.5*a.w+0.25*n.w,6) AS smooth FROM a LEFT JOIN a p ON p.cell=a.cell AND p.dir=(a.dir+7)%8 LEFT JOIN a n ON n.cell=a.cell AND n.dir=(a.dir+1)%8")
+def direction_smooth(load):
+    df = load("v_coarse").groupBy("cell", (F.floor(F.col("winddir") / 45).cast("int") % 8).alias("dir")).agg(F.avg("windspeed").alias("w"))
+    return rounded(grid.direction_smooth(df, ["cell"], "dir", "w", 8), ["cell", "dir"], smooth=F.col("smooth"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY x, y) AS INT) AS tile_id, x*9000.0::DOUBLE AS xmin, CASE WHEN x=1 THEN 22000.0::DOUBLE ELSE 10000.0::DOUBLE END AS xmax, y*9000.0::DOUBLE AS ymin, CASE WHEN y=1 THEN 20000.0::DOUBLE ELSE 10000.0::DOUBLE END AS ymax FROM (VALUES (0),(1)) AS a(x), (VALUES (0),(1)) AS b(y)")
+def tiles(load):
+    return grid.tiles(load("region").sparkSession, 0, 22000, 0, 20000, 10000, 1000)
+
+
+@query("-- with\na AS (SELECT row_, col_, elev AS va FROM v_dtmf WHERE col_<=24), b AS (SELECT row_, col_, elev+10 AS vb FROM v_dtmf WHERE col_>=17), j AS (SELECT coalesce(a.row_,b.row_) AS row_, coalesce(a.col_,b.col_) AS col_, va, vb FROM a FULL JOIN b ON a.row_=b.row_ AND a.col_=b.col_), "
+       "s AS (SELECT min(col_) AS lo, max(col_) AS hi FROM j WHERE va IS NOT NULL AND vb IS NOT NULL) SELECT row_, col_, round(coalesce(va*(1-(col_-lo)/nullif((hi-lo)*1.0,0))+vb*(col_-lo)/nullif((hi-lo)*1.0,0),va,vb),6) AS elev FROM j, s")
+def blend_tiles(load):
+    f = load("v_dtmf").select("row_", "col_", "elev")
+    a, b = f.where("col_ <= 24"), f.where("col_ >= 17").withColumn("elev", F.col("elev") + 10)
+    return rounded(grid.blend_pair(a, b, ["row_", "col_"], "elev", "col_"), ["row_", "col_"], elev=F.col("elev"))
+
+
+@query(None)
+def basins(load):
+    """Watersheds of the fine grid."""
+    from .operators import terrain
+
+    return terrain.basins(load("v_dtmf").withColumn("tile", F.lit(1)), "tile", "row_", "col_", "elev")
+
+
+@query(None)
+def cold_air_potential(load):
+    """Flow accumulation over basin size, times the depth below the basin's top."""
+    from .operators import terrain
+
+    return terrain.cold_air_potential(load("v_dtmf").withColumn("tile", F.lit(1)), "tile", "row_", "col_", "elev")
+
+
+def dailies(load) -> DataFrame:
+    """All daily variables for the sites that v_day and v_coarse share, v_coarse's by day of the year."""
+    c = load("v_coarse").where("year(d) = 1996").select("cell", F.dayofyear("d").alias("doy"), "relhum", "pres", "windspeed", "winddir", "prec")
+    v = load("v_day").select("cell", "row_", "col_", "d", "tmin", "tmax", F.dayofyear("d").alias("doy"))
+    return v.join(c, ["cell", "doy"]).drop("doy").withColumns({"swrad": 40 + F.col("tmax") * 2, "lwrad": 280 + F.col("tmin")})
+
+
+@query(None)
+def temporal_downscale(load):
+    """Every variable of daily weather by the hour."""
+    from .plans import downscale
+
+    return rounded_all(downscale.to_hourly(dailies(load), ["cell", "row_", "col_"], "d", lat, lon))
+
+
+def rounded_all(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def coarse_weather(load) -> DataFrame:
+    w = load("v_coarse").where("year(d) = 1996 and month(d) = 5")
+    return w.select("row_", "col_", "d", (5 + F.col("windspeed")).alias("temp"), "relhum", "pres", (280 + F.col("windspeed")).alias("lwrad"), "windspeed", "winddir")
+
+
+S_LR = f"9.8076*(1+2501000*rv/(287*(temp+273.15)))/(1003.5+0.622*2501000.0*2501000.0*rv/(287*(temp+273.15)*(temp+273.15)))"
+
+
+@query(f"-- with\nw AS (SELECT c.row_, c.col_, d, 5+windspeed AS temp, relhum, pres, 280+windspeed AS lwrad, windspeed, winddir, elev AS zc, {s_satvap('(5+windspeed)')}*relhum/100 AS ea FROM v_coarse c JOIN v_dtmc m ON c.cell=m.cell WHERE year(d)=1996 AND month(d)=5), "
+       f"x AS (SELECT *, {S_LR} AS lr FROM (SELECT *, 0.622*ea/(pres-ea) AS rv FROM w)), y AS (SELECT row_, col_, d, lr, temp+lr*coalesce(zc,0) AS t0, pres/power((293-0.0065*coalesce(zc,0))/293,5.26) AS p0, ea, lwrad, 5.67e-8*0.97*power(temp+273.15,4) AS up, -windspeed*sin(radians(winddir)) AS u, -windspeed*cos(radians(winddir)) AS v FROM x), "
+       "g AS (SELECT row_, col_, elev, r0+a AS r, c0+b AS c, (CASE WHEN a=0 THEN 1-(yy-r0) ELSE yy-r0 END)*(CASE WHEN b=0 THEN 1-(xx-c0) ELSE xx-c0 END) AS wt FROM (SELECT *, CAST(floor(yy) AS INT) AS r0, CAST(floor(xx) AS INT) AS c0 FROM (SELECT row_, col_, elev, (row_-0.5)/5+0.5 AS yy, (col_-0.5)/4+0.5 AS xx FROM v_dtmf WHERE elev IS NOT NULL)), unnest([0,1]) AS p(a), unnest([0,1]) AS q(b)), "
+       "k AS (SELECT g.row_, g.col_, d, elev, " + ", ".join(f"sum(wt*{n})/nullif(sum(wt),0) AS {n}" for n in ("lr", "t0", "p0", "ea", "lwrad", "up", "u", "v")) + " FROM g JOIN y ON g.r=y.row_ AND g.c=y.col_ GROUP BY g.row_, g.col_, d, elev), l AS (SELECT *, t0-lr*elev AS temp FROM k) "
+       f"SELECT row_, col_, d, round(temp,4) AS temp, round(greatest(20.0,least(100.0,ea/{s_satvap('temp')}*100)),4) AS relhum, round(p0*power((293-0.0065*elev)/293,5.26),4) AS pres, round(lwrad+5.67e-8*0.97*power(temp+273.15,4)-up,4) AS lwrad, round(sqrt(u*u+v*v),4) AS windspeed FROM l")
+def spatial_downscale(load):
+    from .plans import downscale
+
+    fine = downscale.to_fine(coarse_weather(load), load("v_dtmc"), load("v_dtmf"), "row_", "col_", "d", 5, 4)
+    return rounded_all(fine.drop("winddir"))

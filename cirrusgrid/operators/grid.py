@@ -138,3 +138,12 @@ def horizon(df: DataFrame, row: str, col: str, value: str, azimuth: float, res:
     seen = asked.join(sent, ["_r", "_c"], "left")
     slope = (F.coalesce("far", F.lit(0.0)) - F.col("z")) / F.col("dist")
     return seen.groupBy(row, col).agg(F.greatest(F.max(slope), F.lit(0.0)).alias("horizon"))
+
+
+def direction_smooth(df: DataFrame, cell: Sequence[str], direction: str, value: str, n: int) -> DataFrame:
+    """A quarter of either neighbour and half of itself, around the circle of n directions from 0; a missing neighbour gives null."""
+    whole = df.groupBy(*cell).agg(F.map_from_entries(F.collect_list(F.struct(direction, value))).alias("_m"))  # n entries a cell
+    at = lambda k: F.try_element_at("_m", F.pmod(k, F.lit(n)).cast("int"))
+    d = F.col(direction)
+    smooth = 0.25 * at(d - 1) + 0.5 * F.col(value) + 0.25 * at(d + 1)
+    return df.join(whole, list(cell)).withColumn("smooth", smooth).drop("_m")
