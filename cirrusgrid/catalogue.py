@@ -56,16 +56,24 @@ def s_sh(jd: str, st: str, lat: str) -> str:
 
 # Sites have a latitude and longitude by their row and column.
 LAT, LON = "(48+row_*0.5)", "(-6+col_*0.5)"
-lat, lon = 48 + F.col("row_") * 0.5, -6 + F.col("col_") * 0.5
+def lat() -> Column:
+    return 48 + F.col("row_") * 0.5
+
+
+def lon() -> Column:
+    return -6 + F.col("col_") * 0.5
+
+
 SUN = f"SELECT cell, ts, tc, jd, lt, {LAT} AS lat, {LON} AS lon, {s_st('lt', LON, 'jd')} AS st FROM (SELECT *, {s_jd('ts')} AS jd, hour(ts)+minute(ts)/60.0 AS lt FROM v_obs)"
 SUNNY = f"-- with\ns AS ({SUN}), t AS (SELECT *, {s_sh('jd', 'st', 'lat')} AS sh, {s_dec('jd')} AS dec, 0.261799*(st-12) AS tt FROM s) "
 
 
 def sunny(load) -> DataFrame:
-    return load("v_obs").withColumns({"lat": lat, "lon": lon, "jd": solar.julian_day(F.col("ts")), "lt": F.hour("ts") + F.minute("ts") / 60.0})
+    return load("v_obs").withColumns({"lat": lat(), "lon": lon(), "jd": solar.julian_day(F.col("ts")), "lt": F.hour("ts") + F.minute("ts") / 60.0})
 
 
-ANGLES = [F.col(c) for c in ("jd", "lt", "lat", "lon")]
+def angles() -> list[Column]:
+    return [F.col(c) for c in ("jd", "lt", "lat", "lon")]
 
 
 @query("SELECT cell, CAST(ts AS DATE) AS d, round(min(tc),6) AS tmin, round(max(tc),6) AS tmax, round(avg(tc),6) AS tmean, round(sum(tc),4) AS tsum, count(*) AS n, "
@@ -241,19 +249,19 @@ def julian_day(load):
 @query(SUNNY + "SELECT cell, ts, round(st,6) AS st, round(degrees(atan2(sh,sqrt(greatest(0,1-sh*sh)))),6) AS alt, round(degrees(acos(greatest(-1,least(1,sh)))),5) AS zen FROM t")
 def solar_altitude(load):
     df = sunny(load)
-    return df.select("cell", "ts", F.round(solar.solar_time(F.col("lt"), F.col("lon"), F.col("jd")), 6).alias("st"), F.round(solar.altitude(*ANGLES), 6).alias("alt"), F.round(solar.zenith(*ANGLES), 5).alias("zen"))
+    return df.select("cell", "ts", F.round(solar.solar_time(F.col("lt"), F.col("lon"), F.col("jd")), 6).alias("st"), F.round(solar.altitude(*angles()), 6).alias("alt"), F.round(solar.zenith(*angles()), 5).alias("zen"))
 
 
 @query(SUNNY + "SELECT cell, ts, round(CASE WHEN c<0 AND s<0 THEN 180-az WHEN c<0 THEN 540-az ELSE az END,4) AS azi FROM (SELECT *, 180+degrees(atan2(s,sqrt(greatest(0,1-s*s)))) AS az FROM "
        "(SELECT cell, ts, cos(dec)*sin(tt)/sqrt(greatest(1e-300,1-sh*sh)) AS s, (sin(radians(lat))*cos(dec)*cos(tt)-cos(radians(lat))*sin(dec))/sqrt(power(cos(dec)*sin(tt),2)+power(sin(radians(lat))*cos(dec)*cos(tt)-cos(radians(lat))*sin(dec),2)) AS c FROM t))")
 def solar_azimuth(load):
-    return rounded(sunny(load), ["cell", "ts"], 4, azi=solar.azimuth(*ANGLES))
+    return rounded(sunny(load), ["cell", "ts"], 4, azi=solar.azimuth(*angles()))
 
 
 @query("SELECT cell, d, round(CASE WHEN hc<-1 THEN 24 WHEN hc>1 THEN 0 ELSE 8*degrees(acos(greatest(-1,least(1,hc))))/60 END,6) AS dl FROM (SELECT cell, d, -0.01453808/(cos(p)*cos(dec))-tan(p)*tan(dec) AS hc FROM "
        f"(SELECT cell, d, radians({LAT}) AS p, {s_dec(s_jd('d'))} AS dec FROM v_day))")
 def day_length(load):
-    return rounded(load("v_day"), ["cell", "d"], dl=solar.day_length(solar.julian_day(F.col("d")), lat))
+    return rounded(load("v_day"), ["cell", "d"], dl=solar.day_length(solar.julian_day(F.col("d")), lat()))
 
 
 CLEAR = ("(CASE WHEN sh>0 THEN 1352.778*s*(1.021-0.084*sqrt(m*(0.00949*101.3+0.051)))*(1-0.077*power(exp(0.1133-ln(3.78)+0.0393*(237.3*xx/(17.27-xx)))*m,0.3))*power(0.935,m) ELSE 0 END)")
@@ -262,13 +270,13 @@ CLEARLY = SUNNY + f", c AS (SELECT *, {CLEAR} AS cs FROM (SELECT *, 35*s/sqrt(12
 
 @query(CLEARLY + "SELECT cell, ts, round(cs,4) AS cs FROM c")
 def clearsky_hourly(load):
-    return rounded(sunny(load), ["cell", "ts"], 4, cs=solar.clear_sky(*ANGLES))
+    return rounded(sunny(load), ["cell", "ts"], 4, cs=solar.clear_sky(*angles()))
 
 
 @query(CLEARLY.replace(SUN, f"SELECT cell, d, jd, lt, {LAT} AS lat, {LON} AS lon, {s_st('lt', LON, 'jd')} AS st FROM (SELECT *, {s_jd('d')} AS jd, h*1.0 AS lt FROM v_day, unnest(range(24)) AS u(h))") + "SELECT cell, d, round(avg(cs),4) AS cs FROM c GROUP BY cell, d")
 def clearsky_daily(load):
-    df = temporal.hours(load("v_day")).withColumns({"lat": lat, "lon": lon, "jd": solar.julian_day(F.col("d")), "lt": F.col("h") * 1.0})
-    return df.groupBy("cell", "d").agg(F.round(F.avg(solar.clear_sky(*ANGLES)), 4).alias("cs"))
+    df = temporal.hours(load("v_day")).withColumns({"lat": lat(), "lon": lon(), "jd": solar.julian_day(F.col("d")), "lt": F.col("h") * 1.0})
+    return df.groupBy("cell", "d").agg(F.round(F.avg(solar.clear_sky(*angles())), 4).alias("cs"))
 
 
 DIFFUSE = (SUNNY + ", a AS (SELECT cell, ts, 120+10*tc AS sw, sh, CASE WHEN 120+10*tc>0 AND sh>1e-6 THEN sh END AS si FROM t), b AS (SELECT *, degrees(acos(greatest(-1,least(1,si)))) AS zd FROM a), "
@@ -282,7 +290,7 @@ DIFFUSE = (SUNNY + ", a AS (SELECT cell, ts, 120+10*tc AS sw, sh, CASE WHEN 120+
 
 @query(DIFFUSE)
 def diffuse_fraction(load):
-    return rounded(sunny(load), ["cell", "ts"], 5, dif=solar.diffuse_fraction(120 + 10 * F.col("tc"), *ANGLES))
+    return rounded(sunny(load), ["cell", "ts"], 5, dif=solar.diffuse_fraction(120 + 10 * F.col("tc"), *angles()))
 
 
 @query("SELECT cell, ts, round(sqrt((power(tc-coalesce(lag(tc) OVER w,tc),2)+power(tc-coalesce(lead(tc) OVER w,tc),2))/2),6) AS v FROM v_obs WINDOW w AS (PARTITION BY cell ORDER BY ts)")
@@ -311,7 +319,7 @@ def blend_temperature(load):
 @query(None)
 def temperature_hourly(load):
     """Hourly temperatures; each day's extremes are the daily ones."""
-    return rounded(temporal.hourly_temperature(load("v_day"), ["cell"], "d", lat, lon), ["cell", "d", "h"], temp=F.col("temp"))
+    return rounded(temporal.hourly_temperature(load("v_day"), ["cell"], "d", lat(), lon()), ["cell", "d", "h"], temp=F.col("temp"))
 
 
 @query("SELECT CAST(floor((row_-1)/5) AS INT)+1 AS row_, CAST(floor((col_-1)/4) AS INT)+1 AS col_, round(avg(elev),6) AS elev FROM v_dtmf GROUP BY 1, 2")
@@ -344,9 +352,9 @@ def fill_gaps(load):
     return rounded(grid.fill_gaps(load("v_dtmf"), "row_", "col_", "elev"), ["row_", "col_"], filled=F.col("filled"))
 
 
-def _time_stats(name: str, key: Column, key_sql: str) -> None:
+def _time_stats(name: str, key: Callable[[], Column], key_sql: str) -> None:
     def run(spark, d):
-        per = view(spark, d, "v_coarse").withColumn("k", key.cast("int")).groupBy("cell", "k").agg(F.avg("prec").alias("v"))
+        per = view(spark, d, "v_coarse").withColumn("k", key().cast("int")).groupBy("cell", "k").agg(F.avg("prec").alias("v"))
         return per.groupBy("k").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.max("v"), 6).alias("most"), F.round(F.min("v"), 6).alias("least"))
 
     QUERIES[f"time_stats_{name}"] = run
@@ -354,8 +362,9 @@ def _time_stats(name: str, key: Column, key_sql: str) -> None:
 
 
 for _n, _k, _s in (
-    ("year", F.year("d"), "year(d)"), ("month", F.month("d"), "month(d)"), ("week", F.weekofyear("d"), "weekofyear(d)"), ("doy", F.dayofyear("d"), "dayofyear(d)"),
-    ("yearmonth", F.year("d") * 100 + F.month("d"), "year(d)*100+month(d)"), ("7day", F.floor(F.datediff(F.col("d"), F.lit("1995-01-01").cast("date")) / 7), "floor((d-DATE '1995-01-01')/7)"),
+    ("year", lambda: F.year("d"), "year(d)"), ("month", lambda: F.month("d"), "month(d)"), ("week", lambda: F.weekofyear("d"), "weekofyear(d)"), ("doy", lambda: F.dayofyear("d"), "dayofyear(d)"),
+    ("yearmonth", lambda: F.year("d") * 100 + F.month("d"), "year(d)*100+month(d)"),
+    ("7day", lambda: F.floor(F.datediff(F.col("d"), F.lit("1995-01-01").cast("date")) / 7), "floor((d-DATE '1995-01-01')/7)"),
 ):
     _time_stats(_n, _k, _s)
 
@@ -565,7 +574,7 @@ def temporal_downscale(load):
     """Every variable of daily weather by the hour."""
     from .plans import downscale
 
-    return rounded_all(downscale.to_hourly(dailies(load), ["cell", "row_", "col_"], "d", lat, lon))
+    return rounded_all(downscale.to_hourly(dailies(load), ["cell", "row_", "col_"], "d", lat(), lon()))
 
 
 def rounded_all(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ KELVIN, STEFAN, EMISSIVITY, SOLAR = 273.15, 5.67e-8, 0.97, 1352.778
 
 def clamp(v: Column, lo, hi) -> Column:
     """v within [lo, hi]; null stays null."""
-    return F.when(v < lo, lo).when(v > hi, hi).otherwise(v)
+    return F.when(v.isNotNull(), F.least(F.greatest(v, lo if isinstance(lo, Column) else F.lit(lo)), hi if isinstance(hi, Column) else F.lit(hi)))
 
 
 def satvap(tc: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics, solar
@@ -29,33 +29,31 @@ def to_hourly(daily: DataFrame, cell: Sequence[str], day: str, lat: Column, lon:
         "p": F.col("pres"), "u": physics.wind_u(F.col("windspeed"), F.col("winddir")), "v": physics.wind_v(F.col("windspeed"), F.col("winddir")),
         "r": F.when(F.col("prec") < rain_cut, 0.0).otherwise(F.col("prec")) / 24,
     })
-    clear = [solar.clear_sky(solar.julian_day(F.col(day)), F.lit(float(h)), lat, lon) for h in range(24)]
-    total = clear[0]
-    for c in clear[1:]:
-        total = total + c
-    base = base.withColumn("share", physics.clamp(F.coalesce(F.try_divide(F.col("swrad"), total / 24), F.lit(0.5)), 0.0, 1.0))
     base = temporal.hourly_temperature(base, cell, day, lat, lon)  # with it each day has its 24 rows
     keys = [*cell, day]
+    of = Window.partitionBy(*keys)
+    base = base.withColumn("cs", solar.clear_sky(solar.julian_day(F.col(day)), F.col("h").cast("double"), lat, lon))
+    base = base.withColumn("_c", F.avg("cs").over(of)).withColumn("share", F.coalesce(F.try_divide(F.col("swrad"), F.col("_c")), F.lit(0.5)))
+    base = base.withColumn("share", F.least(F.greatest(F.col("share"), F.lit(0.0)), F.lit(1.0))).drop("_c")
     smooth = temporal.day_to_hour(daily_only(base, keys), cell, day, ["q", "p", "u", "v", "r", "share"]).select(*keys, "h", "q", "p", "u", "v", "r", "share")
     out = base.drop("q", "p", "u", "v", "r", "share").join(smooth, [*keys, "h"])
     adjust = lambda value, d: temporal.adjust_to_daily(out, cell, day, value, F.col(d))
     out = out.withColumn("pk", adjust(F.col("p"), "pres"))
     out = out.withColumn("rh", physics.convert_humidity(F.col("q"), "specific", "relative", F.col("temp"), F.col("pk")))
     out = out.withColumn("rh", physics.clamp(adjust(F.col("rh"), "relhum"), min_humidity, 100.0))
-    out = out.withColumn("cs", solar.clear_sky(solar.julian_day(F.col(day)), F.col("h").cast("double"), lat, lon))
     out = out.withColumn("sw", physics.clamp(adjust(F.col("share") * F.col("cs"), "swrad"), 0.0, physics.SOLAR))
     ea = physics.convert_humidity(F.col("rh"), "relative", "vapour pressure", F.col("temp"))
     em = F.least(F.lit(1.0), physics.clear_emissivity(physics.dewpoint(ea, F.col("temp")) + physics.KELVIN))
     out = out.withColumn("lw", em * physics.lw_up(F.col("temp"), 1.0)).withColumn("lw", adjust(F.col("lw"), "lwrad"))
     speed = physics.wind_speed(F.col("u"), F.col("v"))
     out = out.withColumns({"ws": speed, "wd": physics.wind_direction(F.col("u"), F.col("v"))}).withColumn("ws", adjust(F.col("ws"), "windspeed"))
-    rain = F.col("r") * F.coalesce(F.try_divide(F.when(F.col("prec") < rain_cut, 0.0).otherwise(F.col("prec")), F.sum("r").over(temporal.Window.partitionBy(*keys))), F.lit(1.0))
+    rain = F.col("r") * F.coalesce(F.try_divide(F.when(F.col("prec") < rain_cut, 0.0).otherwise(F.col("prec")), F.sum("r").over(of)), F.lit(1.0))
     return out.select(*keys, "h", "temp", F.col("rh").alias("relhum"), F.col("pk").alias("pres"), F.col("sw").alias("swrad"), F.col("lw").alias("lwrad"), F.col("ws").alias("windspeed"), F.col("wd").alias("winddir"), rain.alias("prec"))
 
 
 def daily_only(hourly: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row a day of a table whose other columns don't change within it."""
-    return hourly.where("h = 0").drop("h", "temp")
+    return hourly.where("h = 0").drop("h", "temp", "cs")
 
 
 def to_fine(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame, row: str, col: str, ts: str, fy: float, fx: float, min_humidity: float = 20.0) -> DataFrame:
