@@ -72,9 +72,9 @@ def as_text(s: Column) -> Column:
 
 def from_text(s: Column) -> Column:
     """The sketch that as_text wrote."""
-    at = F.sequence(F.lit(0), F.char_length(s) / 16 - 1)
+    at = F.sequence(F.lit(0), (F.char_length(s) / 16).cast("int") - 1)
     return F.when(F.char_length(s) == 0, F.expr("cast(array() as array<bigint>)")).otherwise(
-        F.transform(at.cast("array<int>"), lambda i: F.conv(F.substring(s, i * 16 + 1, F.lit(16)), 16, -10).cast("bigint"))
+        F.transform(at, lambda i: F.conv(F.substring(s, i * 16 + 1, F.lit(16)), 16, -10).cast("bigint"))
     )
 
 

@@ -135,7 +135,7 @@ def test_quality(docs, texts, empty):
 
 
 def test_quality_tells_prose_from_junk(spark):
-    prose = "\n".join(f"The {i}th line of a text says {i} things about it, and it ends as prose does." for i in range(8))
+    prose = "\n".join(" ".join(f"word{i}x{j}" for j in range(12)) + "." for i in range(8))
     menu = " | ".join(f"entry{i} page{i}" for i in range(60))
     junk = " ".join(f"wo{i}rd%%% ot{i}her###" for i in range(40))
     df = spark.createDataFrame([(1, prose), (2, menu), (3, junk), (4, prose + "\nAll rights reserved.")], "doc_id int, text string")
