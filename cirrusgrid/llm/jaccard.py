@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep, ready, words
+from .common import ascii_lower, drop, keep, ready, release, words
 from .components import components
 from .fingerprints import shingle_hashes
 
@@ -89,26 +89,47 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         signs = []
         for h in batch.column(2):
-            bits = np.zeros(BITS, np.uint8)
-            bits[h.values.to_numpy() & (BITS - 1)] = 1
+            size = max(BITS, 1 << (len(h) - 1).bit_length())
+            bits = np.zeros(size, np.uint8)
+            bits[h.values.to_numpy() & (size - 1)] = 1
             signs.append(np.packbits(bits).tobytes())
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.binary())], names=["k", "n", "h", "bits"])
 
 
+def _folded(signs: list[bytes], size: int) -> np.ndarray:
+    """Signatures as rows of size bytes; a longer one folds to the shorter by or-ing its halves, as its bits are remainders of hashes."""
+    out = np.empty((len(signs), size), np.uint8)
+    lengths = np.fromiter(map(len, signs), np.int64, len(signs))
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        rows = np.frombuffer(b"".join([signs[i] for i in at]), np.uint8).reshape(len(at), -1, size)
+        out[at] = np.bitwise_or.reduce(rows, 1)
+    return out.view(np.uint64)
+
+
+def _possible(n, m, ones_n, ones_m, both):
+    """Whether sets of sizes n and m, whose signatures share so many bits, can be similar: a bit that one lacks is a hash that it lacks."""
+    return (NUM + DEN) * np.minimum(n - (ones_n - both), m - (ones_m - both)) >= NUM * (n + m)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of tiles, sorted by tile and size: pairs of sets of different components whose signatures allow the similarity."""
-    held: list[np.ndarray] = []
 
-    def pairs(k: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        k, n, comp, side = (np.concatenate([p[c] for p in parts]) for c in range(4))
+        if len(k) < 2 or (comp == comp[0]).all():
+            return
+        signs = [x for p in parts for x in p[4]]
+        bits = _folded(signs, min(map(len, signs)))
         ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+        wide = max(64, (1 << 17) // bits.shape[1] // 64)
         for i in range(0, len(k), 64):
             a = slice(i, i + 64)
             top = np.searchsorted(n, n[min(i + 63, len(n) - 1)] * DEN // NUM, "right")
-            for j in range(i, top, 2048):
-                b = slice(j, min(j + 2048, top))
+            for j in range(i, top, wide):
+                b = slice(j, min(j + wide, top))
                 both = np.bitwise_count(bits[a, None] & bits[None, b]).sum(2, dtype=np.int64)
-                most = np.minimum(n[a, None] - (ones[a, None] - both), n[None, b] - (ones[None, b] - both))
-                fits = (NUM + DEN) * most >= NUM * (n[a, None] + n[None, b])
+                fits = _possible(n[a, None], n[None, b], ones[a, None], ones[None, b], both)
                 fits &= (comp[a, None] != comp[None, b]) & (side[a, None] | side[None, b] == 3)
                 fits &= np.arange(i, i + fits.shape[0])[:, None] < np.arange(j, j + fits.shape[1])
                 x, y = np.nonzero(fits)
@@ -116,25 +137,37 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     p, q = k[a][x], k[b][y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
-    def tile(parts: list) -> Iterator[pa.RecordBatch]:
-        if sum(len(p[0]) for p in parts) > 1:
-            yield from pairs(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-
-    current = None
+    held, current = [], None
     for batch in batches:
         at = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
         cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5, 6, 7)]
-        bits = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        signs = batch.column(8).to_pylist()
         cuts = np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1
-        for s, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]]), strict=True):
-            if e <= s:
-                continue
-            key = tuple(at[s])
-            if key != current:
-                yield from tile(held)
-                held, current = [], key
-            held.append((*(c[s:e] for c in cols), bits[s:e]))
-    yield from tile(held)
+        for s, e in zip([0, *cuts], [*cuts, len(at)], strict=True):
+            if e > s:
+                if (key := tuple(at[s])) != current:
+                    if held:
+                        yield from pairs(held)
+                    held, current = [], key
+                held.append((*(c[s:e] for c in cols), signs[s:e]))
+    if held:
+        yield from pairs(held)
+
+
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures allow the similarity."""
+    for batch in batches:
+        n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+        x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        size = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
+        good = np.zeros(len(n), bool)
+        count = lambda v: np.bitwise_count(v).sum(1, dtype=np.int64)
+        for length in np.unique(size):
+            at = np.flatnonzero(size == length)
+            p, q = _folded([x[i] for i in at], int(length)), _folded([y[i] for i in at], int(length))
+            good[at] = _possible(n[at], m[at], count(p), count(q), count(p & q))
+        take = pa.array(np.flatnonzero(good))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,51 +183,51 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that are similar; first by signatures, then by the sets themselves."""
-    sign = arrays.select("k", "n", "bits")
-    near = pairs.join(sign.toDF("a", "na", "xa"), "a").join(sign.toDF("b", "nb", "xb"), "b")
-    near = near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bound, "a long, b long")
-    side = arrays.select("k", "h")
-    # One array of each pair is shuffled to where the other is.
-    return near.join(side.toDF("b", "hb"), "b").join(side.toDF("a", "ha"), "a").select("a", "b", "ha", "hb").mapInArrow(_verify, "a long, b long")
+def _links(pairs: DataFrame, arrays: DataFrame, signed: bool) -> DataFrame:
+    """Pairs (a, b) of sets that are similar: by signatures, unless these have been compared, then by the sets themselves."""
+    if not signed:
+        sign = arrays.select("k", "n", "bits")
+        near = pairs.join(sign.toDF("a", "na", "xa"), "a").join(sign.toDF("b", "nb", "xb"), "b")
+        pairs = keep(near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bound, "a long, b long"), "candidates")
+    # Sets that no pair names stay where they are; of each pair one set is sent to the other.
+    named = keep(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "named")
+    side = arrays.select("k", "h").join(_few(named), "k", "left_semi")
+    return pairs.join(side.toDF("b", "hb"), "b").join(side.toDF("a", "ha"), "a").select("a", "b", "ha", "hb").mapInArrow(_verify, "a long, b long")
 
 
-def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITS // 64) for i in (4, 5))
-        count = lambda v: np.bitwise_count(v).sum(1, dtype=np.int64)
-        most = np.minimum(n - count(x & ~y), m - count(y & ~x))
-        at = pa.array(np.flatnonzero((NUM + DEN) * most >= NUM * (n + m)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if their number, which is counted, is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def similar_sets(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, root): components of sets k that have a similar set; found is sets(docs), stored."""
-    found = found.where("n > 0 and id is not null")
-    rows = found.select("k", "n", "least").mapInArrow(_tile_rows, "hash long, k long, n int")
+def similar_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, k, n) of all texts, stored, and (node, root): components of sets k that have a similar set."""
+    full = keep(sets(docs, id_col, text_col), "shingles")
+    rows = full.where("n > 0 and id is not null").select("k", "n", "least").mapInArrow(_tile_rows, "hash long, k long, n int")
     met = rows.repartition("hash").sortWithinPartitions("hash", "n", "k").mapInArrow(_neighbours, "hash long, k long, n int, prev long")
     met = keep(met, "tiles")
+    texts_of = keep(full.select("id", "k", "n"), "shingled")
+    drop(full)
+    found = texts_of.where("n > 0 and id is not null")
     # The sets themselves, of one document for each set that shares a tile.
     wanted = found.select("k", "n", "id").join(met.select("k", "n").distinct(), ["k", "n"], "left_semi")
     wanted = keep(wanted.groupBy("k", "n").agg(F.min("id").alias("id")), "representatives")
-    ids = wanted.select("id")
-    ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(_few(wanted.select("id")), "id", "left_semi")
     again = texts.withColumn("w", words(ascii_lower(F.col("t")))).withColumn("h", F.sort_array(shingle_hashes(F.col("w"))))
-    again = again.select(F.xxhash64("h").alias("k"), F.size("h").alias("n"), "h").dropDuplicates(["k", "n"])
+    again = again.select(F.xxhash64("h").alias("k"), F.size("h").alias("n"), "h")  # a set twice over, of a repeated row, gives a link twice
     arrays = keep(again.mapInArrow(_signatures, "k long, n int, h array<long>, bits binary"), "sets")
+    release(docs.sparkSession)
 
     chain = met.where(F.col("prev").isNotNull()).select(F.least("k", "prev").alias("a"), F.greatest("k", "prev").alias("b")).distinct()
-    first = keep(_links(chain, arrays), "links")
+    first = keep(_links(chain, arrays, False), "links")
     label = components(first)
+    release(docs.sparkSession)
 
     mixed = met.select("hash", "k", "n").join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("root", "k"))
     split = mixed.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hash")
     mixed = keep(mixed.join(split, "hash", "left_semi").select("hash", "k", "n", "comp"), "mixed-tiles")
+    drop(met)
+    release(docs.sparkSession)
     # A set belongs to its band of sizes, and is a guest in the next one, whose sets may be up to DEN / NUM times as large.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
     banded = mixed.select("hash", "k", "n", "comp", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home")))).alias("x"))
@@ -208,15 +241,17 @@ def similar_sets(docs: DataFrame, found: DataFrame, id_col: str, text_col: str)
     # Sides: 1 and 2 for either block of a pair, 3 where both are one; sets meet across blocks, or within one that is paired with itself.
     tiles = tiles.select("hash", "band", "x.i", "x.j", "k", "n", "comp", "x.side").join(arrays.select("k", "bits"), "k")
     tiles = tiles.select("hash", "band", "i", "j", "k", "n", "comp", "side", "bits").repartition("hash", "band", "i", "j").sortWithinPartitions("hash", "band", "i", "j", "n", "k")
-    rest = tiles.mapInArrow(_compare, "a long, b long").distinct()
-    return components(first.unionAll(_links(keep(rest, "candidates"), arrays)))
+    rest = keep(tiles.mapInArrow(_compare, "a long, b long").distinct(), "candidates")
+    drop(mixed)
+    release(docs.sparkSession)
+    return texts_of, components(first.unionAll(_links(rest, arrays, True)))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the least id reachable by links) of every document."""
     ready(docs.sparkSession)
-    found = keep(sets(docs, id_col, text_col), "shingles")
-    label = similar_sets(docs, found, id_col, text_col).select(F.col("node").alias("k"), "root")
+    found, label = similar_sets(docs, id_col, text_col)
+    label = label.select(F.col("node").alias("k"), "root")
     rooted = found.select("id", "k", "n").join(label.hint("merge"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     rooted = keep(rooted.select("id", "n", "root"), "rooted")
     full = rooted.where("n > 0")
