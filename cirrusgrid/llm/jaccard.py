@@ -18,6 +18,7 @@ without an id links with nothing, and its component is null. Only id and text ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from .fingerprints import shingle_hashes
 # Similarity NUM / DEN or more.
 NUM, DEN = 80, 100
 BITS, BLOCK = 1024, 4096
+#: Rounds in which sets are paired with one other before all are compared; any number gives the same components.
+ROUNDS = 2
 #: Ids of a bounded number are broadcast, more are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -112,8 +115,11 @@ def _possible(n, m, ones_n, ones_m, both):
     return (NUM + DEN) * np.minimum(n - (ones_n - both), m - (ones_m - both)) >= NUM * (n + m)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of tiles, sorted by tile and size: pairs of sets of different components whose signatures allow the similarity."""
+def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Of tiles, sorted by tile and size: pairs of sets of different components whose signatures allow the similarity.
+
+    Unless every pair is asked for, a set is paired with the first other one of a run of sets alone.
+    """
 
     def pairs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         k, n, comp, side = (np.concatenate([p[c] for p in parts]) for c in range(4))
@@ -132,7 +138,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fits = _possible(n[a, None], n[None, b], ones[a, None], ones[None, b], both)
                 fits &= (comp[a, None] != comp[None, b]) & (side[a, None] | side[None, b] == 3)
                 fits &= np.arange(i, i + fits.shape[0])[:, None] < np.arange(j, j + fits.shape[1])
-                x, y = np.nonzero(fits)
+                if every:
+                    x, y = np.nonzero(fits)
+                else:
+                    x = np.flatnonzero(fits.any(1))
+                    y = fits[x].argmax(1)
                 if len(x):
                     p, q = k[a][x], k[b][y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
@@ -219,15 +229,25 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     release(docs.sparkSession)
 
     chain = met.where(F.col("prev").isNotNull()).select(F.least("k", "prev").alias("a"), F.greatest("k", "prev").alias("b")).distinct()
-    first = keep(_links(chain, arrays, False), "links")
-    label = components(first)
+    links = keep(_links(chain, arrays, False), "links")
+    label = components(links)
     release(docs.sparkSession)
-
+    # What the chain has left apart is paired set by set, and joined, before all pairs across components are looked at.
+    for every in (*[False] * ROUNDS, True):
+        tiles, mixed = _mixed_tiles(met, arrays, label)
+        rest = keep(tiles.mapInArrow(partial(_compare, every=every), "a long, b long").distinct(), "candidates")
+        drop(mixed)
+        links = keep(links.unionAll(_links(rest, arrays, True)), "links")
+        label = components(links)
+        release(docs.sparkSession)
+    return texts_of, label
+
+
+def _mixed_tiles(met: DataFrame, arrays: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tiles that hold sets of different components, sorted for _compare, and the stored table they come from."""
     mixed = met.select("hash", "k", "n").join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("root", "k"))
     split = mixed.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hash")
     mixed = keep(mixed.join(split, "hash", "left_semi").select("hash", "k", "n", "comp"), "mixed-tiles")
-    drop(met)
-    release(docs.sparkSession)
     # A set belongs to its band of sizes, and is a guest in the next one, whose sets may be up to DEN / NUM times as large.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
     banded = mixed.select("hash", "k", "n", "comp", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home")))).alias("x"))
@@ -241,10 +261,7 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     # Sides: 1 and 2 for either block of a pair, 3 where both are one; sets meet across blocks, or within one that is paired with itself.
     tiles = tiles.select("hash", "band", "x.i", "x.j", "k", "n", "comp", "x.side").join(arrays.select("k", "bits"), "k")
     tiles = tiles.select("hash", "band", "i", "j", "k", "n", "comp", "side", "bits").repartition("hash", "band", "i", "j").sortWithinPartitions("hash", "band", "i", "j", "n", "k")
-    rest = keep(tiles.mapInArrow(_compare, "a long, b long").distinct(), "candidates")
-    drop(mixed)
-    release(docs.sparkSession)
-    return texts_of, components(first.unionAll(_links(rest, arrays, True)))
+    return tiles, mixed
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
