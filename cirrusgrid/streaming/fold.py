@@ -13,5 +13,6 @@ from ..operators.temporal import FOLDS
 def hour_to_day(stream: DataFrame, cell: Sequence[str], ts: str, folds: dict[str, tuple[str, str]], late: str = "1 day") -> DataFrame:
     """As operators.temporal.fold, for a stream; values later than late after the newest are dropped by the watermark."""
     day = F.window(ts, "1 day").alias("_day")
-    made = stream.withWatermark(ts, late).groupBy(*cell, day).agg(*(FOLDS[how](c).alias(name) for name, (c, how) in folds.items()))
+    # A watermark needs a timestamp with a zone; one without is read in the session's.
+    made = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(*cell, day).agg(*(FOLDS[how](c).alias(name) for name, (c, how) in folds.items()))
     return made.select(*cell, F.to_date("_day.start").alias("d"), *folds)
