@@ -11,6 +11,7 @@ A null or empty text is one piece with the end id alone. Repeated rows are piece
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,32 +30,53 @@ CELL = 4000
 _encoders: dict[str, Encoder] = {}
 
 
-class Encoder(dict):
-    """chunk -> its ids as little-endian 32-bit integers.
+class Encoder:
+    """Encodes texts by their chunks, which it remembers as little-endian 32-bit ids.
 
-    The vocabulary's splitter never joins what spaces or line feeds part, so a text is the ids of its chunks in a row.
+    The vocabulary's splitter never joins what spaces or line feeds part, so a text is the ids of its chunks in a row. New
+    chunks of one word go to the library together, in one text: each gives ids of which the last alone ends a word.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        whole, parts = self.ids("It's  a\nb Café 12,x\n"), [self.ids(x) for x in ("It's", "a", "b", "Café", "12,x")]
-        if whole != [i for p in parts for i in p]:
+        self.memo: dict[str, bytes] = {"": b""}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        whole, parts = self.ids(["It's  a\nb Café 12,x\n"]), self.ids(["It's", "a", "b", "Café", "12,x"])
+        if whole != [b"".join(parts)]:
             raise ValueError("this vocabulary doesn't part words at spaces")
 
-    def ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = out = np.array(self.ids(chunk), "<u4").tobytes()
-        return out
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remembers chunks; a mark after a letter stands alone, so a word with one is learnt as the word."""
+        marked = [c for c in chunks if c[-1:] in ",." and c[-2:-1].isalpha()]
+        new = chunks.difference(marked).union(c[:-1] for c in marked).difference(self.memo)
+        single = [c for c in new if c.isascii() and c.isalpha() or c.isalpha() and c.lower().isalpha()]
+        other = list(new.difference(single)) + [",", "."]
+        if single:
+            ids = np.frombuffer(self.ids([" ".join(single)])[0], "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(single) and last[-1] == len(ids):
+                raw, bounds = ids.tobytes(), [0, *(4 * last).tolist()]
+                self.memo.update(zip(single, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+            else:
+                other += single
+        self.memo.update(zip(other, self.ids(other), strict=True))
+        self.memo.update((c, self.memo[c[:-1]] + self.memo[c[-1]]) for c in marked)
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        if len(self.memo) > MEMO:
+            self.memo = {"": b""}
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new: set[str] = set().union(*split) if split else set()
+        self.learn(new.difference(self.memo))
+        return (b"".join(map(self.memo.__getitem__, chunks)) for chunks in split)
 
 
 def encoder(path: str) -> Encoder:
@@ -73,14 +95,14 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            if len(coder) > MEMO:
-                coder.clear()
             cut, row = [], []
-            for r, text in enumerate(batch.column(1)):
-                ids = coder.encode(text.as_py() or "") + tail
-                for at in range(0, len(ids), 4 * capacity):
-                    cut.append((at, ids[at : at + 4 * capacity]))
-                    row.append(r)
+            texts = batch.column(1).to_pylist()
+            for start in range(0, len(texts), 512):  # few texts at a time bound the memory of long ones
+                for r, ids in enumerate(coder.encode_batch([t or "" for t in texts[start : start + 512]]), start):
+                    ids += tail
+                    for at in range(0, len(ids), 4 * capacity):
+                        cut.append((at, ids[at : at + 4 * capacity]))
+                        row.append(r)
             out = [
                 batch.column(0).take(pa.array(row, pa.int64())),
                 pa.array([at // (4 * capacity) for at, _ in cut], pa.int32()),
