@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import ready
 
 #: Labelled texts of each class (0, 1) a model is trained from at most, those with the least hash of their id.
-SAMPLE = (7500, 2500)
-BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
+SAMPLE = (4500, 1500)
+BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 4, 5)
 BATCH, RATE, DECAY = 64, 0.03, 0.1
 #: Texts to be seen in all, and the least number of times each is.
 SEEN, EPOCHS = 24_000, 3
