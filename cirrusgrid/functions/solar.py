@@ -90,28 +90,46 @@ def clear_sky(jd: Column, lt: Column, lat: Column, lon: Column, tc: float = 15.0
 def diffuse_fraction(sw: Column, jd: Column, lt: Column, lat: Column, lon: Column) -> Column:
     """Diffuse share of shortwave radiation by the Skartveit-Olseth model; 1 by night and without radiation."""
     sh = _sin_altitude(jd, solar_time(lt, lon, jd), lat)
-    up = (sw > 0) & (sh > 1e-6)
-    si = F.when(up, sh)  # null elsewhere, as is all that follows from it
-    zd = F.degrees(F.acos(clamp(si, -1.0, 1.0)))
-    high = F.exp(-0.06 * (90 - zd))
-    k1 = 0.83 - 0.56 * high
-    k = clamp(sw / (1352 * si), 0.0, k1)
-    rho = k / k1
+    return let(F.struct(sw.alias("sw"), sh.alias("sh")), lambda x: _diffuse(x["sw"], x["sh"]))
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _diffuse(sw: Column, sh: Column) -> Column:
+    zd = F.degrees(F.acos(F.least(sh, F.lit(1.0))))
+    day = let(F.struct(sw.alias("sw"), sh.alias("si"), zd.alias("zd"), F.exp(-0.06 * (90 - zd)).alias("high")), lambda x: let(_index(x), _fraction))
+    return F.when(sw.isNull() | sh.isNull(), F.lit(None)).when((sw > 0) & (sh > 1e-6), day).otherwise(1.0)
+
+
+def _index(x: Column) -> Column:
+    """struct with the clearness index k, cut to [0, k1]."""
+    k1 = 0.83 - 0.56 * x["high"]
+    k = F.least(F.greatest(x["sw"] / (1352 * x["si"]), F.lit(0.0)), k1)
+    return F.struct(x["si"].alias("si"), x["zd"].alias("zd"), k1.alias("k1"), (0.56 - 0.32 * x["high"]).alias("kx"), k.alias("k"))
+
+
+def _fraction(x: Column) -> Column:
+    si, zd, k1, kx, k = (x[c] for c in ("si", "zd", "k1", "kx", "k"))
+    rho, k2 = k / k1, 0.95 * k1
     sigma = F.when(rho > 1.04, 0.12 + 0.65 * (rho - 1.04)).otherwise(0.021 + 0.397 * rho - 0.231 * rho * rho - 0.13 * F.exp(-F.pow((rho - 0.931) / 0.134, F.lit(2.0)) * 0.834))
-    k2 = 0.95 * k1
     d1 = F.when(zd < 88.6, 0.07 + 0.046 * zd / (93 - zd)).otherwise(1.0)
     kk = 0.5 * (1 + F.sin(math.pi * (k - 0.22) / (k1 - 0.22) - math.pi / 2))
     d2 = 1 - (1 - d1) * (0.11 * F.sqrt(kk) + 0.15 * kk + 0.74 * kk * kk)
     share = d2 * k2 / (1 - k2)
     kb = F.pow(F.lit(0.81), F.pow(1 / si, F.lit(0.6)))
-    kmax = (kb + share) / (1 + share)
-    dmax = share * (1 - kmax) / kmax
     pos = F.when(k > 0, k)
-    d = F.when(k <= 0.22, 1.0).when(k <= k2, d2).when(k <= kmax, share * (1 - pos) / pos).otherwise(1 - kmax * (1 - dmax) / pos)
-    kx = 0.56 - 0.32 * high
-    kl, kr = (k - 0.14) / (kx - 0.14), (k - kx) / 0.71
-    sig = F.greatest(sigma, F.lit(0.0))
-    low = -3 * kl * kl * (1 - kl) * F.pow(sig, F.lit(1.3))
-    top = 3 * kr * (1 - kr) * (1 - kr) * F.pow(sig, F.lit(0.6))
-    delta = F.when((k >= kx) & (k < kx + 0.71), top).when((k >= 0.14) & (k < kx), low).otherwise(0.0)
-    return F.when(sw.isNull(), F.lit(None)).when(~up, 1.0).otherwise(d + F.when(sigma > 0.01, delta).otherwise(0.0))
+
+    def level(y: Column) -> Column:
+        d2, share, sigma = y["d2"], y["share"], y["sigma"]
+        kmax = (kb + share) / (1 + share)
+        d = F.when(k <= 0.22, 1.0).when(k <= k2, d2).when(k <= kmax, share * (1 - pos) / pos).otherwise(1 - kmax * (1 - share * (1 - kmax) / kmax) / pos)
+        kl, kr, sig = (k - 0.14) / (kx - 0.14), (k - kx) / 0.71, F.greatest(sigma, F.lit(0.0))
+        low = -3 * kl * kl * (1 - kl) * F.pow(sig, F.lit(1.3))
+        top = 3 * kr * (1 - kr) * (1 - kr) * F.pow(sig, F.lit(0.6))
+        delta = F.when((k >= kx) & (k < kx + 0.71), top).when((k >= 0.14) & (k < kx), low).otherwise(0.0)
+        return d + F.when(sigma > 0.01, delta).otherwise(0.0)
+
+    return let(F.struct(d2.alias("d2"), share.alias("share"), sigma.alias("sigma")), level)
