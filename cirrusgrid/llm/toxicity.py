@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import ready
 
 #: Labelled texts of each class (0, 1) a model is trained from at most, those with the least hash of their id.
-SAMPLE = (4500, 1500)
+SAMPLE = (3000, 1000)
 BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 4, 5)
 BATCH, RATE, DECAY = 64, 0.03, 0.1
 #: Texts to be seen in all, and the least number of times each is.
@@ -102,10 +102,12 @@ def train(texts: list[str], labels: list[int], odds: float | None = None, seed:
     if len(set(labels)) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))), len(y))
-    seen_tokens: dict[str, list[int]] = {}
+    seen_tokens: dict[str, np.ndarray] = {}
     bags = [_bag(t, seen_tokens) for t in texts]
+    del seen_tokens
     spread = sum(np.bincount(b[0], minlength=BUCKETS) for b in bags) >= max(2, min(MIN_TEXTS, len(bags) // 1000 + 2))
-    bags = [(ids[spread[ids]], share[spread[ids]]) for ids, share in bags]
+    for i, (ids, share) in enumerate(bags):  # one by one, as the driver holds all of them
+        bags[i] = (ids[spread[ids]], share[spread[ids]])
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -144,17 +146,17 @@ def train(texts: list[str], labels: list[int], odds: float | None = None, seed:
     return Model(weight, float(bias[1] - bias[0] + shift), len(bags))
 
 
-def _bag(text: str, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text, and SCALE times the share of its features that each has."""
-    flat: list[int] = []
-    if len(known) > 200_000:
+    if len(known) > 60_000:
         known.clear()
+    flat = [np.zeros(0, np.int32)]
     for token in text.split():
         at = known.get(token)
         if at is None:
-            at = known[token] = features(token)
-        flat += at
-    ids, share = np.unique(np.array(flat, np.int32), return_counts=True)
+            at = known[token] = np.array(features(token), np.int32)
+        flat.append(at)
+    ids, share = np.unique(np.concatenate(flat), return_counts=True)
     return ids, (SCALE * share / max(1, share.sum())).astype(np.float32)
 
 
