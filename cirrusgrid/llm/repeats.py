@@ -2,27 +2,32 @@
 
 Of each text only the suffixes at content-selected positions are retained: the minimisers, by hash, of
 ``SEED``-word windows among every MIN_WORDS - SEED + 1 in a row, so that each run of MIN_WORDS words holds
-one and equal runs hold the same. The suffixes are sorted by range over the whole cluster, neighbours are
-compared, and their match is extended right and left; what spans MIN_WORDS or more is a repeat. A second
-array, sorted by what stands left of the position, finds the neighbour that agrees furthest to the left.
-A repeat between two places is found whenever no third place shares its seeds, or all that do agree with it;
-where places agree in part only, repeats of MIN_WORDS + (MIN_WORDS - SEED) words or more are always found.
-
-Sorting by range splits a passage that very many texts share over many tasks; places that meet across
-two tasks are compared from each task's first and last row. Within a text further than the reach of one
-position the passage is followed by its next one, so passages of any length are covered whole.
-
-Words are runs of anything but ASCII spaces, compared as they are. Nulls, empty texts and texts of fewer
-words have no repeats; rows without an id are left out; of rows that repeat an id and text one counts.
+one and equal runs hold the same. The suffixes are sorted by range over the whole cluster, and those whose
+seed no other place has fall out. A position owns the runs of MIN_WORDS words whose minimiser it is, up to
+35 in a row; every run has one owner, at the same offset wherever the run stands.
+
+Two sorts then compare exactly, by equality and without pairs. Places that own the very same runs stand
+together in the first; all but the first of them are later in each run. What is left is sorted run by run,
+so any two places that share MIN_WORDS words meet, whatever else shares parts of these. Of the places of
+a run the first by id, text and position is no later one, all others are.
+
+Sorting by range deals a passage that very many texts share over many tasks. In the first sort each task
+keeps a first place of its own; in the second, the first and last row of each task are compared on the driver.
+
+Words are runs of anything but ASCII spaces, compared as they are, by 64-bit hashes of MIN_WORDS in a row.
+Nulls, empty texts and texts of fewer words have no repeats; rows without an id are left out; of rows that
+repeat an id and text one counts.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,10 +36,8 @@ from pyspark.sql import functions as F
 from .common import keep, partitions, ready
 
 MIN_WORDS, SEED = 50, 16
-#: How far a position looks: MIN_WORDS to the right with its seed, and as far left as its window reaches.
+#: How far right of a run's start its minimiser may be.
 REACH = MIN_WORDS - SEED
-#: Bytes of a word's hash in a context; the seed itself has 64 bits.
-WIDTH = 3
 MEMO = 500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -57,27 +60,34 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, WORD.findall(text)), np.uint64)
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the retained suffixes of a text, and the hashes of their seeds."""
-    n = len(words) - SEED + 1
-    if len(words) < MIN_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _rolling(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every size words in a row."""
+    n = len(words) - size + 1
     h = np.zeros(n, np.uint64)
-    for j in range(SEED):
+    for j in range(size):
         h = h * _BASE + words[j : j + n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
+    return h
+
+
+def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the retained suffixes of a text, the hashes of their seeds, and the first and the number of the runs each owns."""
+    if len(words) < MIN_WORDS:
+        return (np.zeros(0, np.int64),) * 4
+    h = _rolling(words, SEED)
     width = REACH + 1
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, width).argmin(1) + np.arange(n - width + 1))
-    return at, h[at].view(np.int64)
+    owner = np.lib.stride_tricks.sliding_window_view(h, width).argmin(1) + np.arange(len(h) - width + 1)
+    at, first, count = np.unique(owner, return_index=True, return_counts=True)
+    return at, h[at].view(np.int64), first, count
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, places, keys = [], [], []
         for i, text in enumerate(batch.column(2)):
-            at, h = seeds(word_hashes(text.as_py() or ""))
+            at, h, _, _ = seeds(word_hashes(text.as_py() or ""))
             rows.append(np.full(len(at), i))
             places.append(at)
             keys.append(h)
@@ -106,79 +116,118 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the retained positions of a text: its words right of the seed, and left of the position backwards, as hashes in a row."""
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the retained positions of a text: a hash of the runs they own together, where these start, and the hash of each in a row."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for id_, text_hash, text, places in zip(*(batch.column(i) for i in range(4)), strict=True):
             words = word_hashes(text.as_py() or "")
-            short = words.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]
-            at, keys = seeds(words)
+            at, _, first, count = seeds(words)
             wanted = np.isin(at, places.values.to_numpy())
-            for p, key in zip(at[wanted].tolist(), keys[wanted].tolist()):
-                right = short[p + SEED : p + MIN_WORDS].tobytes()
-                left = short[max(0, p - REACH) : p][::-1].tobytes()
-                for col, value in zip(out, (key, right, left, id_.as_py(), text_hash.as_py(), p), strict=True):
+            runs = _rolling(words, MIN_WORDS)
+            for start, n in zip(first[wanted].tolist(), count[wanted].tolist()):
+                own = runs[start : start + n].tobytes()
+                for col, value in zip(out, (xxhash.xxh64_intdigest(own) - (1 << 63), id_.as_py(), text_hash.as_py(), start, own), strict=True):
                     col.append(value)
-        kinds = [pa.int64(), pa.binary(), pa.binary(), batch.column(0).type, pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["seed", "right", "left", "id", "text_hash", "at"])
-
-
-def _common(a: bytes, b: bytes) -> int:
-    """Words that two contexts have in common from their start."""
-    if a == b:
-        return len(a) // WIDTH
-    n = min(len(a), len(b)) // WIDTH
-    lo, hi = 0, n
-    while lo < hi:  # the longest equal prefix
-        mid = (lo + hi + 1) // 2
-        if a[: mid * WIDTH] == b[: mid * WIDTH]:
-            lo = mid
-        else:
-            hi = mid - 1
-    return lo
-
-
-def _match(a: tuple, b: tuple) -> list[tuple]:
-    """Rows (id, text_hash, start, end, partner, later) for both places of a match, none if it is too short."""
-    if a[0] != b[0] or a[3:] == b[3:]:
-        return []
-    right, left = SEED + _common(a[1], b[1]), _common(a[2], b[2])
-    if right + left < MIN_WORDS:
-        return []
-    return [(a[3], a[4], a[5] - left, a[5] + right, b[3], False), (b[3], b[4], b[5] - left, b[5] + right, a[3], True)]
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of neighbours, and a row for the first and the last suffix of the task with its number."""
-    task, first, last = TaskContext.get().partitionId(), None, None
-    id_type = None
-
-    def rows(found: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-        kinds = [id_type, pa.int64(), pa.int32(), pa.int32(), id_type, pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-        names = ["id", "text_hash", "start", "end", "partner", "later", "task", "seed", "right", "left", "at"]
-        every = [(*f, None, None, None, None, None) for f in found]
-        every += [(e[3], e[4], None, None, None, is_last, task, e[0], e[1], e[2], e[5]) for e, is_last in edges]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in every], k) for i, k in enumerate(kinds)], names=names)
+        kinds = [pa.int64(), batch.column(0).type, pa.int64(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "id", "text_hash", "start", "own"])
 
-    for batch in batches:
-        id_type = batch.column(3).type
-        found: list[tuple] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            first = first or row
-            if last is not None:
-                found += _match(last, row)
-            last = row
-        yield rows(found, [])
-    if first is not None:
-        yield rows([], [(first, False), (last, True)])
+
+def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array, pa.Array]]:
+    """Rows sorted by key, id, text_hash and start, once each: whether the row before and the row after have the same key, and the ids of these rows."""
+    held, before = None, None  # the last row waits for the next one; the row before it
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        rows = held if batch is None else batch if held is None else pa.concat_batches([held, batch])
+        if rows is None:
+            return
+        if batch is not None and rows.num_rows > 1:  # rows that repeat an id and text
+            same = np.logical_and.reduce([_equal(rows.column(i)) for i in range(4)])
+            rows = rows.filter(pa.array(np.concatenate([[True], ~same])))
+        n = rows.num_rows - (batch is not None)
+        if n:
+            around = pa.concat_batches([rows.slice(0, 1) if before is None else before, rows, *([rows.slice(n - 1)] if batch is None else [])])
+            same = _equal(around.column(0))
+            if before is None:
+                same[0] = False
+            if batch is None:
+                same[-1] = False
+            ids = around.column(1)
+            yield rows.slice(0, n), same[:n], same[1 : n + 1], ids.slice(0, n), ids.slice(2, n)
+            before = rows.slice(n - 1, 1)
+        held = rows.slice(n)
+
+
+def _equal(values: pa.Array) -> np.ndarray:
+    """Whether each value but the first equals the one before it."""
+    return pc.equal(values.slice(1), values.slice(0, len(values) - 1)).to_numpy(zero_copy_only=False).copy()
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of places that own the same runs: all but the first as later ones (n runs in a row, no key), and each run of the first by its key."""
+    for rows, earlier, more, before, after in _adjacent(batches):
+        first = pa.array(~earlier)
+        later = rows.filter(pa.array(earlier))
+        counts = pc.divide(pc.binary_length(later.column(4)), 8).cast(pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.nulls(later.num_rows, pa.int64()), *later.columns[1:4], counts, before.filter(pa.array(earlier))], names=RUN)
+        kept = rows.filter(first)
+        own = kept.column(4)
+        counts = pc.divide(pc.binary_length(own), 8).to_numpy()
+        if len(counts):
+            keys = np.frombuffer(b"".join(own.to_pylist()), np.int64)
+            start = np.repeat(kept.column(3).to_numpy() - np.cumsum(counts) + counts, counts) + np.arange(len(keys))
+            take = pa.array(np.repeat(np.arange(len(counts)), counts))
+            partner = pc.if_else(pa.array(more).filter(first), after.filter(first), pa.nulls(len(counts), after.type))
+            cols = [pa.array(keys), kept.column(1).take(take), kept.column(2).take(take), pa.array(start.astype(np.int32)), pa.array(np.ones(len(keys), np.int32)), partner.take(take)]
+            yield pa.RecordBatch.from_arrays(cols, names=RUN)
+
+
+RUN = ["key", "id", "text_hash", "start", "n", "partner"]
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of runs sorted by key: those that stand elsewhere too, and whether an earlier place has them; the first and last row of a task with its number."""
+    task, first, last = TaskContext.get().partitionId(), True, None
+    for rows, earlier, more, before, after in _adjacent(batches):
+        n = rows.num_rows
+        partner = pc.if_else(pa.array(earlier), before, pc.if_else(pa.array(more), after, rows.column(5)))
+        cols = [*rows.columns[:4], partner, pa.array(earlier)]
+        out = pa.RecordBatch.from_arrays([*cols, pa.array(np.full(n, task, np.int32))], names=[*RUN[:4], "partner", "later", "task"])
+        if last is not None:
+            yield _inner(last)
+        if first:
+            yield out.slice(0, 1)
+            first, out = False, out.slice(1)
+        yield _inner(out.slice(0, max(0, out.num_rows - 1)))
+        last = out.slice(max(0, out.num_rows - 1)) if out.num_rows else None
+    if last is not None:
+        yield last
+
+
+def _inner(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Repeated runs among rows, without the task's number."""
+    rows = rows.filter(pc.is_valid(rows.column(4)))
+    return pa.RecordBatch.from_arrays([*rows.columns[:6], pa.nulls(rows.num_rows, pa.int32())], names=rows.schema.names)
+
+
+def _met(edges: list) -> list[tuple]:
+    """Rows (id, text_hash, start, n, partner, later) of the repeated runs at the edges of tasks, which are in order."""
+    out = []
+    for i, r in enumerate(edges):
+        before = edges[i - 1] if i and edges[i - 1]["key"] == r["key"] else None
+        after = edges[i + 1] if i + 1 < len(edges) and edges[i + 1]["key"] == r["key"] else None
+        partner = r["partner"] if r["later"] or not (before or after) else (before or after)["id"]
+        if partner is not None:
+            out.append((r["id"], r["text_hash"], r["start"], 1, partner, r["later"] or before is not None))
+    return out
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start_word, end_word, n_words, partners, later): every maximal run of words covered by repeats of MIN_WORDS or more.
 
-    partners are ids its places were matched with; later tells that each of its matches has an earlier twin in the array's
-    order, so that removing the later runs leaves one copy.
+    partners are ids its places were matched with; later tells that each of its matches has an earlier twin by id, text
+    and position, so that removing the later runs leaves one copy.
     """
     spark = ready(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
@@ -189,40 +238,43 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = seeded.repartitionByRange(n, "seed", "id", "at").sortWithinPartitions("seed", "id", "at").mapInArrow(_shared, seeded.schema)
     places = keep(shared, "anchors").groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("at")).alias("places"))
     placed = rows.join(places.hint("merge"), ["id", "text_hash"]).select("id", "text_hash", "text", "places")
-    contexts = keep(placed.mapInArrow(_contexts, f"seed long, right binary, left binary, id {kind}, text_hash long, at int"), "contexts")
-    out = f"id {kind}, text_hash long, start int, end int, partner {kind}, later boolean, task int, seed long, right binary, left binary, at int"
-    found = []
-    for order in (["seed", "right", "left", "id", "at"], ["seed", "left", "right", "id", "at"]):
-        array = contexts.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        matched = keep(array.mapInArrow(_neighbours, out), "matches")
-        found.append(matched.where("task is null").select("id", "text_hash", "start", "end", "partner", "later"))
-        # Two rows a task come to the driver: the places where the ranges meet.
-        edges = matched.where("task is not null").orderBy("task", "later").collect()
-        place = lambda r: (r["seed"], r["right"], r["left"], r["id"], r["text_hash"], r["at"])
-        met = [m for a, b in zip(edges[1::2], edges[2::2]) for m in _match(place(a), place(b))]
-        if met:
-            found.append(spark.createDataFrame(met, f"id {kind}, text_hash long, start int, end int, partner {kind}, later boolean"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionAll(more)
-    return _merged(every.distinct()).withColumnRenamed("id", id_col)
-
-
-def _merged(found: DataFrame) -> DataFrame:
-    """Runs of words that overlapping matches cover; a text's matches are a few for each of its positions."""
-    spans = found.groupBy("id", "text_hash", "start", "end").agg(F.min("partner").alias("partner"), F.min("later").alias("later"))
-    by = spans.groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "partner", "later"))).alias("m"))
-    kind = dict(found.dtypes)["id"]
-    none = F.expr(f"cast(array() as array<struct<start:int, end:int, partners:array<{kind}>, later:boolean>>)")
-    one = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array(x["partner"]).alias("partners"), x["later"].alias("later"))
-
-    def add(acc, x):
-        top = F.element_at(acc, -1)
-        wider = F.struct(
-            top["start"].alias("start"), F.greatest(top["end"], x["end"]).alias("end"),
-            F.array_union(top["partners"], F.array(x["partner"])).alias("partners"), (top["later"] & x["later"]).alias("later"),
-        )
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(one(x))))
-
-    runs = by.select("id", F.explode(F.aggregate("m", none, add)).alias("r"))
-    return runs.select("id", F.col("r.start").alias("start_word"), F.col("r.end").alias("end_word"), (F.col("r.end") - F.col("r.start")).alias("n_words"), F.array_sort("r.partners").alias("partners"), F.col("r.later").alias("later"))
+    owned = keep(placed.mapInArrow(_owned, f"key long, id {kind}, text_hash long, start int, own binary"), "owned")
+    order = ["key", "id", "text_hash", "start"]
+    array = owned.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    single = keep(array.mapInArrow(_together, f"key long, id {kind}, text_hash long, start int, n int, partner {kind}"), "runs")
+    array = single.where("key is not null").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranked = keep(array.mapInArrow(_ranked, f"key long, id {kind}, text_hash long, start int, partner {kind}, later boolean, task int"), "ranked")
+    found = single.where("key is null").select("id", "text_hash", "start", "n", "partner", F.lit(True).alias("later"))
+    found = found.unionAll(ranked.where("task is null").select("id", "text_hash", "start", F.lit(1).alias("n"), "partner", "later"))
+    # Two rows a task come to the driver: the places where the ranges meet.
+    met = _met(ranked.where("task is not null").orderBy("task", *order).collect())
+    if met:
+        found = found.unionAll(spark.createDataFrame(met, f"id {kind}, text_hash long, start int, n int, partner {kind}, later boolean"))
+    by = ["id", "text_hash", "start"]
+    runs = found.repartition(n, "id").sortWithinPartitions(*by).mapInArrow(_merged, f"id {kind}, start_word int, end_word int, n_words int, partners array<{kind}>, later boolean")
+    return runs.withColumnRenamed("id", id_col)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of words that overlapping matches of a text cover."""
+    key, start, end, partners, every, id_type = None, 0, 0, set(), True, None
+    names = ["id", "start_word", "end_word", "n_words", "partners", "later"]
+
+    def out(runs: list[tuple]) -> pa.RecordBatch:
+        kinds = [id_type, pa.int32(), pa.int32(), pa.int32(), pa.list_(id_type), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in runs], k) for i, k in enumerate(kinds)], names=names)
+
+    done = lambda: (key[0], start, end, end - start, sorted(partners), every)
+    for batch in batches:
+        id_type, runs = batch.column(0).type, []
+        for id_, text_hash, at, n, partner, later in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (id_, text_hash) != key or at > end:
+                if key:
+                    runs.append(done())
+                key, start, end, partners, every = (id_, text_hash), at, 0, set(), True
+            end = max(end, at + n + MIN_WORDS - 1)
+            partners.add(partner)
+            every &= later
+        yield out(runs)
+    if key:
+        yield out([done()])

@@ -242,6 +242,21 @@ def test_repeats(spark, docs, rng, empty):
     assert repeats.repeats(empty).count() == 0
 
 
+def test_repeats_among_places_that_share_parts(spark, rng):
+    fresh = lambda n: [f"q{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k, size, side in ((0, 56, 49), (1, 56, 49), (2, 70, 49), (3, 60, 36), (4, 83, 49)):
+        notice = fresh(size)
+        for part, copies in ((notice, 2), (notice[:side], 40), (notice[-side:], 40)):
+            texts += [" ".join(fresh(rng.randrange(5, 40)) + part + fresh(rng.randrange(5, 40))) for _ in range(copies)]
+    texts += ["x y z " * 100, "x y z " * 60]
+    rng.shuffle(texts)
+    got = collections.defaultdict(set)
+    for r in repeats.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect():
+        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert got == brute.repeated(dict(enumerate(texts)))
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
