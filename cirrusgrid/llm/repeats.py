@@ -250,31 +250,30 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     met = _met(ranked.where("task is not null").orderBy("task", *order).collect())
     if met:
         found = found.unionAll(spark.createDataFrame(met, f"id {kind}, text_hash long, start int, n int, partner {kind}, later boolean"))
-    by = ["id", "text_hash", "start"]
+    by = ["id", "text_hash", "later", "start"]
     runs = found.repartition(n, "id").sortWithinPartitions(*by).mapInArrow(_merged, f"id {kind}, start_word int, end_word int, n_words int, partners array<{kind}>, later boolean")
     return runs.withColumnRenamed("id", id_col)
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of words that overlapping matches of a text cover."""
-    key, start, end, partners, every, id_type = None, 0, 0, set(), True, None
+    key, start, end, partners, id_type = None, 0, 0, set(), None
     names = ["id", "start_word", "end_word", "n_words", "partners", "later"]
 
     def out(runs: list[tuple]) -> pa.RecordBatch:
         kinds = [id_type, pa.int32(), pa.int32(), pa.int32(), pa.list_(id_type), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in runs], k) for i, k in enumerate(kinds)], names=names)
 
-    done = lambda: (key[0], start, end, end - start, sorted(partners), every)
+    done = lambda: (key[0], start, end, end - start, sorted(partners), key[2])
     for batch in batches:
         id_type, runs = batch.column(0).type, []
         for id_, text_hash, at, n, partner, later in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (id_, text_hash) != key or at > end:
+            if (id_, text_hash, later) != key or at > end:
                 if key:
                     runs.append(done())
-                key, start, end, partners, every = (id_, text_hash), at, 0, set(), True
+                key, start, end, partners = (id_, text_hash, later), at, 0, set()
             end = max(end, at + n + MIN_WORDS - 1)
             partners.add(partner)
-            every &= later
         yield out(runs)
     if key:
         yield out([done()])

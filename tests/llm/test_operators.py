@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import io
 import zipfile
 import zlib
@@ -257,6 +258,25 @@ def test_repeats_among_places_that_share_parts(spark, rng):
     assert got == brute.repeated(dict(enumerate(texts)))
 
 
+def test_removing_later_repeats_leaves_one_copy(spark, rng):
+    number = itertools.count()
+    fresh = lambda n: [f"p{next(number)}" for _ in range(n)]
+    passages, rows = [], []
+    for copies in (2, 3, 1000):
+        whole, passage = fresh(80), fresh(60)
+        passages += [whole, passage]
+        rows += [whole] * copies + [fresh(rng.randrange(3, 9)) + passage + fresh(rng.randrange(3, 9)) for _ in range(copies)]
+    rows.append(fresh(20) + passages[0][:70] + passages[1] + passages[3][5:] + fresh(20))  # runs that touch, of groups of unlike order
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(7)
+    gone = collections.defaultdict(set)
+    for r in repeats.repeats(docs).collect():
+        if r["later"]:
+            gone[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    left = collections.Counter(w for i, words in enumerate(rows) for k, w in enumerate(words) if k not in gone[i])
+    assert {left[w] for p in passages for w in p} == {1}
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
