@@ -563,8 +563,10 @@ def cold_air_potential(load):
 
 
 def dailies(load) -> DataFrame:
-    """All daily variables for the sites that v_day and v_coarse share, v_coarse's by day of the year."""
-    c = load("v_coarse").where("year(d) = 1996").select("cell", F.dayofyear("d").alias("doy"), "relhum", "pres", "windspeed", "winddir", "prec")
+    """All daily variables for the sites that v_day and v_coarse share, v_coarse's by day of the year: means over all years, of the wind by its components."""
+    c = load("v_coarse").withColumns({"doy": F.dayofyear("d"), "u": physics.wind_u(F.col("windspeed"), F.col("winddir")), "v": physics.wind_v(F.col("windspeed"), F.col("winddir"))})
+    c = c.groupBy("cell", "doy").agg(*(F.avg(n).alias(n) for n in ("relhum", "pres", "prec", "u", "v")))
+    c = c.withColumns({"windspeed": physics.wind_speed(F.col("u"), F.col("v")), "winddir": physics.wind_direction(F.col("u"), F.col("v"))}).drop("u", "v")
     v = load("v_day").select("cell", "row_", "col_", "d", "tmin", "tmax", F.dayofyear("d").alias("doy"))
     return v.join(c, ["cell", "doy"]).drop("doy").withColumns({"swrad": 40 + F.col("tmax") * 2, "lwrad": 280 + F.col("tmin")})
 

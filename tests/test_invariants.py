@@ -110,6 +110,18 @@ def test_hourly_weather_keeps_its_limits(spark):
     assert mean.where("abs(p - pres) > 1e-6 or abs(r - prec) > 1e-6 or abs(w - windspeed) > 1e-6 or abs(l - lwrad) > 1e-6").count() == 0
 
 
+def test_coarse_variables_by_day_of_the_year_are_of_all_years(spark):
+    coarse = [(1, dt.date(y, 3, 1) if y % 4 else dt.date(y, 2, 29), rh, 100.0, 2.0, wd, p) for y, rh, wd, p in ((1993, 60.0, 350.0, 1.0), (1996, 80.0, 10.0, 3.0), (1997, 70.0, 0.0, 8.0))]
+    day = [(1, 1, 2, dt.date(2024, 2, 29), 1.0, 5.0)]
+    tables = {
+        "v_coarse": spark.createDataFrame(coarse, "cell int, d date, relhum double, pres double, windspeed double, winddir double, prec double"),
+        "v_day": spark.createDataFrame(day, "cell int, row_ int, col_ int, d date, tmin double, tmax double"),
+    }
+    (r,) = catalogue.dailies(tables.get).collect()
+    assert (r["relhum"], r["pres"], r["prec"]) == pytest.approx((70.0, 100.0, 4.0))
+    assert min(r["winddir"], 360 - r["winddir"]) < 1e-6 and 1.9 < r["windspeed"] < 2
+
+
 def test_write_refuses_to_replace(spark, tmp_path):
     t = dt.datetime(2018, 5, 1)
     df = spark.createDataFrame([(1, 1, t, 3.5)], "row int, col int, ts timestamp, temp double")
