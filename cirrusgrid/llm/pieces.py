@@ -3,8 +3,8 @@
 Every word is encoded by a score-ordered agenda: all adjacent symbol pairs whose concatenation is a
 piece stand in an agenda by score (best first, leftmost on ties); the best pair merges and its new
 neighbours enter the agenda. Words recur, so a worker remembers the words it has encoded (bounded by
-``MEMO`` entries); of those that an Arrow batch adds, one in ``CHECKED`` is encoded by the
-sentencepiece library as well, and a text with a word on which the two differ is marked.
+``MEMO`` entries). Every text is encoded and decoded by the sentencepiece library as well, whole, and
+marked if the two differ.
 
 Nulls and empty texts give the end id alone. Texts of any length are encoded whole; columns other
 than the id and the text are not read. Repeated rows give repeated results.
@@ -26,8 +26,6 @@ from .common import ready
 SPACE = "▁"
 #: Words a worker remembers; beyond that it starts afresh, which changes no result.
 MEMO = 600_000
-#: One in so many of the words that a batch adds is encoded by the library as well.
-CHECKED = 8
 #: Words of up to so many symbols keep their agenda in a list, longer ones in a heap.
 SHORT, NEVER = 48, float("inf")
 _models: dict[str, PieceModel] = {}
@@ -37,11 +35,10 @@ class Memo(dict):
     """Encodes a key when it is first asked for."""
 
     def __init__(self, encode):
-        self.encode, self.new = encode, []
+        self.encode = encode
 
     def __missing__(self, key: str) -> tuple[int, ...]:
         self[key] = out = self.encode(key)
-        self.new.append(key)
         return out
 
 
@@ -136,22 +133,16 @@ class PieceModel:
             return [x[1:] if x[0] == SPACE else x if x[0] == "\n" else "\n" + x for x in self.runs.findall((SPACE + text).replace(" ", SPACE))]
         return text.replace("\n", " \n").split(" ")
 
-    def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """The ids of each text with the end id, and whether the library agrees on its words."""
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text with the end id."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        memo.new = []
-        keys = [self.keys(t) for t in texts]
-        ids = [[*chain.from_iterable(map(memo.__getitem__, k)), self.eos] for k in keys]
-        wrong = self.disagreements(memo.new[::CHECKED])
-        return ids, [not wrong or wrong.isdisjoint(k) for k in keys]
-
-    def disagreements(self, keys: list[str]) -> set[str]:
-        """Keys that the library encodes otherwise; it adds the prefix itself, even before a line feed."""
-        got = self.library.encode(keys, num_threads=1)
-        ours = [self.memo[k] for k in keys]
-        return {k for k, a, g in zip(keys, ours, got, strict=True) if list(a) != (g[1:] if k[:1] == "\n" else g or [self.id[SPACE]])}
+        return [[*chain.from_iterable(map(memo.__getitem__, self.keys(t))), self.eos] for t in texts]
+
+    def agrees(self, text: str, ids: list[int], decoded: str) -> bool:
+        """Whether the library encodes the text to these ids and decodes them to this text."""
+        return self.library.encode(text, add_eos=True) == ids and self.library.decode(ids) == decoded
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: one leading space is the dummy prefix; runs of byte ids are UTF-8."""
@@ -200,8 +191,8 @@ def model(path: str) -> PieceModel:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes every text with an end id and decodes it again.
 
-    Returns id, n_tokens, ids_sha256, decoded_sha256 and library_agrees (the library encodes all the
-    words of the text alike); with_ids adds the ids and the decoded text themselves.
+    Returns id, n_tokens, ids_sha256, decoded_sha256 and library_agrees (the library encodes the
+    whole text alike, and decodes its ids alike); with_ids adds the ids and the decoded text themselves.
     """
     ready(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
@@ -211,8 +202,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for whole in batches:
             for at in range(0, whole.num_rows, 256):  # few texts at a time bound the memory of long ones
                 batch = whole.slice(at, 256)
-                ids, agrees = m.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+                given = [t or "" for t in batch.column(1).to_pylist()]
+                ids = m.encode_batch(given)
                 texts = [m.decode(x) for x in ids]
+                agrees = list(map(m.agrees, given, ids, texts))
                 out = [
                     batch.column(0),
                     pa.array([len(x) for x in ids], pa.int64()),

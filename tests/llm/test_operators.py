@@ -34,6 +34,19 @@ def test_pieces_are_the_library_s(docs, texts):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["library_agrees"]) == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids)), True)
 
 
+def test_every_text_is_held_against_the_library():
+    broken = pieces.PieceModel(PIECES)
+    texts = [f"some w{i}ord of many" for i in range(40)]
+    broken.encode_batch(texts)
+    for key in list(broken.memo):
+        if "ord" in key:
+            broken.memo[key] = (*broken.memo[key], broken.byte[65])
+    for _ in range(2):  # also in batches that add no word
+        ids = broken.encode_batch([*texts, "some of many"])
+        assert [broken.agrees(t, x, broken.decode(x)) for t, x in zip([*texts, "some of many"], ids)] == [False] * 40 + [True]
+    assert not broken.agrees("some of many", ids[-1], "some of any")
+
+
 def test_decoding_any_ids(rng):
     model = pieces.PieceModel(PIECES)
     for _ in range(300):
