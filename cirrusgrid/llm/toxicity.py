@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ MIN_TEXTS = 10
 #: Features average over hundreds of words, of which a few matter; the average is scaled up before the output layer.
 SCALE = 30.0
 MEMO = 500_000
+#: Tokens of more characters aren't remembered, and their features are summed so many places at a time.
+LONG, PLACES = 64, 1 << 16
 _last: list[Memo] = []
 
 _edges = re.compile(r"^\W+|\W+$")
@@ -44,16 +47,24 @@ _leet = str.maketrans("013457@$!", "oieastasi")
 
 def features(token: str) -> list[int]:
     """Buckets of a token: the word, bare of punctuation and in lower case, and its n-grams with word ends marked."""
+    return list(chain.from_iterable(parts(token)))
+
+
+def parts(token: str) -> Iterator[list[int]]:
+    """features() of a token of any length, those of PLACES places at a time."""
     word = token.lower()
     if not word.isalpha():
         word = _edges.sub("", word)
         if not word.isalpha() and any(c.isalpha() for c in word):
             word = word.translate(_leet)
     if not word:
-        return []
-    raw = f"<{word}>".encode("utf-32-le")[: 4 * 64]  # longer tokens are no words; their first n-grams tell them apart
-    grams = [raw[i : i + 4 * n] for n in GRAMS for i in range(0, len(raw) - 4 * n + 1, 4)]
-    return [zlib.crc32(g) & (BUCKETS - 1) for g in (*grams, raw)]
+        return
+    raw = f"<{word}>".encode("utf-32-le")
+    for n in GRAMS:
+        end = len(raw) - 4 * n + 1
+        for at in range(0, end, 4 * PLACES):
+            yield [zlib.crc32(raw[i : i + 4 * n]) & (BUCKETS - 1) for i in range(at, min(end, at + 4 * PLACES), 4)]
+    yield [zlib.crc32(raw) & (BUCKETS - 1)]
 
 
 @dataclass
@@ -72,6 +83,8 @@ class Memo(dict):
         self.model = model
 
     def __missing__(self, token: str) -> complex:
+        if len(token) > LONG:
+            return sum((complex(float(self.model.weight[at].sum()), len(at)) for at in parts(token)), 0j)
         at = features(token)
         self[token] = out = complex(float(self.model.weight[at].sum()), len(at)) if at else 0j
         return out
@@ -154,7 +167,9 @@ def _bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarra
     for token in text.split():
         at = known.get(token)
         if at is None:
-            at = known[token] = np.array(features(token), np.int32)
+            at = np.fromiter(chain.from_iterable(parts(token)), np.int32)
+            if len(token) <= LONG:
+                known[token] = at
         flat.append(at)
     ids, share = np.unique(np.concatenate(flat), return_counts=True)
     return ids, (SCALE * share / max(1, share.sum())).astype(np.float32)

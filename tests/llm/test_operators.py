@@ -353,3 +353,19 @@ def test_scores_are_sums_over_features():
     want = model.bias + float(np.mean(model.weight[feats]))
     assert toxicity.Memo(model).scores(pa.array([text, None, ""]))[0] == pytest.approx(1 / (1 + np.exp(-want)))
     assert toxicity.features("th1ng") == toxicity.features("Thing,")
+
+
+@pytest.mark.parametrize("joint", ["_", "", "."])
+def test_long_tokens_count_whole(joint, rng, monkeypatch):
+    good = ["lorem", "ipsum", "dolor", "amet"]
+    texts = [" ".join(rng.choices(good, k=20) + ["vilethorn"] * (3 * (i % 2))) for i in range(80)]
+    memo = toxicity.Memo(toxicity.train(texts, [i % 2 for i in range(80)]))
+    clean = joint.join(good * 10)
+    a, b = memo.scores(pa.array([clean, joint.join([clean, *["vilethorn"] * 20])]))
+    assert b > a + 0.2
+    token = "x" + "abcde" * 40
+    whole = toxicity.features(token)
+    assert len(whole) == sum(len(token) + 2 - n + 1 for n in toxicity.GRAMS) + 1
+    assert token not in memo and memo[token].imag == len(whole) and token not in memo
+    monkeypatch.setattr(toxicity, "PLACES", 7)
+    assert toxicity.features(token) == whole
