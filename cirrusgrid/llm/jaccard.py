@@ -1,18 +1,22 @@
 """N-gram Jaccard join: tiles of one size band, bitmap signatures, exact intersection.
 
-A text's set is its distinct five-word shingles, as 64-bit hashes. Two sets of similarity 4/5 or more have a
-hash in common among their n - ceil(4n/5) + 1 least ones, so a tile is formed for every such hash and a
-band of sizes: sets whose sizes differ too much never meet. In a tile, signatures of ``BITS`` hashed bits
-bound the overlap of two sets from above; only pairs that pass are intersected exactly, on sorted arrays.
-
-Only components are asked for, so tiles are used twice. First each set is intersected with the one before
-it in its tile, by size, which joins nearly all groups of copies at the cost of one row a member. Then only
-tiles that still hold sets of different components are compared, and only across components. Tiles of more
-than ``BLOCK`` sets are cut into blocks, and each pair of blocks is a tile. Sets that are equal are one set
-from the start. Nothing is dropped, so every link between different sets is accounted for.
-
-A null, empty or blank text has an empty set and stands alone. Repeated rows repeat in the result. A row
-without an id links with nothing, and its component is null. Only id and text are read.
+A text's set is its distinct five-word shingles, as 64-bit hashes. Hashes are ordered: those of more than
+``HOT`` sets last, the rest by value. Two sets of similarity 4/5 or more have a hash in common among their
+n - ceil(4n/5) + 1 first ones, so a tile is formed for every such hash and a band of sizes: sets whose sizes
+differ too much never meet, and texts that share a common passage alone meet in no tile of it unless they
+have little else. In a tile, signatures of ``BITS`` hashed bits bound the overlap of two sets from above;
+only pairs that pass are intersected exactly, on sorted arrays.
+
+Only components are asked for. Each set is first intersected with the likeliest of a few sets beside it in
+its first tiles, and then, in tiles that still hold several components, with the likeliest of another one.
+At last all pairs of different components whose signatures allow it are intersected. A tile is cut into
+blocks of ``BLOCK`` sets; the sets of its largest component stay in their block, and the others visit all
+blocks. Links found earlier are kept as stars around the roots. Sets that are equal are one set from the
+start. Nothing is dropped, so every link between different sets is accounted for.
+
+A null, empty or blank text has an empty set and stands alone. Texts of any length count whole. Repeated
+rows repeat in the result. A row without an id links with nothing, and its component is null. Only the id
+and the text are read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,80 +27,188 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, drop, keep, ready, release, words
+from . import vectors
+from .common import drop, keep, ready, release
 from .components import components
-from .fingerprints import shingle_hashes
 
-# Similarity NUM / DEN or more.
-NUM, DEN = 80, 100
+# Similarity NUM / DEN or more, shingles of SHINGLE words.
+NUM, DEN, SHINGLE = 80, 100, 5
 BITS, BLOCK = 1024, 4096
-#: Rounds in which sets are paired with one other before all are compared; any number gives the same components.
-ROUNDS = 2
-#: Ids of a bounded number are broadcast, more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Hashes among the first ones of more sets than HOT come last in the order, the most frequent MOST_HOT of them. Any set
+#: of hashes gives the same links; this one keeps tiles small.
+HOT, MOST_HOT = 100, 200_000
+#: In the first round a set's first FIRST tiles count, and in each the BESIDE sets before it.
+FIRST, BESIDE = 3, 32
+#: In tiles of up to so many sets all pairs are compared at once; of larger ones, first each set with the likeliest other.
+SMALL = 128
+#: Sets, links or tiles of a bounded number are broadcast, more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, k, n, least): the hash and size of every text's set, and the least hashes of which similar sets share one."""
-    out = docs.select(F.col(id_col).alias("id"), words(ascii_lower(F.col(text_col))).alias("w"))
-    out = out.withColumn("h", shingle_hashes(F.col("w"))).withColumn("h", F.sort_array("h")).withColumn("n", F.size("h"))
-    least = F.slice("h", F.lit(1), (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).cast("int"))
-    return out.select("id", F.xxhash64("h").alias("k"), "n", F.when(F.col("n") > 0, least).otherwise(F.col("h")).alias("least"))
+    """(id, k, n, h, bits) of every text: hash and size of its set, its sorted hashes and its signature.
 
+    h and bits are null where a task has given them for an equal set, and without a set or an id.
+    """
+    ready(docs.sparkSession)
+    kind = dict(docs.dtypes)[id_col]
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(_sets, f"id {kind}, k long, n int, h binary, bits binary")
+
+
+def shingles(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; of fewer words, the hash of the whole sequence."""
+    flat, count = vectors.words(pc.ascii_lower(texts))
+    word = vectors.hashes(flat)
+    run = vectors.rolling(word, SHINGLE).view(np.int64)
+    out, at = [], 0
+    for n in count.tolist():
+        if n >= SHINGLE:
+            h = np.sort(run[at : at + n - SHINGLE + 1])
+            out.append(h[np.concatenate([[True], h[1:] != h[:-1]])])
+        else:
+            out.append(np.array([xxhash.xxh64_intdigest(word[at : at + n].tobytes(), n) - 2**63] if n else [], np.int64))
+        at += n
+    return out
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()
+    for batch in batches:
+        for start, texts in vectors.slices(batch.column(1)):
+            found = shingles(texts)
+            k = [xxhash.xxh64_intdigest(h.tobytes()) - 2**63 for h in found]
+            named = batch.column(0).slice(start, len(texts)).is_valid().to_numpy(zero_copy_only=False)
+            new = np.zeros(len(found), bool)
+            for i, x in enumerate(k):
+                if len(found[i]) and named[i] and x not in seen:
+                    new[i] = True
+                    seen.add(x)
+            if len(seen) > 200_000:
+                seen.clear()
+            signs = [_signature(h) if give else None for h, give in zip(found, new, strict=True)]
+            cols = [batch.column(0).slice(start, len(texts)), pa.array(k, pa.int64()), pa.array([len(h) for h in found], pa.int32()), vectors.blobs(found, new), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "k", "n", "h", "bits"])
+
+
+def _signature(h: np.ndarray) -> bytes:
+    size = max(BITS, 1 << (len(h) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[h & (size - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def reach(n):
+    """How many first hashes similar sets share one of, for sets of size n."""
+    return n - -(-n * NUM // DEN) + 1
 
-def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, k, n) for each of the least hashes of a set; copies of a set that a task sees again add nothing."""
-    seen: set[tuple[int, int]] = set()
+
+def _within(count: np.ndarray) -> np.ndarray:
+    """0, 1, .. for each count."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, c): the least hashes of sets, and in how many sets of a batch each is among them."""
     for batch in batches:
-        if len(seen) > 1_000_000:
-            seen.clear()
-        take = []
-        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            if key not in seen:
-                seen.add(key)
-                take.append(i)
-        part = batch.take(pa.array(take, pa.int64()))
-        lists = part.column(2)
-        at = pc.list_parent_indices(lists)
-        yield pa.RecordBatch.from_arrays([lists.flatten(), part.column(0).take(at), part.column(1).take(at)], names=["hash", "k", "n"])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (hash, k, n) sorted by hash, n and k: those that share their hash with another set, with the set before them there."""
-    held, given = np.zeros((0, 3), np.int64), False  # the last row, and whether it has been given out
+        flat, off = vectors.unblob(batch.column(0))
+        p = reach(np.diff(off))
+        hash_, c = np.unique(flat[np.repeat(off[:-1], p) + _within(p)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hash_), pa.array(c.astype(np.int64))], names=["hash", "c"])
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by hash: hashes of more sets than least, with their number."""
+    hold, many = None, 0
     for batch in batches:
-        rows = np.concatenate([held, np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])])
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows[1:] != rows[:-1]).any(1)
-        rows = rows[fresh]
-        if len(rows) > 1:
-            same = rows[1:, 0] == rows[:-1, 0]
-            before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
-            out = before | after
-            out[0] &= not given
-            given = bool(before[-1])
-            pick = np.flatnonzero(out)
-            yield _chained(rows[pick], rows[pick - 1, 1], before[pick])
-        held = rows[-1:]
+        if not batch.num_rows:
+            continue
+        hash_, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], hash_[1:] != hash_[:-1]]))
+        keys, total = hash_[start], np.add.reduceat(c, start)
+        if hold is not None:
+            if keys[0] == hold:
+                total[0] += many
+            elif many > least:
+                yield pa.RecordBatch.from_arrays([pa.array([hold], pa.int64()), pa.array([many], pa.int64())], names=["hash", "c"])
+        hold, many = int(keys[-1]), int(total[-1])
+        big = np.flatnonzero(total[:-1] > least)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(total[big])], names=["hash", "c"])
+    if hold is not None and many > least:
+        yield pa.RecordBatch.from_arrays([pa.array([hold], pa.int64()), pa.array([many], pa.int64())], names=["hash", "c"])
+
+
+def first_hashes(flat: np.ndarray, off: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sets, one after the other in flat: the number of each set, the place in flat and the rank of its first hashes, hot ones last."""
+    n = np.diff(off)
+    p = reach(n)
+    look = np.minimum(n, p + 16)
+    row, place = np.repeat(np.arange(len(n)), look), np.repeat(off[:-1], look) + _within(look)
+    cool = ~_among(flat[place], hot)
+    rank = np.cumsum(cool) - 1
+    before = np.concatenate([[0], np.cumsum(np.bincount(row, cool, len(n)).astype(np.int64))])
+    rank -= before[row]
+    enough = (np.diff(before) >= p) | (n == 0)
+    take = cool & (rank < p[row]) & enough[row]
+    rows, places, ranks = [row[take]], [place[take]], [rank[take]]
+    for i in np.flatnonzero(~enough):
+        own = flat[off[i] : off[i + 1]]
+        order = np.argsort(_among(own, hot), kind="stable")[: p[i]]
+        rows.append(np.full(len(order), i))
+        places.append(off[i] + order)
+        ranks.append(np.arange(len(order)))
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(ranks)
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _tile_rows(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """(hash, k, n, rank, salts) for each of a set's first hashes; salts is the number of blocks of a hot one, 0 for the others."""
+    hot, blocks = sent.value
+    for batch in batches:
+        flat, off = vectors.unblob(batch.column(1))
+        row, place, rank = first_hashes(flat, off, hot)
+        hash_ = flat[place]
+        salts = np.zeros(len(hash_), np.int32)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, hash_), len(hot) - 1)
+            salts = np.where(hot[at] == hash_, blocks[at], 0).astype(np.int32)
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(hash_), batch.column(0).take(take), pa.array(np.diff(off)[row].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(salts)], names=TILE)
+
+
+TILE = ["hash", "k", "n", "rank", "salts"]
+TILED = ["hash", "band", "block", "askers", "n", "k", "comp", "home", "loose", "asks", "member"]
 
 
-def _chained(rows: np.ndarray, prev: np.ndarray, has: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(prev, mask=~has)]
-    return pa.RecordBatch.from_arrays(cols, names=["hash", "k", "n", "prev"])
+def _columns(batch: pa.RecordBatch, *at: int) -> np.ndarray:
+    return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in at])
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by hash, n and k: hot ones, and those that share their hash with another set; once each."""
+    held, given = np.zeros((0, 5), np.int64), False  # the last row, and whether it has been given out
     for batch in batches:
-        signs = []
-        for h in batch.column(2):
-            size = max(BITS, 1 << (len(h) - 1).bit_length())
-            bits = np.zeros(size, np.uint8)
-            bits[h.values.to_numpy() & (size - 1)] = 1
-            signs.append(np.packbits(bits).tobytes())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signs, pa.binary())], names=["k", "n", "h", "bits"])
+        rows = np.concatenate([held, _columns(batch, 0, 1, 2, 3, 4)])
+        if not len(rows):
+            continue
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
+        rows = rows[fresh]
+        same = rows[1:, 0] == rows[:-1, 0]
+        out = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (rows[:, 4] > 0)
+        out[0] &= not given
+        given = bool(out[-1]) or (given and len(rows) == 1)
+        pick = rows[out]
+        yield pa.RecordBatch.from_arrays([pa.array(pick[:, i].astype(np.int64 if i < 2 else np.int32)) for i in range(5)], names=TILE)
+        held = rows[-1:]
 
 
 def _folded(signs: list[bytes], size: int) -> np.ndarray:
@@ -110,74 +222,134 @@ def _folded(signs: list[bytes], size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _possible(n, m, ones_n, ones_m, both):
-    """Whether sets of sizes n and m, whose signatures share so many bits, can be similar: a bit that one lacks is a hash that it lacks."""
-    return (NUM + DEN) * np.minimum(n - (ones_n - both), m - (ones_m - both)) >= NUM * (n + m)
+def _most(n, m, ones_n, ones_m, both):
+    """The most that sets of sizes n and m whose signatures share so many bits can have in common: a bit that one lacks is a hash that it lacks."""
+    return np.minimum(n - (ones_n - both), m - (ones_m - both))
 
 
-def _compare(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
-    """Of tiles, sorted by tile and size: pairs of sets of different components whose signatures allow the similarity.
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    both = np.unique(np.column_stack([np.minimum(p, q), np.maximum(p, q)]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    Unless every pair is asked for, a set is paired with the first other one of a run of sets alone.
-    """
 
-    def pairs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        k, n, comp, side = (np.concatenate([p[c] for p in parts]) for c in range(4))
-        if len(k) < 2 or (comp == comp[0]).all():
-            return
-        signs = [x for p in parts for x in p[4]]
-        bits = _folded(signs, min(map(len, signs)))
-        ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
-        wide = max(64, (1 << 17) // bits.shape[1] // 64)
-        for i in range(0, len(k), 64):
-            a = slice(i, i + 64)
-            top = np.searchsorted(n, n[min(i + 63, len(n) - 1)] * DEN // NUM, "right")
-            for j in range(i, top, wide):
-                b = slice(j, min(j + wide, top))
-                both = np.bitwise_count(bits[a, None] & bits[None, b]).sum(2, dtype=np.int64)
-                fits = _possible(n[a, None], n[None, b], ones[a, None], ones[None, b], both)
-                fits &= (comp[a, None] != comp[None, b]) & (side[a, None] | side[None, b] == 3)
-                fits &= np.arange(i, i + fits.shape[0])[:, None] < np.arange(j, j + fits.shape[1])
-                if every:
-                    x, y = np.nonzero(fits)
-                else:
-                    x = np.flatnonzero(fits.any(1))
-                    y = fits[x].argmax(1)
-                if len(x):
-                    p, q = k[a][x], k[b][y]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
-    held, current = [], None
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (hash, salt, n, k, bits), sorted: pairs of each set and the likeliest of the BESIDE sets before it in its tile."""
+    held, signs = np.zeros((0, 4), np.int64), np.zeros((0, BITS // 64), np.uint64)
     for batch in batches:
-        at = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
-        cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5, 6, 7)]
-        signs = batch.column(8).to_pylist()
-        cuts = np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1
-        for s, e in zip([0, *cuts], [*cuts, len(at)], strict=True):
-            if e > s:
-                if (key := tuple(at[s])) != current:
-                    if held:
-                        yield from pairs(held)
-                    held, current = [], key
-                held.append((*(c[s:e] for c in cols), signs[s:e]))
-    if held:
-        yield from pairs(held)
-
-
-def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures allow the similarity."""
-    for batch in batches:
-        n, m = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-        x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        size = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
-        good = np.zeros(len(n), bool)
-        count = lambda v: np.bitwise_count(v).sum(1, dtype=np.int64)
-        for length in np.unique(size):
-            at = np.flatnonzero(size == length)
-            p, q = _folded([x[i] for i in at], int(length)), _folded([y[i] for i in at], int(length))
-            good[at] = _possible(n[at], m[at], count(p), count(q), count(p & q))
-        take = pa.array(np.flatnonzero(good))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["a", "b"])
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([held, _columns(batch, 0, 1, 2, 3)])
+        signs = np.concatenate([signs, _folded(batch.column(4).to_pylist(), BITS // 8)])
+        ones = np.bitwise_count(signs).sum(1, dtype=np.int64)
+        best, which = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+        for d in range(1, min(BESIDE, len(rows) - 1) + 1):
+            both = np.bitwise_count(signs[d:] & signs[:-d]).sum(1, dtype=np.int64)
+            most = _most(rows[d:, 2], rows[:-d, 2], ones[d:], ones[:-d], both)
+            total = rows[d:, 2] + rows[:-d, 2]
+            like = np.where((rows[d:, :2] == rows[:-d, :2]).all(1) & ((NUM + DEN) * most >= NUM * total) & (rows[d:, 3] != rows[:-d, 3]), most / total, 0.0)
+            better = like > best[d:]
+            best[d:][better], which[d:][better] = like[better], d
+        best[: len(held)] = 0
+        at = np.flatnonzero(best)
+        yield _pairs([rows[at, 3]], [rows[at - which[at], 3]])
+        held, signs = rows[-BESIDE:], signs[-BESIDE:]
+
+
+def _compare(batches: Iterator[pa.RecordBatch], every: bool, few: int) -> Iterator[pa.RecordBatch]:
+    """Of tiles or their blocks, (TILED.., bits), sorted: pairs of sets of different components whose signatures allow the similarity.
+
+    In a small tile all are compared, in others those that ask with the members: two loose sets once. Two guests are not, as
+    they meet where both are at home. Unless every pair is asked for, a set of a large tile is paired with the likeliest member alone.
+    """
+    held: tuple[np.ndarray, list[bytes]] = (np.zeros((0, len(TILED)), np.int64), [])
+    for batch in _last_too(batches):
+        if batch is None:
+            rows, signs = held
+            bounds = np.append(np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(1)])) if len(rows) else [], len(rows)).astype(np.int64)
+        else:
+            rows, signs = np.concatenate([held[0], _columns(batch, *range(len(TILED)))]), held[1] + batch.column(len(TILED)).to_pylist()
+            if not len(rows):
+                continue
+            bounds = np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(1)]))
+            held = (rows[bounds[-1] :], signs[bounds[-1] :])  # the last tile may go on
+        size = np.diff(bounds)
+        if not len(size):
+            continue
+        small = size <= few
+        at = np.flatnonzero(np.repeat(small, size))
+        tile = np.repeat(np.arange(len(size)), size)
+        if len(at):
+            yield from _all_pairs(rows[at], tile[at], [signs[i] for i in at])
+        for t in np.flatnonzero(~small):
+            yield from _asked(rows[bounds[t] : bounds[t + 1]], signs[bounds[t] : bounds[t + 1]], every)
+
+
+def _last_too(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _all_pairs(rows: np.ndarray, tile: np.ndarray, signs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Pairs within small tiles, all tiles at once: each row with the d-th before it, for every d."""
+    length = np.fromiter(map(len, signs), np.int64, len(signs))
+    first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+    least = np.repeat(np.minimum.reduceat(length, first), np.diff(np.append(first, len(tile))))
+    for size in np.unique(least):
+        own = np.flatnonzero(least == size)
+        n, k, comp, home, t = rows[own, 4], rows[own, 5], rows[own, 6], rows[own, 7], tile[own]
+        bits = _folded([signs[i] for i in own], int(size))
+        ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+        a, b = [], []
+        for d in range(1, len(own)):
+            i = np.flatnonzero(t[d:] == t[:-d]) + d
+            if not len(i):
+                break
+            j = i - d
+            apart = (comp[i] != comp[j]) & (home[i] | home[j] == 1) & ((NUM + DEN) * n[j] >= NUM * (n[i] + n[j]))
+            i, j = i[apart], j[apart]
+            fits = (NUM + DEN) * _most(n[i], n[j], ones[i], ones[j], np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)) >= NUM * (n[i] + n[j])
+            a.append(k[i[fits]])
+            b.append(k[j[fits]])
+        if a:
+            yield _pairs(a, b)
+
+
+def _asked(rows: np.ndarray, signs: list[bytes], every: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of the sets that ask in a block and its members."""
+    n, k, comp, home, loose, asks, member = rows[:, 4:].T
+    ask, give = np.flatnonzero(asks), np.flatnonzero(member)
+    if not len(ask) or not len(give):
+        return
+    bits = _folded(signs, min(map(len, signs)))
+    ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    wide = max(64, (1 << 17) // bits.shape[1] // 64)
+    a, b = [], []
+    for i in range(0, len(ask), 64):
+        x = ask[i : i + 64]
+        low, top = np.searchsorted(n[give], -(-n[x[0]] * NUM // DEN)), np.searchsorted(n[give], n[x[-1]] * DEN // NUM, "right")
+        likely, which = np.zeros(len(x)), np.zeros(len(x), np.int64)
+        for j in range(low, top, wide):
+            y = give[j : min(j + wide, top)]
+            both = np.bitwise_count(bits[x, None] & bits[None, y]).sum(2, dtype=np.int64)
+            most, total = _most(n[x, None], n[None, y], ones[x, None], ones[None, y], both), n[x, None] + n[None, y]
+            fits = ((NUM + DEN) * most >= NUM * total) & (comp[x, None] != comp[None, y]) & ((home[x, None] | home[None, y]) == 1) & ((loose[None, y] == 0) | (k[x, None] < k[None, y]))
+            if every:
+                p, q = np.nonzero(fits)
+                a.append(k[x[p]])
+                b.append(k[y[q]])
+                if sum(map(len, a)) > 100_000:
+                    yield _pairs(a, b)
+                    a, b = [], []
+            else:
+                like = np.where(fits, most / total, 0.0)
+                at = like.argmax(1)
+                better = like[np.arange(len(x)), at] > likely
+                likely[better], which[better] = like[better, at[better]], k[y[at[better]]]
+        a.append(k[x[likely > 0]])
+        b.append(which[likely > 0])
+    if a:
+        yield _pairs(a, b)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,83 +357,96 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            p, q = x.values.to_numpy(), y.values.to_numpy()
-            both = len(np.intersect1d(p, q, assume_unique=True))
+            p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+            at = np.minimum(np.searchsorted(p, q), len(p) - 1)
+            both = int((p[at] == q).sum())
             if DEN * both >= NUM * (len(p) + len(q) - both):
                 good.append(i)
         at = pa.array(good, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, arrays: DataFrame, signed: bool) -> DataFrame:
-    """Pairs (a, b) of sets that are similar: by signatures, unless these have been compared, then by the sets themselves."""
-    if not signed:
-        sign = arrays.select("k", "n", "bits")
-        near = pairs.join(sign.toDF("a", "na", "xa"), "a").join(sign.toDF("b", "nb", "xb"), "b")
-        pairs = keep(near.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_bound, "a long, b long"), "candidates")
+def _links(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that are similar, stored."""
+    pairs = keep(pairs.distinct(), "candidates")
+    named = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
     # Sets that no pair names stay where they are; of each pair one set is sent to the other.
-    named = keep(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "named")
-    side = arrays.select("k", "h").join(_few(named), "k", "left_semi")
-    return pairs.join(side.toDF("b", "hb"), "b").join(side.toDF("a", "ha"), "a").select("a", "b", "ha", "hb").mapInArrow(_verify, "a long, b long")
+    side = keep(full.where("h is not null").select("k", "h").join(_few(named), "k", "left_semi").groupBy("k").agg(F.first("h").alias("h")), "named")
+    both = pairs.join(side.toDF("b", "hb").hint("merge"), "b").join(side.toDF("a", "ha").hint("merge"), "a").select("a", "b", "ha", "hb")
+    links = keep(both.mapInArrow(_verify, "a long, b long"), "links")
+    for done in (pairs, side):
+        drop(done)
+    return links
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if their number, which is counted, is small enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """ids, to be broadcast if their number, which is counted, is small enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _joined(before: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) by the links found so far, of which earlier ones are the stars in before."""
+    stars = links if before is None else links.unionAll(before.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    label = keep(components(stars), "components")
+    release(links.sparkSession)
+    return label
 
 
 def similar_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, k, n) of all texts, stored, and (node, root): components of sets k that have a similar set."""
-    full = keep(sets(docs, id_col, text_col), "shingles")
-    rows = full.where("n > 0 and id is not null").select("k", "n", "least").mapInArrow(_tile_rows, "hash long, k long, n int")
-    met = rows.repartition("hash").sortWithinPartitions("hash", "n", "k").mapInArrow(_neighbours, "hash long, k long, n int, prev long")
-    met = keep(met, "tiles")
-    texts_of = keep(full.select("id", "k", "n"), "shingled")
-    drop(full)
-    found = texts_of.where("n > 0 and id is not null")
-    # The sets themselves, of one document for each set that shares a tile.
-    wanted = found.select("k", "n", "id").join(met.select("k", "n").distinct(), ["k", "n"], "left_semi")
-    wanted = keep(wanted.groupBy("k", "n").agg(F.min("id").alias("id")), "representatives")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(_few(wanted.select("id")), "id", "left_semi")
-    again = texts.withColumn("w", words(ascii_lower(F.col("t")))).withColumn("h", F.sort_array(shingle_hashes(F.col("w"))))
-    again = again.select(F.xxhash64("h").alias("k"), F.size("h").alias("n"), "h")  # a set twice over, of a repeated row, gives a link twice
-    arrays = keep(again.mapInArrow(_signatures, "k long, n int, h array<long>, bits binary"), "sets")
-    release(docs.sparkSession)
-
-    chain = met.where(F.col("prev").isNotNull()).select(F.least("k", "prev").alias("a"), F.greatest("k", "prev").alias("b")).distinct()
-    links = keep(_links(chain, arrays, False), "links")
-    label = components(links)
-    release(docs.sparkSession)
-    # What the chain has left apart is paired set by set, and joined, before all pairs across components are looked at.
-    for every in (*[False] * ROUNDS, True):
-        tiles, mixed = _mixed_tiles(met, arrays, label)
-        rest = keep(tiles.mapInArrow(partial(_compare, every=every), "a long, b long").distinct(), "candidates")
-        drop(mixed)
-        links = keep(links.unionAll(_links(rest, arrays, True)), "links")
-        label = components(links)
-        release(docs.sparkSession)
-    return texts_of, label
-
-
-def _mixed_tiles(met: DataFrame, arrays: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tiles that hold sets of different components, sorted for _compare, and the stored table they come from."""
-    mixed = met.select("hash", "k", "n").join(label.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("root", "k"))
-    split = mixed.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("hash")
-    mixed = keep(mixed.join(split, "hash", "left_semi").select("hash", "k", "n", "comp"), "mixed-tiles")
+    spark = docs.sparkSession
+    full = keep(sets(docs, id_col, text_col), "sets", "uncompressed")
+    given = full.where("h is not null")
+    counted = given.select("h").mapInArrow(_counted, "hash long, c long").repartition("hash").sortWithinPartitions("hash")
+    hot = counted.mapInArrow(partial(_frequent, least=HOT), "hash long, c long").orderBy(F.desc("c"), "hash").limit(MOST_HOT).collect()
+    hot = sorted((r["hash"], -(-r["c"] // BLOCK)) for r in hot)
+    sent = spark.sparkContext.broadcast((np.array([h for h, _ in hot], np.int64), np.array([b for _, b in hot], np.int64)))
+    rows = given.select("k", "h").mapInArrow(partial(_tile_rows, sent=sent), "hash long, k long, n int, rank int, salts int")
+    # Hot tiles are met anyway; only the others need their rows together.
+    apart = rows.repartition("hash", F.when(F.col("salts") > 0, F.col("k"))).sortWithinPartitions("hash", "n", "k")
+    met = keep(apart.mapInArrow(_met, rows.schema), "tiles")
+    signs = keep(given.select("k", "bits").groupBy("k").agg(F.first("bits").alias("bits")), "signatures")
+    release(spark)
+
+    early = met.where(F.col("rank") < FIRST).withColumn("salt", F.when(F.col("salts") > 0, F.pmod("k", F.greatest("salts", F.lit(1)))).otherwise(0))
+    early = early.join(signs.hint("merge"), "k").select("hash", "salt", "n", "k", "bits").repartition("hash", "salt").sortWithinPartitions("hash", "salt", "n", "k")
+    label = _joined(None, _links(early.mapInArrow(_beside, "a long, b long"), full))
+    # Small tiles that this leaves mixed are compared whole; in larger ones each set is paired with one, and joined, before all others are.
+    for every in (False, True):
+        blocks, *stored = _blocks(met, signs, label, SMALL if every else 1)
+        links = _links(blocks.mapInArrow(partial(_compare, every=every, few=SMALL), "a long, b long"), full)
+        label, before = _joined(label, links), label
+        for done in (links, before, *stored):
+            drop(done)
+    found = keep(full.select("id", "k", "n"), "texts")
+    for done in (full, met, signs):
+        drop(done)
+    return found, label
+
+
+def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blocks of the tiles that hold sets of several components and over so many sets, sorted for _compare, and the stored tables they come from."""
+    rows = met.select("hash", "k", "n").join(label.withColumnRenamed("node", "k").hint("merge"), "k", "left").withColumn("comp", F.coalesce("root", "k")).drop("root")
+    rows = keep(rows, "labelled")
+    mixed = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where(f"lo <> hi and c > {over}").select("hash")
     # A set belongs to its band of sizes, and is a guest in the next one, whose sets may be up to DEN / NUM times as large.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
-    banded = mixed.select("hash", "k", "n", "comp", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home")))).alias("x"))
-    banded = banded.select("hash", "x.band", "x.home", "k", "n", "comp")  # two guests meet where both are at home
-    sizes = banded.groupBy("hash", "band").agg(F.count(F.lit(1)).alias("many"), F.sum("home").alias("homes")).where("many > 1 and homes > 0")
-    tiles = banded.join(sizes.select("hash", "band", "many"), ["hash", "band"])
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("k", F.lit(1)), blocks).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(block, o).alias("i"), F.greatest(block, o).alias("j"), F.when(block == o, 3).when(block < o, 1).otherwise(2).alias("side")))
-    tiles = tiles.select("hash", "band", "k", "n", "comp", "home", F.explode(pair).alias("x"))
-    # Sides: 1 and 2 for either block of a pair, 3 where both are one; sets meet across blocks, or within one that is paired with itself.
-    tiles = tiles.select("hash", "band", "x.i", "x.j", "k", "n", "comp", "x.side").join(arrays.select("k", "bits"), "k")
-    tiles = tiles.select("hash", "band", "i", "j", "k", "n", "comp", "side", "bits").repartition("hash", "band", "i", "j").sortWithinPartitions("hash", "band", "i", "j", "n", "k")
-    return tiles, mixed
+    at = F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home")))
+    banded = rows.join(mixed, "hash", "left_semi").select("hash", "k", "n", "comp", F.explode(at).alias("x")).select("hash", "x.band", "k", "n", "comp", "x.home")
+    parts = banded.groupBy("hash", "band", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("home").alias("homes"))
+    tiles = parts.groupBy("hash", "band").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("many"), F.count(F.lit(1)).alias("comps"), F.sum("homes").alias("homes"))
+    tiles = keep(tiles.where(f"comps > 1 and homes > 0 and many > {over}").select("hash", "band", F.col("top.comp").alias("top"), "many", (F.col("many") - F.col("top.c")).alias("others")), "mixed")
+    placed = banded.join(_few(tiles), ["hash", "band"]).withColumn("loose", (F.col("comp") != F.col("top")).cast("int"))
+    blocks, askers = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("many", "others"))
+    own, seat = (F.pmod(F.xxhash64("k", F.lit(s)), n).cast("int") for s, n in ((1, blocks), (2, askers)))
+    # Members stay in their block, and loose sets ask in all blocks; both come in parts of BLOCK.
+    part = lambda block, asker, asks, member: F.struct(block.alias("block"), asker.alias("askers"), asks.cast("int").alias("asks"), F.lit(member).alias("member"))
+    here = F.transform(F.sequence(F.lit(0), askers - 1), lambda j: part(own, j, (F.col("loose") == 1) & (j == seat), 1))
+    there = F.filter(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: part(i, seat, F.lit(1), 0)), lambda x: x["block"] != own)
+    visits = F.when(F.col("loose") == 1, F.concat(here, there)).otherwise(here)
+    placed = placed.select("hash", "band", "n", "k", "comp", "home", "loose", F.explode(visits).alias("x")).select("hash", "band", "x.*", "n", "k", "comp", "home", "loose").join(signs.hint("merge"), "k")
+    key = ["hash", "band", "block", "askers"]
+    return placed.select(*TILED, "bits").repartition(*key).sortWithinPartitions(*key, "n", "k"), rows, tiles
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cirrusgrid.llm import archives, catalogue, components, fingerprints, jaccard, lines, packing, pieces, quality, repeats, secrets, toxicity
+from cirrusgrid.llm import archives, catalogue, components, fingerprints, jaccard, lines, packing, pieces, quality, repeats, secrets, toxicity, vectors
 from cirrusgrid.llm.common import table
 
 from . import brute
@@ -197,9 +197,10 @@ def near_copies(rng):
     return rows + [(30000 + i, passage + " " + " ".join(f"q{i}_{j}" for j in range(rng.randrange(3, 40)))) for i in range(60)]
 
 
-@pytest.mark.parametrize("block", [4096, 10])
-def test_jaccard_join_loses_no_link(spark, docs, rng, block, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+@pytest.mark.parametrize(("block", "hot", "small"), [(4096, 100, 128), (10, 4, 5)])
+def test_jaccard_join_loses_no_link(spark, docs, rng, block, hot, small, monkeypatch):
+    for name, value in (("BLOCK", block), ("HOT", hot), ("SMALL", small)):
+        monkeypatch.setattr(jaccard, name, value)
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near_copies(rng), "doc_id long, text string")).repartition(3).cache()
     sets = {r["doc_id"]: brute.shingles(r["text"]) for r in both.collect()}
     want = brute.components(sets)
@@ -217,14 +218,38 @@ def test_jaccard_join_of_odd_rows(spark, empty):
 
 def test_tile_stream_over_batch_borders(rng):
     rows = sorted((rng.randrange(40), rng.randrange(50, 60), rng.randrange(9)) for _ in range(300))
-    rows = [(h, k, n) for h, n, k in rows]
+    rows = [(h, k, n, 0, 5 * (h % 9 == 0)) for h, n, k in rows]
+    alone = list(dict.fromkeys(rows))
+    count = collections.Counter(r[0] for r in alone)
+    want = [r for r in alone if count[r[0]] > 1 or r[4]]
     for size in (1, 2, 7, 300):
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + size]], pa.int64()) for c in range(3)], names=["hash", "k", "n"]) for i in range(0, 300, size)]
-        got = [tuple(r.values()) for b in jaccard._neighbours(iter(batches)) for r in b.to_pylist()]
-        alone = list(dict.fromkeys(rows))
-        count = collections.Counter(r[0] for r in alone)
-        want = [(h, k, n, alone[i - 1][1] if i and alone[i - 1][0] == h else None) for i, (h, k, n) in enumerate(alone) if count[h] > 1]
-        assert got == want
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + size]], pa.int64()) for c in range(5)], names=jaccard.TILE) for i in range(0, 300, size)]
+        assert [tuple(r.values()) for b in jaccard._met(iter(batches)) for r in b.to_pylist()] == want
+
+
+def test_first_hashes_put_frequent_ones_last(rng):
+    sets = [np.array(sorted(rng.sample(range(400), rng.choice([0, 1, 5, 30, 200]))), np.int64) for _ in range(60)]
+    hot = np.array(sorted(rng.sample(range(400), 250)), np.int64)
+    for ordered in (hot, hot[:0]):
+        last = set(ordered.tolist())
+        flat, off = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+        got = collections.defaultdict(dict)
+        for row, place, rank in zip(*jaccard.first_hashes(flat, off, ordered), strict=True):
+            got[row][rank] = flat[place]
+        for i, s in enumerate(sets):
+            want = sorted(s.tolist(), key=lambda x: (x in last, x))[: jaccard.reach(len(s))] if len(s) else []
+            assert [got[i][r] for r in sorted(got[i])] == want
+
+
+def test_word_hashes_tell_words_apart(rng):
+    texts = pa.array(["a b  c\n", "", "  ", None, "\x1c\x85 é\u00a0x", "w" * 700 + " " + "w" * 701, "x" * 8 + " " + "x" * 9 + " " + "x" * 16 + " x\x00 x"])
+    seen = {}
+    for _, part in vectors.slices(texts, 20):
+        flat, count = vectors.words(part)
+        assert [len(brute.WORD.findall(t)) for t in part.to_pylist()] == count.tolist()
+        for w, h in zip(flat.to_pylist(), vectors.hashes(flat).tolist(), strict=True):
+            assert seen.setdefault(h, w) == w
+    assert sorted(seen.values()) == sorted({w for t in texts.to_pylist() for w in brute.WORD.findall(t or "")})
 
 
 def test_components(spark, rng):
@@ -346,8 +371,18 @@ def test_toxicity_on_held_out_rows(spark, rng, docs, empty):
     assert toxicity.classify(docs, labels.where("false")).where("score is null").count() == 0
 
 
+@pytest.mark.parametrize(("size", "least"), [("sf0.1", 0.9), ("sf0.01", 0.6)])
+def test_toxicity_of_the_tables_on_held_out_rows(spark, size, least):
+    """0.9 and more where some hundred toxic labels are there to learn from; sf0.01 has 45 of them, in four languages."""
+    folder = f"/root/testdata/{size}"
+    out = catalogue.op10_toxicity(spark, folder).join(table(spark, folder, "labels"), "doc_id").where("held_out")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= least * (n[1, 1] + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.01 * (n[0, 0] + n.get((0, 1), 0))
+
+
 def test_scores_are_sums_over_features():
-    model = toxicity.train(["bad thing here", "good thing there"] * 30, [1, 0] * 30)
+    model = toxicity.train([toxicity.bag(t, {}) for t in ["bad thing here", "good thing there"] * 30], [1, 0] * 30)
     text = "a Bad, th1ng "
     feats = [f for t in text.split() for f in toxicity.features(t)]
     want = model.bias + float(np.mean(model.weight[feats]))
@@ -359,7 +394,7 @@ def test_scores_are_sums_over_features():
 def test_long_tokens_count_whole(joint, rng, monkeypatch):
     good = ["lorem", "ipsum", "dolor", "amet"]
     texts = [" ".join(rng.choices(good, k=20) + ["vilethorn"] * (3 * (i % 2))) for i in range(80)]
-    memo = toxicity.Memo(toxicity.train(texts, [i % 2 for i in range(80)]))
+    memo = toxicity.Memo(toxicity.train([toxicity.bag(t, {}) for t in texts], [i % 2 for i in range(80)]))
     clean = joint.join(good * 10)
     a, b = memo.scores(pa.array([clean, joint.join([clean, *["vilethorn"] * 20])]))
     assert b > a + 0.2
