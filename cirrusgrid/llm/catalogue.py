@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from . import archives, fingerprints, jaccard, lines, packing, pieces, quality, repeats, secrets, toxicity
 from .common import table
 
-#: Where the vocabulary files are; a parameter of the operators that need one.
-TOKENIZERS = "/opt/tokenizers"
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file is; a parameter of the operators that need one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +46,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

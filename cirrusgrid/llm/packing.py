@@ -12,6 +12,7 @@ A null or empty text is one piece with the end id alone. Repeated rows are piece
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,20 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import vectors
 from .common import keep, ready
 
 CAPACITY, END = 2048, 0
-MEMO = 400_000
-#: Pieces that one cell of a rank holds on average.
-CELL = 4000
-_encoders: dict[str, Encoder] = {}
+#: Chunks a worker remembers, and bytes of text it encodes together; neither changes a result.
+MEMO, SLICE = 300_000, 1 << 23
+#: Pieces that one cell of a rank holds on average, and cells that are counted together.
+CELL, RUN = 4000, 1000
 
 
 class Encoder:
-    """Encodes texts by their chunks, which it remembers as little-endian 32-bit ids.
+    """Encodes columns of texts by their chunks, which it remembers as little-endian 32-bit ids.
 
-    The vocabulary's splitter never joins what spaces or line feeds part, so a text is the ids of its chunks in a row. New
-    chunks of one word go to the library together, in one text: each gives ids of which the last alone ends a word.
+    The vocabulary's splitter never joins what spaces part, so a text is the ids of its chunks in a row. New chunks of
+    letters alone go to the library together, in one text, and are cut where the bytes that ids stand for have reached a
+    chunk's end; chunks for which that doesn't hold are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -42,27 +45,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        whole, parts = self.ids(["It's  a\nb Café 12,x\n"]), self.ids(["It's", "a", "b", "Café", "12,x"])
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes; each byte is one character of the vocabulary
+        self.ends = np.zeros(len(self.size), bool)
+        for token, i in vocabulary.items():
+            self.size[i], self.ends[i] = len(token.removesuffix("</w>")), token.endswith("</w>")
+        whole, parts = self.ids(["It's  a\nb\tCafé 12,x\r\x0bq\x0cz\n"]), self.ids(["It's", "a", "b", "Café", "12,x", "q", "z"])
         if whole != [b"".join(parts)]:
             raise ValueError("this vocabulary doesn't part words at spaces")
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         """Remembers chunks; a mark after a letter stands alone, so a word with one is learnt as the word."""
-        marked = [c for c in chunks if c[-1:] in ",." and c[-2:-1].isalpha()]
-        new = chunks.difference(marked).union(c[:-1] for c in marked).difference(self.memo)
+        marked = [c for c in chunks if c[-1] in ",." and c[-2:-1].isalpha()]
+        new = set(chunks).difference(marked).union(c[:-1] for c in marked).difference(self.memo)
         single = [c for c in new if c.isascii() and c.isalpha() or c.isalpha() and c.lower().isalpha()]
         other = list(new.difference(single)) + [",", "."]
         if single:
             ids = np.frombuffer(self.ids([" ".join(single)])[0], "<u4")
+            size = [len(c) if c.isascii() else len(unicodedata.normalize("NFC", c).lower().encode()) for c in single]
             last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(single) and last[-1] == len(ids):
+            if len(last) == len(single) and np.array_equal(np.cumsum(self.size[ids])[last - 1], np.cumsum(size)) and last[-1] == len(ids):
                 raw, bounds = ids.tobytes(), [0, *(4 * last).tolist()]
                 self.memo.update(zip(single, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
             else:
@@ -70,49 +76,55 @@ class Encoder:
         self.memo.update(zip(other, self.ids(other), strict=True))
         self.memo.update((c, self.memo[c[:-1]] + self.memo[c[-1]]) for c in marked)
 
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by the end id, and the places where each begins and the last ends."""
         if len(self.memo) > MEMO:
-            self.memo = {"": b""}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set().union(*split) if split else set()
-        self.learn(new.difference(self.memo))
-        return (b"".join(map(self.memo.__getitem__, chunks)) for chunks in split)
+            self.memo.clear()
+        flat, count = vectors.words(texts)
+        coded = flat.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        self.learn([c for c in chunks if c not in self.memo])
+        known = [*map(self.memo.__getitem__, chunks), np.array([end], "<u4").tobytes()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin = np.cumsum(size) - size
+        after = np.cumsum(count)
+        at = np.insert(coded.indices.to_numpy().astype(np.int64), after, len(chunks))  # the end id after each text's chunks
+        long = size[at]
+        done = np.cumsum(long)
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(begin[at] - done + long, long) + np.arange(int(done[-1]) if len(done) else 0)]
+        return ids, np.concatenate([[0], done[after + np.arange(len(after))]])
 
 
 def encoder(path: str) -> Encoder:
     """One encoder a worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return vectors.only(f"encoder {path}", lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document, cut only where it exceeds capacity; with_ids adds the ids."""
     ready(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch in batches:
-            cut, row = [], []
-            texts = batch.column(1).to_pylist()
-            for start in range(0, len(texts), 512):  # few texts at a time bound the memory of long ones
-                for r, ids in enumerate(coder.encode_batch([t or "" for t in texts[start : start + 512]]), start):
-                    ids += tail
-                    for at in range(0, len(ids), 4 * capacity):
-                        cut.append((at, ids[at : at + 4 * capacity]))
-                        row.append(r)
+        for batch, first, texts in ((b, *part) for b in batches for part in vectors.slices(b.column(1), SLICE)):
+            ids, bounds = coder.encode(texts, end)
+            number = -(-np.diff(bounds) // capacity)
+            row = np.repeat(np.arange(len(number)), number)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
+            begin = bounds[row] + piece * capacity
+            stop = np.minimum(begin + capacity, bounds[row + 1])
+            raw = memoryview(ids).cast("B")
             out = [
-                batch.column(0).take(pa.array(row, pa.int64())),
-                pa.array([at // (4 * capacity) for at, _ in cut], pa.int32()),
-                pa.array([at // 4 for at, _ in cut], pa.int64()),
-                pa.array([len(x) // 4 for _, x in cut], pa.int64()),
-                pa.array([zlib.crc32(x) for _, x in cut], pa.int64()),
+                batch.column(0).take(pa.array(row + first)),
+                pa.array(piece.astype(np.int32)),
+                pa.array(piece * capacity),
+                pa.array(stop - begin),
+                pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(begin.tolist(), stop.tolist())], pa.int64()),
             ]
             names = ["id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                out.append(pa.array([np.frombuffer(x, "<i4") for _, x in cut], pa.list_(pa.int32())))
+                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([begin, bounds[-1:]]).astype(np.int32)), pa.array(ids.view(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
@@ -155,11 +167,14 @@ def assign(cut: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFram
     spark = cut.sparkSession
     counts = cut.groupBy("length").count().collect()  # a row for each length up to capacity
     histogram = {r["length"]: r["count"] for r in counts}
-    cells = max(1, sum(histogram.values()) // CELL)
-    celled = cut.withColumn("_cell", F.pmod(F.xxhash64(*key), F.lit(cells)))
-    before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = celled.groupBy("length", "_cell").count()
-    sizes = sizes.select("length", "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    # A length has as many cells as its number of pieces asks for; ranks are those within a cell, a run of cells, and a length.
+    parts = spark.createDataFrame([(n, -(-c // CELL)) for n, c in histogram.items()], "length long, _cells long")
+    celled = cut.join(F.broadcast(parts), "length").withColumn("_cell", F.pmod(F.xxhash64(*key), F.col("_cells"))).drop("_cells")
+    sizes = celled.groupBy("length", "_cell").count().withColumn("_run", F.floor(F.col("_cell") / RUN))
+    earlier = lambda by, order, what: F.coalesce(F.sum(what).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sizes.groupBy("length", "_run").agg(F.sum("count").alias("_size")).withColumn("_start", earlier(["length"], "_run", "_size")).drop("_size")
+    sizes = sizes.withColumn("_in_run", earlier(["length", "_run"], "_cell", "count")).join(runs, ["length", "_run"])
+    sizes = sizes.select("length", "_cell", (F.col("_start") + F.col("_in_run")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_cell").orderBy(*key)) - 1
     ranked = celled.withColumn("_within", within).join(sizes, ["length", "_cell"]).withColumn("_rank", F.col("_before") + F.col("_within"))
     slots = plan(histogram, capacity)
