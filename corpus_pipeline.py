@@ -22,7 +22,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels that aren't held out, doesn't find toxic; a text without words stays."""
     labels = table(spark, sf_dir, "labels")
-    model = toxicity.train(*toxicity.sample(docs, labels, "doc_id", "text", "toxic", ~toxicity.held_out("doc_id")))
+    model = toxicity.learn(docs, labels, "doc_id", "text", "toxic", ~toxicity.held_out("doc_id"))
     scored = toxicity.score(docs.select(COLUMNS), model, keep=True)
     return scored.where((F.col("predicted") == 0) | (F.trim(F.coalesce("text", F.lit(""))) == "")).select(COLUMNS)
 
@@ -50,7 +50,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every text with its sequence and place."""
-    return packing.pack(docs, f"{catalogue.TOKENIZERS}/word_bpe_49k.json")
+    return packing.pack(docs, catalogue.tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [
