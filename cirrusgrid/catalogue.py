@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import sql, view
@@ -206,15 +206,17 @@ def wind_height(load):
     return rounded(load("v_coarse"), ["cell", "d"], w=physics.wind_height(F.col("windspeed"), 10.0, 2.0))
 
 
-UV = "SELECT cell, d, windspeed, winddir, -windspeed*sin(radians(winddir)) AS u, -windspeed*cos(radians(winddir)) AS v FROM v_coarse"
+UV = "SELECT cell, d, windspeed, winddir, -windspeed*sin(radians(winddir))+0.0 AS u, -windspeed*cos(radians(winddir))+0.0 AS v FROM v_coarse"
 
 
-@query(f"SELECT cell, d, round(u,6) AS u, round(v,6) AS v, round(sqrt(u*u+v*v),6) AS speed, round(degrees(atan2(u,v))+180-360*floor((degrees(atan2(u,v))+180)/360),4) AS dir FROM ({UV}) WHERE windspeed>0.001 AND winddir BETWEEN 0.01 AND 359.99")
+@query(f"SELECT cell, d, round(u,6)+0.0 AS u, round(v,6)+0.0 AS v, round(speed,6) AS speed, CASE WHEN dir>=360 THEN 0 ELSE dir END AS dir FROM (SELECT *, sqrt(u*u+v*v) AS speed, CASE WHEN sqrt(u*u+v*v)<1e-9 THEN 180 ELSE round(degrees(atan2(u,v))+180-360*floor((degrees(atan2(u,v))+180)/360),3) END AS dir FROM ({UV}))")
 def uv_to_speed_dir(load):
-    df = load("v_coarse").where("windspeed > 0.001 and winddir between 0.01 and 359.99")
-    df = df.withColumns({"u": physics.wind_u(F.col("windspeed"), F.col("winddir")), "v": physics.wind_v(F.col("windspeed"), F.col("winddir"))})
+    """There and back; without wind the direction is 180, and what rounds to 360 is 0."""
+    df = load("v_coarse").withColumns({"u": physics.wind_u(F.col("windspeed"), F.col("winddir")), "v": physics.wind_v(F.col("windspeed"), F.col("winddir"))})
     u, v = F.col("u"), F.col("v")
-    return df.select("cell", "d", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"), F.round(physics.wind_speed(u, v), 6).alias("speed"), F.round(physics.wind_direction(u, v), 4).alias("dir"))
+    speed = physics.wind_speed(u, v)
+    way = F.when(speed < 1e-9, 180.0).otherwise(F.round(physics.wind_direction(u, v), 3))
+    return df.select("cell", "d", (F.round(u, 6) + 0.0).alias("u"), (F.round(v, 6) + 0.0).alias("v"), F.round(speed, 6).alias("speed"), F.when(way >= 360, 0.0).otherwise(way).alias("dir"))
 
 
 ROSE = "list_extract(['" + "','".join(physics.POINTS) + "'], CAST(CAST(floor((winddir+11.25)/22.5) AS INT)%16 AS INT)+1)"
@@ -275,8 +277,7 @@ def clearsky_hourly(load):
 
 @query(CLEARLY.replace(SUN, f"SELECT cell, d, jd, lt, {LAT} AS lat, {LON} AS lon, {s_st('lt', LON, 'jd')} AS st FROM (SELECT *, {s_jd('d')} AS jd, h*1.0 AS lt FROM v_day, unnest(range(24)) AS u(h))") + "SELECT cell, d, round(avg(cs),4) AS cs FROM c GROUP BY cell, d")
 def clearsky_daily(load):
-    df = temporal.hours(load("v_day")).withColumns({"lat": lat(), "lon": lon(), "jd": solar.julian_day(F.col("d")), "lt": F.col("h") * 1.0})
-    return df.groupBy("cell", "d").agg(F.round(F.avg(solar.clear_sky(*angles())), 4).alias("cs"))
+    return rounded(solar.daily_clear_sky(load("v_day"), solar.julian_day(F.col("d")), lat(), lon(), "cs"), ["cell", "d"], 4, cs=F.col("cs"))
 
 
 DIFFUSE = (SUNNY + ", a AS (SELECT cell, ts, 120+10*tc AS sw, sh, CASE WHEN 120+10*tc>0 AND sh>1e-6 THEN sh END AS si FROM t), b AS (SELECT *, degrees(acos(greatest(-1,least(1,si)))) AS zd FROM a), "
@@ -290,7 +291,7 @@ DIFFUSE = (SUNNY + ", a AS (SELECT cell, ts, 120+10*tc AS sw, sh, CASE WHEN 120+
 
 @query(DIFFUSE)
 def diffuse_fraction(load):
-    return rounded(sunny(load), ["cell", "ts"], 5, dif=solar.diffuse_fraction(120 + 10 * F.col("tc"), *angles()))
+    return rounded(solar.with_diffuse_fraction(sunny(load), "dif", 120 + 10 * F.col("tc"), *angles()), ["cell", "ts"], 5, dif=F.col("dif"))
 
 
 @query("SELECT cell, ts, round(sqrt((power(tc-coalesce(lag(tc) OVER w,tc),2)+power(tc-coalesce(lead(tc) OVER w,tc),2))/2),6) AS v FROM v_obs WINDOW w AS (PARTITION BY cell ORDER BY ts)")
@@ -329,7 +330,7 @@ def block_aggregate(load):
 
 
 BILINEAR = ("SELECT f.row_, f.col_, sum(CASE WHEN c.elev IS NOT NULL THEN w*c.elev END)/nullif(sum(CASE WHEN c.elev IS NOT NULL THEN w END),0) AS elev FROM (SELECT row_, col_, r0+a AS r, c0+b AS c, (CASE WHEN a=0 THEN 1-(y-r0) ELSE y-r0 END)*(CASE WHEN b=0 THEN 1-(x-c0) ELSE x-c0 END) AS w FROM "
-            "(SELECT *, CAST(floor(y) AS INT) AS r0, CAST(floor(x) AS INT) AS c0 FROM (SELECT row_, col_, (row_-0.5)/5+0.5 AS y, (col_-0.5)/4+0.5 AS x FROM v_dtmf)), unnest([0,1]) AS p(a), unnest([0,1]) AS q(b)) f JOIN v_dtmc c ON f.r=c.row_ AND f.c=c.col_ GROUP BY f.row_, f.col_")
+            "(SELECT *, CAST(floor(y) AS INT) AS r0, CAST(floor(x) AS INT) AS c0 FROM (SELECT row_, col_, (row_-0.5)/5+0.5 AS y, (col_-0.5)/4+0.5 AS x FROM v_dtmf)), unnest([0,1]) AS p(a), unnest([0,1]) AS q(b)) f JOIN v_dtmc c ON f.r=c.row_ AND f.c=c.col_ WHERE w<>0 GROUP BY f.row_, f.col_")
 
 
 @query(f"SELECT row_, col_, round(elev,6) AS elev FROM ({BILINEAR})")
@@ -347,11 +348,6 @@ def focal_mean(load):
     return rounded(grid.focal_mean(load("v_dtmf"), "row_", "col_", "elev", 2), ["row_", "col_"], focal=F.col("focal"))
 
 
-@query("SELECT row_, col_, round(coalesce(elev, avg(elev) OVER (PARTITION BY floor((row_-1)/2), floor((col_-1)/2)), avg(elev) OVER (PARTITION BY floor((row_-1)/5), floor((col_-1)/5)), avg(elev) OVER (PARTITION BY floor((row_-1)/10), floor((col_-1)/10)), avg(elev) OVER ()),6) AS filled FROM v_dtmf")
-def fill_gaps(load):
-    return rounded(grid.fill_gaps(load("v_dtmf"), "row_", "col_", "elev"), ["row_", "col_"], filled=F.col("filled"))
-
-
 def _time_stats(name: str, key: Callable[[], Column], key_sql: str) -> None:
     def run(spark, d):
         per = view(spark, d, "v_coarse").withColumn("k", key().cast("int")).groupBy("cell", "k").agg(F.avg("prec").alias("v"))
@@ -364,6 +360,7 @@ def _time_stats(name: str, key: Callable[[], Column], key_sql: str) -> None:
 for _n, _k, _s in (
     ("year", lambda: F.year("d"), "year(d)"), ("month", lambda: F.month("d"), "month(d)"), ("week", lambda: F.weekofyear("d"), "weekofyear(d)"), ("doy", lambda: F.dayofyear("d"), "dayofyear(d)"),
     ("yearmonth", lambda: F.year("d") * 100 + F.month("d"), "year(d)*100+month(d)"),
+    ("yearweek", lambda: F.year("d") * 100 + F.weekofyear("d"), "year(d)*100+weekofyear(d)"),
     ("7day", lambda: F.floor(F.datediff(F.col("d"), F.lit("1995-01-01").cast("date")) / 7), "floor((d-DATE '1995-01-01')/7)"),
 ):
     _time_stats(_n, _k, _s)
@@ -392,7 +389,7 @@ ADJUST = ("b AS (SELECT *, count(*) OVER p AS n, sum(CASE WHEN r>0 THEN 1 ELSE 0
 
 def rainy(load) -> DataFrame:
     df = load("v_coarse").select("cell", "d", F.when(F.col("prec") < 20, 0.0).otherwise(F.col("prec")).alias("r"))
-    return df.withColumn("reg", F.sum("r").over(Window.partitionBy("d")))
+    return rain.with_regional(df, "d", "r", "reg")
 
 
 @query(f"-- with\na AS ({RAINY}), " + ADJUST.format(frac="0.6", total="1000.0"))
@@ -507,7 +504,7 @@ def sky_view(load):
 def wind_shelter(load):
     from .operators import terrain
 
-    return rounded(terrain.shelter(load("v_dtmf"), "row_", "col_", "elev", 270, 50), ["row_", "col_"], shelter=F.col("shelter"))
+    return rounded(terrain.shelter(load("v_dtmf"), "row_", "col_", "elev", [270.0], 50), ["row_", "col_"], shelter=F.col("shelter"))
 
 
 def _ray(direction: float, far: int) -> str:
@@ -524,7 +521,7 @@ def _ray(direction: float, far: int) -> str:
 def coastal_exposure(load):
     from .operators import terrain
 
-    return rounded(terrain.coastal_exposure(load("v_dtmf"), "row_", "col_", "elev", 225, 20), ["row_", "col_"], exposure=F.col("exposure"))
+    return rounded(terrain.coastal_exposure(load("v_dtmf"), "row_", "col_", "elev", [225.0], 20), ["row_", "col_"], exposure=F.col("exposure"))
 
 
 @query("-- with\na AS (SELECT cell, CAST(floor(winddir/45) AS INT)%8 AS dir, avg(windspeed) AS w FROM v_coarse GROUP BY 1, 2) SELECT a.cell, a.dir, round(0.25*p.w+0.5*a.w+0.25*n.w,6) AS smooth FROM a LEFT JOIN a p ON p.cell=a.cell AND p.dir=(a.dir+7)%8 LEFT JOIN a n ON n.cell=a.cell AND n.dir=(a.dir+1)%8")
@@ -548,10 +545,10 @@ def blend_tiles(load):
 
 @query(None)
 def basins(load):
-    """Watersheds of the fine grid."""
+    """Watersheds of the fine grid, made in tiles of twenty rows."""
     from .operators import terrain
 
-    return terrain.basins(load("v_dtmf").withColumn("tile", F.lit(1)), "tile", "row_", "col_", "elev")
+    return terrain.basins(load("v_dtmf").withColumn("tile", F.floor((F.col("row_") - 1) / 20).cast("int")), "tile", "row_", "col_", "elev")
 
 
 @query(None)
@@ -559,7 +556,7 @@ def cold_air_potential(load):
     """Flow accumulation over basin size, times the depth below the basin's top."""
     from .operators import terrain
 
-    return terrain.cold_air_potential(load("v_dtmf").withColumn("tile", F.lit(1)), "tile", "row_", "col_", "elev")
+    return terrain.cold_air_potential(load("v_dtmf").withColumn("tile", F.floor((F.col("row_") - 1) / 20).cast("int")), "tile", "row_", "col_", "elev")
 
 
 def dailies(load) -> DataFrame:
@@ -584,20 +581,22 @@ def rounded_all(df: DataFrame) -> DataFrame:
 
 
 def coarse_weather(load) -> DataFrame:
-    w = load("v_coarse").where("year(d) = 1996 and month(d) = 5")
-    return w.select("row_", "col_", "d", (5 + F.col("windspeed")).alias("temp"), "relhum", "pres", (280 + F.col("windspeed")).alias("lwrad"), "windspeed", "winddir")
+    return load("v_coarse").select("row_", "col_", "d", (5 + F.col("windspeed")).alias("temp"), "relhum", "pres", (280 + F.col("windspeed")).alias("lwrad"), "windspeed", "winddir")
 
 
 S_LR = f"9.8076*(1+2501000*rv/(287*(temp+273.15)))/(1003.5+0.622*2501000.0*2501000.0*rv/(287*(temp+273.15)*(temp+273.15)))"
 
 
-@query(f"-- with\nw AS (SELECT c.row_, c.col_, d, 5+windspeed AS temp, relhum, pres, 280+windspeed AS lwrad, windspeed, winddir, elev AS zc, {s_satvap('(5+windspeed)')}*relhum/100 AS ea FROM v_coarse c JOIN v_dtmc m ON c.cell=m.cell WHERE year(d)=1996 AND month(d)=5), "
+@query(f"-- with\nw AS (SELECT c.row_, c.col_, d, 5+windspeed AS temp, relhum, pres, 280+windspeed AS lwrad, windspeed, winddir, elev AS zc, {s_satvap('(5+windspeed)')}*relhum/100 AS ea FROM v_coarse c JOIN v_dtmc m ON c.cell=m.cell), "
        f"x AS (SELECT *, {S_LR} AS lr FROM (SELECT *, 0.622*ea/(pres-ea) AS rv FROM w)), y AS (SELECT row_, col_, d, lr, temp+lr*coalesce(zc,0) AS t0, pres/power((293-0.0065*coalesce(zc,0))/293,5.26) AS p0, ea, lwrad, 5.67e-8*0.97*power(temp+273.15,4) AS up, -windspeed*sin(radians(winddir)) AS u, -windspeed*cos(radians(winddir)) AS v FROM x), "
        "g AS (SELECT row_, col_, elev, r0+a AS r, c0+b AS c, (CASE WHEN a=0 THEN 1-(yy-r0) ELSE yy-r0 END)*(CASE WHEN b=0 THEN 1-(xx-c0) ELSE xx-c0 END) AS wt FROM (SELECT *, CAST(floor(yy) AS INT) AS r0, CAST(floor(xx) AS INT) AS c0 FROM (SELECT row_, col_, elev, (row_-0.5)/5+0.5 AS yy, (col_-0.5)/4+0.5 AS xx FROM v_dtmf WHERE elev IS NOT NULL)), unnest([0,1]) AS p(a), unnest([0,1]) AS q(b)), "
-       "k AS (SELECT g.row_, g.col_, d, elev, " + ", ".join(f"sum(wt*{n})/nullif(sum(wt),0) AS {n}" for n in ("lr", "t0", "p0", "ea", "lwrad", "up", "u", "v")) + " FROM g JOIN y ON g.r=y.row_ AND g.c=y.col_ GROUP BY g.row_, g.col_, d, elev), l AS (SELECT *, t0-lr*elev AS temp FROM k) "
-       f"SELECT row_, col_, d, round(temp,4) AS temp, round(greatest(20.0,least(100.0,ea/{s_satvap('temp')}*100)),4) AS relhum, round(p0*power((293-0.0065*elev)/293,5.26),4) AS pres, round(lwrad+5.67e-8*0.97*power(temp+273.15,4)-up,4) AS lwrad, round(sqrt(u*u+v*v),4) AS windspeed FROM l")
+       "k AS (SELECT g.row_, g.col_, d, elev, " + ", ".join(f"sum(wt*{n})/nullif(sum(wt),0) AS {n}" for n in ("lr", "t0", "p0", "ea", "lwrad", "up", "u", "v")) + " FROM g JOIN y ON g.r=y.row_ AND g.c=y.col_ WHERE wt<>0 GROUP BY g.row_, g.col_, d, elev), l AS (SELECT *, t0-lr*elev AS temp FROM k) "
+       f"SELECT row_, col_, d, round(temp,4) AS temp, round(CASE WHEN ea IS NOT NULL AND temp IS NOT NULL THEN greatest(20.0,least(100.0,ea/{s_satvap('temp')}*100)) END,4) AS relhum, round(p0*power((293-0.0065*elev)/293,5.26),4) AS pres, round(lwrad+5.67e-8*0.97*power(temp+273.15,4)-up,4) AS lwrad, round(sqrt(u*u+v*v),4) AS windspeed FROM l")
 def spatial_downscale(load):
     from .plans import downscale
 
     fine = downscale.to_fine(coarse_weather(load), load("v_dtmc"), load("v_dtmf"), "row_", "col_", "d", 5, 4)
     return rounded_all(fine.drop("winddir"))
+
+
+from . import catalogue_space, catalogue_time  # noqa: E402, F401  more queries, registered on import

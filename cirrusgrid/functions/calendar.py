@@ -12,7 +12,7 @@ def decode_360day(hours: Column) -> Column:
     rest = hours - y * 8640
     m = F.ceil(rest / 720)
     d = F.ceil((rest - (m - 1) * 720) / 24)
-    return F.struct((y + 1970).cast("int").alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
+    return F.named_struct(F.lit("y"), (y + 1970).cast("int"), F.lit("m"), m.cast("int"), F.lit("d"), d.cast("int"))
 
 
 def repair_360day(ymd: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,15 +117,17 @@ def cardinal(direction: Column) -> Column:
     return F.when((direction >= 0) & (direction <= 360), F.element_at(F.array(*map(F.lit, POINTS)), at + 1))
 
 
-def cad_flag(tc: Column, u2: Column, sw: Column, lw: Column, refhgt: float = 2.0) -> Column:
-    """1 where the air is stable enough for cold-air drainage, else 0."""
+def stability(tc: Column, u2: Column, sw: Column, lw: Column, refhgt: float = 2.0) -> Column:
+    """Stability of the air near the ground; cold air drains from 1 on."""
     d, zm = 0.65 * 0.12, 0.1 * 0.12
-    import math
-
     uf = 0.4 * u2 / math.log((refhgt - d) / zm)
     heat = (sw + lw - lw_up(tc)) * 0.5
-    stability = -(0.4 * 9.81 * (refhgt - d) * heat) / (1241 * (tc + KELVIN) * uf * uf * uf)
-    return F.when(stability >= 1, 1.0).otherwise(0.0)
+    return F.try_divide(-(0.4 * 9.81 * (refhgt - d) * heat), 1241 * (tc + KELVIN) * uf * uf * uf)
+
+
+def cad_flag(tc: Column, u2: Column, sw: Column, lw: Column, refhgt: float = 2.0) -> Column:
+    """1 where the air is stable enough for cold-air drainage, else 0."""
+    return F.when(stability(tc, u2, sw, lw, refhgt) >= 1, 1.0).otherwise(0.0)
 
 
 def coastal_range(dtr: Column, land: Column, factor: float = 1.285) -> Column:
@@ -141,8 +145,6 @@ def sky_emissivity(lwdn: Column, lwup: Column) -> Column:
 
 def coastal_weight(m: Column, res: float) -> Column:
     """Coastal exposure rescaled by resolution in logit space, on either side of one half; 0 and 1 stay."""
-    import math
-
     r = math.log(res)
     low = (-6.74389 + 1.08141 * r, -0.6167 + 0.3197 * r)
     high = (-3.1163 + 0.4818 * r, 1.5842 - 0.7922 * r + 0.1104 * r * r)
@@ -161,3 +163,40 @@ def change_units(v: Column, unit: str, to: str) -> Column:
         raise ValueError(f"no conversion from {unit} to {to}")
     factor, offset = UNITS[unit, to]
     return v * factor + offset
+
+
+def cold_air_drop(lapse: Column, multiplier: Column, flag: Column) -> Column:
+    """Change in temperature by cold-air drainage."""
+    return lapse * -multiplier * flag
+
+
+def ordered(lo: Column, hi: Column) -> tuple[Column, Column]:
+    """lo and hi, exchanged where they are the wrong way round; a null stays where it is."""
+    wrong = hi < lo
+    return F.when(wrong, hi).otherwise(lo), F.when(wrong, lo).otherwise(hi)
+
+
+def logit(v: Column) -> Column:
+    """Null at 0 and 1 and outside."""
+    return F.when((v > 0) & (v < 1), F.ln(v / (1 - v)))
+
+
+def inverse_logit(v: Column) -> Column:
+    return 1 / (1 + F.exp(-v))
+
+
+def finite_logit(v: Column, lo: Column, hi: Column) -> Column:
+    """logit with lo and hi, the least and greatest finite ones of the set, in place of those of 0 and 1."""
+    return F.when(v == 0, lo).when(v == 1, hi).otherwise(logit(v))
+
+
+def finite_log(v: Column, lo: Column) -> Column:
+    """Logarithm with lo, the least finite one of the set, in place of that of 0."""
+    return F.when(v == 0, lo).when(v > 0, F.ln(v))
+
+
+def coastal_temperature(tc: Column, sst: Column, wind: Column, upwind: Column, around: Column) -> tuple[Column, Column]:
+    """Temperature and the weight of the sea in it; upwind and around are logits of the share of land up-wind and in all directions."""
+    p2 = 0.10420 * F.sqrt(wind) - 0.47852
+    w = inverse_logit(-0.1095761 + p2 * (upwind + 3.401197) - 0.1553487 * around)
+    return w * sst + (1 - w) * tc, w

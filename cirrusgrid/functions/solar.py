@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .physics import SOLAR, clamp
@@ -75,7 +75,11 @@ def day_length(jd: Column, lat: Column) -> Column:
 
 def clear_sky(jd: Column, lt: Column, lat: Column, lon: Column, tc: float = 15.0, rh: float = 80.0, pk: float = 101.3) -> Column:
     """Clear-sky shortwave (W/m2); 0 by night."""
-    sa = _sin_altitude(jd, solar_time(lt, lon, jd), lat)
+    return clear_sky_at(_sin_altitude(jd, solar_time(lt, lon, jd), lat), tc, rh, pk)
+
+
+def clear_sky_at(sa: Column, tc: float = 15.0, rh: float = 80.0, pk: float = 101.3) -> Column:
+    """clear_sky by the sine of the sun's altitude."""
     s = F.greatest(sa, F.lit(1e-12))
     m = 35 * s / F.sqrt(1224 * s * s + 1)
     tr = 1.021 - 0.084 * F.sqrt(m * (0.00949 * pk + 0.051))
@@ -87,49 +91,41 @@ def clear_sky(jd: Column, lt: Column, lat: Column, lon: Column, tc: float = 15.0
     return F.when(sa > 0, SOLAR * s * tr * tw * ta).otherwise(0.0)
 
 
-def diffuse_fraction(sw: Column, jd: Column, lt: Column, lat: Column, lon: Column) -> Column:
-    """Diffuse share of shortwave radiation by the Skartveit-Olseth model; 1 by night and without radiation."""
-    sh = _sin_altitude(jd, solar_time(lt, lon, jd), lat)
-    return let(F.struct(sw.alias("sw"), sh.alias("sh")), lambda x: _diffuse(x["sw"], x["sh"]))
-
-
-def let(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def _diffuse(sw: Column, sh: Column) -> Column:
-    zd = F.degrees(F.acos(F.least(sh, F.lit(1.0))))
-    day = let(F.struct(sw.alias("sw"), sh.alias("si"), zd.alias("zd"), F.exp(-0.06 * (90 - zd)).alias("high")), lambda x: let(_index(x), _fraction))
-    return F.when(sw.isNull() | sh.isNull(), F.lit(None)).when((sw > 0) & (sh > 1e-6), day).otherwise(1.0)
-
-
-def _index(x: Column) -> Column:
-    """struct with the clearness index k, cut to [0, k1]."""
-    k1 = 0.83 - 0.56 * x["high"]
-    k = F.least(F.greatest(x["sw"] / (1352 * x["si"]), F.lit(0.0)), k1)
-    return F.struct(x["si"].alias("si"), x["zd"].alias("zd"), k1.alias("k1"), (0.56 - 0.32 * x["high"]).alias("kx"), k.alias("k"))
-
-
-def _fraction(x: Column) -> Column:
-    si, zd, k1, kx, k = (x[c] for c in ("si", "zd", "k1", "kx", "k"))
-    rho, k2 = k / k1, 0.95 * k1
-    sigma = F.when(rho > 1.04, 0.12 + 0.65 * (rho - 1.04)).otherwise(0.021 + 0.397 * rho - 0.231 * rho * rho - 0.13 * F.exp(-F.pow((rho - 0.931) / 0.134, F.lit(2.0)) * 0.834))
-    d1 = F.when(zd < 88.6, 0.07 + 0.046 * zd / (93 - zd)).otherwise(1.0)
-    kk = 0.5 * (1 + F.sin(math.pi * (k - 0.22) / (k1 - 0.22) - math.pi / 2))
-    d2 = 1 - (1 - d1) * (0.11 * F.sqrt(kk) + 0.15 * kk + 0.74 * kk * kk)
-    share = d2 * k2 / (1 - k2)
-    kb = F.pow(F.lit(0.81), F.pow(1 / si, F.lit(0.6)))
-    pos = F.when(k > 0, k)
-
-    def level(y: Column) -> Column:
-        d2, share, sigma = y["d2"], y["share"], y["sigma"]
-        kmax = (kb + share) / (1 + share)
-        d = F.when(k <= 0.22, 1.0).when(k <= k2, d2).when(k <= kmax, share * (1 - pos) / pos).otherwise(1 - kmax * (1 - share * (1 - kmax) / kmax) / pos)
-        kl, kr, sig = (k - 0.14) / (kx - 0.14), (k - kx) / 0.71, F.greatest(sigma, F.lit(0.0))
-        low = -3 * kl * kl * (1 - kl) * F.pow(sig, F.lit(1.3))
-        top = 3 * kr * (1 - kr) * (1 - kr) * F.pow(sig, F.lit(0.6))
-        delta = F.when((k >= kx) & (k < kx + 0.71), top).when((k >= 0.14) & (k < kx), low).otherwise(0.0)
-        return d + F.when(sigma > 0.01, delta).otherwise(0.0)
-
-    return let(F.struct(d2.alias("d2"), share.alias("share"), sigma.alias("sigma")), level)
+def daily_clear_sky(df: DataFrame, jd: Column, lat: Column, lon: Column, to: str, per_hour: int = 1) -> DataFrame:
+    """df with the mean clear-sky radiation of a day, sampled so many times an hour: folded over a sequence, so that no row is multiplied."""
+    out = df.withColumns({"_jd": jd, "_phi": F.radians(lat), "_lon": lon}).withColumn("_dec", declination(F.col("_jd")))
+    out = out.withColumns({"_a": F.sin("_dec") * F.sin("_phi"), "_b": F.cos("_dec") * F.cos("_phi"), "_st": solar_time(F.lit(0.0), F.col("_lon"), F.col("_jd"))})
+    at = lambda h: clear_sky_at(F.col("_a") + F.col("_b") * F.cos(0.261799 * (F.col("_st") + h - 12)))
+    n = 24 * per_hour
+    mean = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda total, i: total + at(i / float(per_hour))) / n
+    return out.withColumn(to, mean).drop("_jd", "_phi", "_lon", "_dec", "_a", "_b", "_st")
+
+
+def with_diffuse_fraction(df: DataFrame, to: str, sw: Column, jd: Column, lt: Column, lat: Column, lon: Column) -> DataFrame:
+    """df with the diffuse share of shortwave radiation by the Skartveit-Olseth model; 1 by night and without radiation.
+
+    Steps are columns of their own, so that none is computed twice and all stay inside code generation.
+    """
+    c = F.col
+    out = df.withColumns({"_jd": jd, "_sw": sw}).withColumn("_sh", _sin_altitude(c("_jd"), solar_time(lt, lon, c("_jd")), lat))
+    out = out.withColumn("_si", F.when((c("_sw") > 0) & (c("_sh") > 1e-6), F.least("_sh", F.lit(1.0))))
+    out = out.withColumn("_zd", F.degrees(F.acos("_si"))).withColumn("_high", F.exp(-0.06 * (90 - c("_zd"))))
+    out = out.withColumns({"_k1": 0.83 - 0.56 * c("_high"), "_kx": 0.56 - 0.32 * c("_high")})
+    out = out.withColumns({"_k": F.least(F.greatest(c("_sw") / (1352 * c("_si")), F.lit(0.0)), "_k1"), "_k2": 0.95 * c("_k1")})
+    out = out.withColumn("_rho", c("_k") / c("_k1"))
+    rho, k, k1, k2, kx, zd = (c(n) for n in ("_rho", "_k", "_k1", "_k2", "_kx", "_zd"))
+    out = out.withColumns({
+        "_sigma": F.when(rho > 1.04, 0.12 + 0.65 * (rho - 1.04)).otherwise(0.021 + 0.397 * rho - 0.231 * rho * rho - 0.13 * F.exp(-F.pow((rho - 0.931) / 0.134, F.lit(2.0)) * 0.834)),
+        "_d1": F.when(zd < 88.6, 0.07 + 0.046 * zd / (93 - zd)).otherwise(1.0),
+        "_kk": 0.5 * (1 + F.sin(math.pi * (k - 0.22) / (k1 - 0.22) - math.pi / 2)),
+    })
+    out = out.withColumn("_d2", 1 - (1 - c("_d1")) * (0.11 * F.sqrt("_kk") + 0.15 * c("_kk") + 0.74 * c("_kk") * c("_kk")))
+    out = out.withColumns({"_share": c("_d2") * k2 / (1 - k2), "_kb": F.pow(F.lit(0.81), F.pow(1 / c("_si"), F.lit(0.6)))})
+    out = out.withColumn("_km", (c("_kb") + c("_share")) / (1 + c("_share")))
+    share, km, pos = c("_share"), c("_km"), F.when(k > 0, k)
+    level = F.when(k <= 0.22, 1.0).when(k <= k2, c("_d2")).when(k <= km, share * (1 - pos) / pos).otherwise(1 - km * (1 - share * (1 - km) / km) / pos)
+    kl, kr, sig = (k - 0.14) / (kx - 0.14), (k - kx) / 0.71, F.greatest("_sigma", F.lit(0.0))
+    low, top = -3 * kl * kl * (1 - kl) * F.pow(sig, F.lit(1.3)), 3 * kr * (1 - kr) * (1 - kr) * F.pow(sig, F.lit(0.6))
+    delta = F.when(c("_sigma") <= 0.01, 0.0).when((k >= kx) & (k < kx + 0.71), top).when((k >= 0.14) & (k < kx), low).otherwise(0.0)
+    whole = F.when(c("_sw").isNull() | c("_sh").isNull(), F.lit(None)).when(c("_si").isNull(), 1.0).otherwise(level + delta)
+    return out.withColumn(to, whole).drop(*(n for n in out.columns if n not in df.columns))

@@ -8,11 +8,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Grid:
+    """Where a grid lies: the borders of its first row and column, and the size of a cell."""
+
+    xmin: float
+    ymax: float
+    xres: float
+    yres: float
+
+    def x(self, col: str) -> Column:
+        return self.xmin + (F.col(col) - 0.5) * self.xres
+
+    def y(self, row: str) -> Column:
+        return self.ymax - (F.col(row) - 0.5) * self.yres
+
+
 def block_mean(df: DataFrame, row: str, col: str, value: str, k: int, keep: Sequence[str] = ()) -> DataFrame:
     """Mean of k x k blocks from the first row and column; blocks at the edges may be smaller, nulls don't count."""
     block = lambda c: (F.floor((F.col(c) - 1) / k) + 1).cast("int").alias(c)
@@ -38,43 +55,162 @@ def focal_mean(df: DataFrame, row: str, col: str, value: str, radius: int, keep:
     return df.join(means, [*keep, row, col], "left")
 
 
-def bilinear_weights(fine: DataFrame, row: str, col: str, fy: float, fx: float) -> DataFrame:
-    """For each fine cell the four coarse cells around its centre with their weights; fy x fx fine cells make a coarse one."""
+def _corners(row: str, col: str, fy: float, fx: float) -> tuple[Column, Column, Column, Column]:
+    """The coarse cell up and left of each fine cell's centre, and how far the centre lies beyond it in either direction."""
     y, x = (F.col(row) - 0.5) / fy + 0.5, (F.col(col) - 0.5) / fx + 0.5
-    r0, c0 = F.floor(y).cast("int"), F.floor(x).cast("int")
-    part = lambda pos, at, d: (1 - (pos - at)) if d == 0 else (pos - at)
-    corner = [F.struct((r0 + a).alias("r"), (c0 + b).alias("c"), (part(y, r0, a) * part(x, c0, b)).alias("w")) for a in (0, 1) for b in (0, 1)]
-    return fine.withColumn("_k", F.explode(F.array(*corner))).withColumns({"crow": F.col("_k.r"), "ccol": F.col("_k.c"), "w": F.col("_k.w")}).drop("_k")
+    return F.floor(y).cast("int"), F.floor(x).cast("int"), y - F.floor(y), x - F.floor(x)
+
+
+def _cubic(d: Column) -> Column:
+    """Cubic convolution with a parameter of -1/2, of a distance d."""
+    return F.when(d < 1, 1.5 * d * d * d - 2.5 * d * d + 1).when(d < 2, -0.5 * d * d * d + 2.5 * d * d - 4 * d + 2).otherwise(0.0)
+
+
+def _spline(d: Column) -> Column:
+    """The cubic B-spline of a distance d."""
+    return F.when(d < 1, (4 - 6 * d * d + 3 * d * d * d) / 6).when(d < 2, (2 - d) * (2 - d) * (2 - d) / 6).otherwise(0.0)
+
+
+KERNELS = {"bilinear": (lambda d: F.greatest(1 - d, F.lit(0.0)), 0, 1), "cubic": (_cubic, -1, 2), "cubicspline": (_spline, -1, 2)}
+
+
+def quads(coarse: DataFrame, row: str, col: str, values: Sequence[str], low: int, high: int, keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each cell _r, _c that has coarse cells around it, from low to high rows and columns on: their values as v_a_b, and whether they exist as in_a_b.
+
+    The neighbourhoods are made of the coarse table, which is small next to the fine one, so that fine rows are joined once and not shuffled for a sum.
+    """
+    steps = [(a, b) for a in range(low, high + 1) for b in range(low, high + 1)]
+    sent = coarse.select(*keep, row, col, *values, F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps))).alias("o"))
+    sent = sent.select(*keep, (F.col(row) - F.col("o.a")).alias("_r"), (F.col(col) - F.col("o.b")).alias("_c"), "o.a", "o.b", *values)
+    at = lambda a, b: (F.col("a") == a) & (F.col("b") == b)
+    aggs = [F.max(F.when(at(a, b), F.col(v))).alias(f"{v}_{a}_{b}") for v in values for a, b in steps]
+    return sent.groupBy("_r", "_c", *keep).agg(*aggs, *(F.coalesce(F.max(at(a, b)), F.lit(False)).alias(f"in_{a}_{b}") for a, b in steps))
 
 
 def resample(fine: DataFrame, coarse: DataFrame, row: str, col: str, values: Sequence[str], fy: float, fx: float, keep: Sequence[str] = (), method: str = "bilinear") -> DataFrame:
-    """Coarse values at the centres of fine cells; bilinear weights are shared out anew over the cells that have a value.
+    """Coarse values at the centres of fine cells, by bilinear, cubic, cubicspline or near; weights are shared out anew over the cells that have a value.
 
-    fine is a static grid; keep names key columns of coarse, such as the time. The weights are computed, not joined, and a
-    coarse table that is small enough is broadcast by the planner's own rule.
+    fine is a static grid and fy x fx of its cells make a coarse one; keep names key columns of coarse, such as the time. A fine
+    cell without any coarse cell of weight other than 0 is left out.
     """
     if method == "near":
-        at = fine.withColumns({"crow": (F.floor((F.col(row) - 1) / fy) + 1).cast("int"), "ccol": (F.floor((F.col(col) - 1) / fx) + 1).cast("int")}).withColumn("w", F.lit(1.0))
-    elif method == "bilinear":
-        at = bilinear_weights(fine, row, col, fy, fx)
-    else:
-        raise ValueError("method is bilinear or near")
-    source = coarse.select(*keep, F.col(row).alias("crow"), F.col(col).alias("ccol"), *(F.col(v).alias(f"_{v}") for v in values))
-    joined = at.select(row, col, "crow", "ccol", "w").join(source, ["crow", "ccol"])
-    weighted = lambda v: F.try_divide(F.sum(F.col("w") * F.col(f"_{v}")), F.sum(F.when(F.col(f"_{v}").isNotNull(), F.col("w")))).alias(v)
-    return joined.groupBy(row, col, *keep).agg(*map(weighted, values))
-
-
-def fill_gaps(df: DataFrame, row: str, col: str, value: str, factors: Sequence[int] = (2, 5, 10)) -> DataFrame:
-    """Nulls take the mean of the smallest block around them that has one, then the mean of all."""
-    out = df
-    for k in factors:
-        br, bc = F.floor((F.col(row) - 1) / k), F.floor((F.col(col) - 1) / k)
-        means = df.groupBy(br.alias("_r"), bc.alias("_c")).agg(F.avg(value).alias(f"_m{k}"))
-        out = out.withColumns({"_r": br, "_c": bc}).join(means, ["_r", "_c"], "left").drop("_r", "_c")
-    whole = df.agg(F.avg(value).alias("_all"))
-    filled = F.coalesce(value, *(f"_m{k}" for k in factors), "_all")
-    return out.crossJoin(F.broadcast(whole)).withColumn("filled", filled).drop("_all", *(f"_m{k}" for k in factors))  # one row
+        at = fine.select(row, col, (F.floor((F.col(row) - 1) / fy) + 1).cast("int").alias("_r"), (F.floor((F.col(col) - 1) / fx) + 1).cast("int").alias("_c"))
+        source = coarse.select(*keep, F.col(row).alias("_r"), F.col(col).alias("_c"), *values)
+        return at.join(source, ["_r", "_c"]).select(row, col, *keep, *values)
+    if method not in KERNELS:
+        raise ValueError(f"method is near or one of {sorted(KERNELS)}")
+    kernel, low, high = KERNELS[method]
+    r, c, y, x = _corners(row, col, fy, fx)
+    placed = fine.select(row, col, r.alias("_r"), c.alias("_c"), y.alias("_y"), x.alias("_x"))
+    joined = placed.join(quads(coarse, row, col, values, low, high, keep), ["_r", "_c"])
+    steps = [(a, b) for a in range(low, high + 1) for b in range(low, high + 1)]
+    joined = joined.withColumns({f"_w_{a}_{b}": kernel(F.abs(F.col("_y") - a)) * kernel(F.abs(F.col("_x") - b)) for a, b in steps})
+
+    def mixed(v: str) -> Column:
+        there = lambda a, b: F.col(f"{v}_{a}_{b}").isNotNull()
+        total = sum((F.when(there(a, b), F.col(f"_w_{a}_{b}") * F.col(f"{v}_{a}_{b}")).otherwise(0.0) for a, b in steps), F.lit(0.0))
+        weight = sum((F.when(there(a, b), F.col(f"_w_{a}_{b}")).otherwise(0.0) for a, b in steps), F.lit(0.0))
+        return F.when(weight != 0, F.try_divide(total, weight)).alias(v)
+
+    some = F.lit(False)
+    for a, b in steps:
+        some |= F.col(f"in_{a}_{b}") & (F.col(f"_w_{a}_{b}") != 0)
+    return joined.where(some).select(row, col, *keep, *map(mixed, values))
+
+
+def crop(df: DataFrame, row: str, col: str, grid: Grid, xmin: float, xmax: float, ymin: float, ymax: float) -> DataFrame:
+    """The cells of an extent, which is snapped to the nearest cell borders; a filter on the integer keys that reaches the scan."""
+    first, last = (round((grid.ymax - y) / grid.yres) for y in (ymax, ymin))
+    left, right = (round((x - grid.xmin) / grid.xres) for x in (xmin, xmax))
+    return df.where(F.col(row).between(first + 1, last) & F.col(col).between(left + 1, right))
+
+
+def lookup(points: DataFrame, df: DataFrame, row: str, col: str, grid: Grid, x: str, y: str, values: Sequence[str]) -> DataFrame:
+    """Points with the values of the cells they lie in; null outside the grid."""
+    at = {"_r": (F.floor((grid.ymax - F.col(y)) / grid.yres) + 1).cast("int"), "_c": (F.floor((F.col(x) - grid.xmin) / grid.xres) + 1).cast("int")}
+    cells = df.select(F.col(row).alias("_r"), F.col(col).alias("_c"), *values)
+    return points.withColumns(at).join(cells, ["_r", "_c"], "left").drop("_r", "_c")
+
+
+def fill_coast(sea: DataFrame, land: DataFrame, row: str, col: str, value: str, radius: int = 4, passes: int = 5) -> DataFrame:
+    """Sea cells without a value take the mean of the window around them, in up to so many passes; land cells are null.
+
+    sea has every cell, with nulls; land has those that are land. A pass fills null cells alone, from the values of the pass before.
+    """
+    water = sea.select(row, col, value).join(land.select(row, col), [row, col], "left_anti")
+    now = sea.select(row, col, value)
+    for _ in range(passes):
+        if water.join(now.where(F.col(value).isNotNull()).select(row, col), [row, col], "left_anti").isEmpty():
+            break
+        now = focal_mean(now, row, col, value, radius).select(row, col, F.coalesce(value, "focal").alias(value))
+    return sea.select(row, col).join(land.select(row, col, F.lit(True).alias("_land")), [row, col], "left").join(now, [row, col]).select(row, col, F.when(F.col("_land").isNull(), F.col(value)).alias(value))
+
+
+def merge_tiles(tiles: Sequence[DataFrame], keys: Sequence[str], value: str) -> DataFrame:
+    """One grid of tiles; of several values the first tile's counts that has one."""
+    every = _stacked(tiles, keys, value)
+    return every.groupBy(*keys).agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_tile"))).alias(value))
+
+
+def mosaic(tiles: Sequence[DataFrame], keys: Sequence[str], value: str, how: str = "mean") -> DataFrame:
+    """One grid of tiles; several values are combined by mean, min, max or sum, nulls left out."""
+    return _stacked(tiles, keys, value).groupBy(*keys).agg({"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}[how](value).alias(value))
+
+
+def _stacked(tiles: Sequence[DataFrame], keys: Sequence[str], value: str) -> DataFrame:
+    out = None
+    for i, t in enumerate(tiles):
+        t = t.select(*keys, F.col(value).cast("double").alias(value), F.lit(i).alias("_tile"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def blend_grid(cells: DataFrame, extents: DataFrame, tile: str, row: str, col: str, value: str, overlap: int) -> DataFrame:
+    """One grid of overlapping tiles in rows and columns, weights falling linearly over the overlap towards a tile's inner edges, and in corners both ways.
+
+    extents has the first and last row and column of each tile (r0, r1, c0, c1), and is as small as the number of tiles. At an outer
+    edge, where no tile overlaps, a weight falls for all tiles alike and is evened out.
+    """
+    near = lambda at, lo, hi: F.least(F.lit(1.0), (F.least(F.col(at) - F.col(lo), F.col(hi) - F.col(at)) + 0.5) / overlap)
+    placed = cells.join(extents.select(tile, "r0", "r1", "c0", "c1"), tile).where(F.col(value).isNotNull())
+    w = near(row, "r0", "r1") * near(col, "c0", "c1")
+    return placed.groupBy(row, col).agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value))
+
+
+def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of extents (id, xmin, xmax, ymin, ymax) that share an area, with it. Extents are as few as tiles or files."""
+    p, q = (t.select(*(F.col(c).alias(f"{n}_{c}") for c in ("id", "xmin", "xmax", "ymin", "ymax"))) for n, t in (("a", a), ("b", b)))
+    low = lambda c: F.greatest(f"a_{c}", f"b_{c}")
+    top = lambda c: F.least(f"a_{c}", f"b_{c}")
+    met = p.join(q, (F.col("a_xmin") < F.col("b_xmax")) & (F.col("b_xmin") < F.col("a_xmax")) & (F.col("a_ymin") < F.col("b_ymax")) & (F.col("b_ymin") < F.col("a_ymax")))
+    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), low("xmin").alias("xmin"), top("xmax").alias("xmax"), low("ymin").alias("ymin"), top("ymax").alias("ymax"))
+
+
+def renumber(df: DataFrame, label: str, to: str) -> DataFrame:
+    """Labels numbered densely from 1 in their order: ranks within ranges of labels, moved on by the number in earlier ranges."""
+    ranged = df.select(label).where(F.col(label).isNotNull()).distinct().repartitionByRange(label).withColumn("_part", F.spark_partition_id())
+    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(label)))
+    sizes = ranked.groupBy("_part").count()  # a row a partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    numbers = ranked.join(F.broadcast(before), "_part").select(label, (F.col("_rank") + F.col("_before")).cast("int").alias(to))
+    return df.join(numbers, label, "left")
+
+
+def fill_gaps(df: DataFrame, row: str, col: str, value: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Nulls take block means resampled back to their cells, of the first blocks that give one: of 5 x 5 cells, then 10 and 100, then the mean of a layer.
+
+    Blocks of k cells count on layers of k rows or columns and more; on layers of fewer than 5, blocks of 2 x 2 cells do. keep
+    names the key columns of a layer, such as the time.
+    """
+    layer = df.groupBy(*keep).agg(F.greatest(F.max(row), F.max(col)).alias("_size"), F.avg(value).alias("_all"))
+    cells, out = df.select(row, col).distinct(), df
+    for k in (2, 5, 10, 100):
+        back = resample(cells, block_mean(df, row, col, value, k, keep), row, col, [value], k, k, keep).withColumnRenamed(value, f"_m{k}")
+        out = out.join(back, [*keep, row, col], "left")
+    out = out.join(layer, list(keep)) if keep else out.crossJoin(F.broadcast(layer))  # one row
+    of = lambda k: F.when(F.col("_size") >= k, F.col(f"_m{k}"))
+    filled = F.coalesce(value, F.when(F.col("_size") < 5, F.col("_m2")), of(5), of(10), of(100), "_all")
+    return out.withColumn("filled", filled).drop("_size", "_all", "_m2", "_m5", "_m10", "_m100")
 
 
 def mask(df: DataFrame, land: DataFrame, keys: Sequence[str], value: str, where: str, inverse: bool = False) -> DataFrame:

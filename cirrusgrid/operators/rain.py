@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grid, temporal
+
 
 def adjust(df: DataFrame, cell: Sequence[str], day: str, rain: str, regional: str, frac: Column, total: Column) -> DataFrame:
     """Rain with a given share of wet days and a given total, per cell.
@@ -42,12 +44,46 @@ def fit_ratio(obs: DataFrame, mod: DataFrame, cell: Sequence[str], rain: str, th
 def apply_ratio(df: DataFrame, model: DataFrame, cell: Sequence[str], day: str, rain: str) -> DataFrame:
     """Rain adjusted to the modelled total times mu_tot and wet share times mu_frac, 1 at most."""
     of = Window.partitionBy(*cell)
-    region = Window.partitionBy(day)
-    out = df.join(model, list(cell)).withColumn("_region", F.sum(rain).over(region))
+    out = with_regional(df, day, rain, "_region").join(model, list(cell))
     out = out.withColumns({"_total": F.sum(rain).over(of) * F.col("mu_tot"), "_frac": F.least(F.lit(1.0), F.avg(F.when(F.col(rain) > 0, 1.0).otherwise(0.0)).over(of) * F.col("mu_frac"))})
     return adjust(out, cell, day, rain, "_region", F.col("_frac"), F.col("_total")).drop("_region", "_total", "_frac", "mu_tot", "mu_frac")
 
 
+def to_total(df: DataFrame, keys: Sequence[str], rain: str, total: Column) -> DataFrame:
+    """df with scaled: rain in proportion, such that each group of keys adds up to total; a group without rain keeps its zeros."""
+    return df.withColumn("scaled", F.col(rain) * F.coalesce(F.try_divide(total, F.sum(rain).over(Window.partitionBy(*keys))), F.lit(1.0)))
+
+
+def with_regional(df: DataFrame, day: str, rain: str, to: str) -> DataFrame:
+    """df with the sum of rain over all cells of a day: summed before the shuffle and joined back, so that no task holds a day."""
+    return df.join(df.groupBy(day).agg(F.sum(rain).alias(to)), day)
+
+
+def regional_ranks(df: DataFrame, day: str, rain: str, width: int = 10, least: float = 0.1) -> DataFrame:
+    """(day, regional): a day's rain over all cells; without any, the mean of width days up to it, wrapping round, or else least."""
+    days = df.groupBy(day).agg(F.coalesce(F.sum(rain), F.lit(0.0)).alias("_sum")).withColumn("_one", F.lit(0))
+    mean = temporal.moving_average(days, ["_one"], day, "_sum", width)  # a row a day
+    full = F.when(F.col("_sum") != 0, F.col("_sum")).when(F.col("moving") > 0, F.col("moving")).otherwise(least)
+    return mean.select(day, full.alias("regional"))
+
+
+def downscale(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame, row: str, col: str, day: str, rain: str, fy: float, fx: float, dry: float = 0.0) -> DataFrame:
+    """(row, col, day, rain) on a fine grid: resampled, then adjusted so that totals and wet shares follow the height above the coarse terrain.
+
+    Nulls take the mean of blocks, then the median of their day. Days of dry and more count as wet. Coarse cells without elevation are at 0.
+    """
+    known = grid.fill_gaps(coarse.select(row, col, day, rain), row, col, rain, [day]).select(row, col, day, F.col("filled").alias(rain))
+    cells = known.groupBy(row, col).agg(F.sum(rain).alias("_total"), F.avg((F.col(rain) >= dry).cast("double")).alias("_share"))
+    cells = cells.join(coarse_dtm.select(row, col, F.coalesce("elev", F.lit(0.0)).alias("_zc")), [row, col])
+    land = fine_dtm.where("elev is not null").select(row, col, "elev")
+    static = grid.resample(land, cells, row, col, ["_total", "_share", "_zc"], fy, fx).join(land, [row, col])
+    total, share = elevation_factors(F.col("elev"), F.col("_zc"))
+    static = static.select(row, col, (F.col("_total") * total).alias("_total"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_share") * share)).alias("_share"))
+    daily = grid.resample(land, known, row, col, [rain], fy, fx, [day]).join(static, [row, col]).join(regional_ranks(known, day, rain), day)
+    out = adjust(daily, [row, col], day, rain, "regional", F.col("_share"), F.col("_total"))
+    return out.select(row, col, day, F.col("adjusted").alias(rain))
+
+
 def elevation_factors(zf: Column, zc: Column) -> tuple[Column, Column]:
     """Multipliers of rain total and wet share for the height of a fine cell above its coarse surroundings."""
     d = zf - zc

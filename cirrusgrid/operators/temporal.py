@@ -36,16 +36,25 @@ def hours(df: DataFrame, day: str = "d") -> DataFrame:
     return df.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
 
 
-def day_to_hour(df: DataFrame, cell: Sequence[str], day: str, values: Sequence[str]) -> DataFrame:
-    """Daily values interpolated to hours, a day's value at hour 11, held constant before the first and after the last."""
+def with_neighbours(df: DataFrame, cell: Sequence[str], day: str, values: Sequence[str]) -> DataFrame:
+    """Values of the days before and after as _p_ and _n_ columns; the first and last day are their own."""
     w = Window.partitionBy(*cell).orderBy(day)
     near = {}
     for v in values:
         near |= {f"_p_{v}": F.coalesce(F.lag(v).over(w), F.col(v)), f"_n_{v}": F.coalesce(F.lead(v).over(w), F.col(v))}
-    out = hours(df.withColumns(near))
+    return df.withColumns(near)
+
+
+def between_neighbours(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """Of hours h of days with neighbours: values on the line between the two days' values, which stand at hour 11."""
     h = F.col("h")
     line = lambda v: F.when(h >= 11, F.col(v) + (F.col(f"_n_{v}") - F.col(v)) * (h - 11) / 24).otherwise(F.col(f"_p_{v}") + (F.col(v) - F.col(f"_p_{v}")) * (h + 13) / 24)
-    return out.withColumns({v: line(v) for v in values}).drop(*near)
+    return df.withColumns({v: line(v) for v in values}).drop(*(f"_{e}_{v}" for v in values for e in "pn"))
+
+
+def day_to_hour(df: DataFrame, cell: Sequence[str], day: str, values: Sequence[str]) -> DataFrame:
+    """Daily values interpolated to hours, a day's value at hour 11, held constant before the first and after the last."""
+    return between_neighbours(hours(with_neighbours(df, cell, day, values)), values)
 
 
 def adjust_to_daily(df: DataFrame, cell: Sequence[str], day: str, value: Column, daily: Column) -> Column:
@@ -149,3 +158,45 @@ def blend_temperature(hourly: DataFrame, daily: DataFrame, cell: Sequence[str],
     lo, hi = F.min(value).over(w), F.max(value).over(w)
     shape = F.coalesce(F.try_divide(F.col(value) - lo, hi - lo), F.lit(0.0))
     return hourly.withColumn("_s", shape).join(daily.select(*cell, day, "tmin", "tmax"), [*cell, day]).withColumn("blended", F.col("_s") * (F.col("tmax") - F.col("tmin")) + F.col("tmin")).drop("_s")
+
+
+def at_times(df: DataFrame, cell: Sequence[str], ts: str, value: str, times: DataFrame) -> DataFrame:
+    """A series interpolated linearly to any other times, a table of one column named ts: (cell, ts, value).
+
+    Times outside a cell's series are null; a series of one value is constant. times are as few as the steps of a series.
+    """
+    known = df.select(*cell, F.col(ts).alias("_t"), F.col(value).alias("_v")).where("_v is not null")
+    asked = known.select(*cell).distinct().crossJoin(F.broadcast(times.select(F.col(ts).alias("_t")))).withColumn("_ask", F.lit(True))
+    axis = known.withColumn("_ask", F.lit(False)).unionByName(asked.withColumn("_v", F.lit(None).cast("double")))
+    back = Window.partitionBy(*cell).orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(*cell).orderBy("_t").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    at = F.when(F.col("_v").isNotNull(), F.col("_t"))
+    sec = lambda c: F.unix_micros(F.to_timestamp(c)) / 1e6
+    axis = axis.withColumns({"_t0": F.max(at).over(back), "_t1": F.min(at).over(ahead), "_n": F.count("_v").over(Window.partitionBy(*cell)), "_one": F.max("_v").over(Window.partitionBy(*cell))})
+    axis = axis.withColumns({"_v0": F.max_by("_v", at).over(back), "_v1": F.min_by("_v", at).over(ahead)})
+    share = F.coalesce(F.try_divide(sec(F.col("_t")) - sec(F.col("_t0")), sec(F.col("_t1")) - sec(F.col("_t0"))), F.lit(0.0))
+    line = F.when(F.col("_n") == 1, F.col("_one")).when(F.col("_t0").isNotNull() & F.col("_t1").isNotNull(), F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share)
+    return axis.where("_ask").select(*cell, F.col("_t").alias(ts), line.alias(value))
+
+
+def first_run(df: DataFrame, cell: Sequence[str], day: str, wet: Column, n: int) -> DataFrame:
+    """(cell, start): where the first run of exactly n consecutive rows for which wet holds begins; null where there is none."""
+    found = spells(df, cell, day, wet).where(F.col("days") == n).groupBy(*cell).agg(F.min("start").alias("start"))
+    return df.select(*cell).distinct().join(found, list(cell), "left")
+
+
+def blend_steps(df: DataFrame, cell: Sequence[str], order: str, value: str, steps: int) -> DataFrame:
+    """Each value blended into the next one in so many steps: (1 - j / steps) of itself and j / steps of the next, column j from 0; the last has no next and is left out."""
+    w = Window.partitionBy(*cell).orderBy(order)
+    near = df.withColumn("_next", F.lead(value).over(w)).where(F.col("_next").isNotNull()).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    share = F.col("j") / steps
+    return near.withColumn("blended", (1 - share) * F.col(value) + share * F.col("_next")).drop("_next")
+
+
+def layers_at_quantiles(df: DataFrame, ts: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """(share, ts, mean): the layer whose mean over all cells is nearest to each quantile of the layers' means; ties take the earliest."""
+    layers = df.groupBy(ts).agg(F.avg(value).alias("mean"))
+    marks = layers.agg(F.percentile("mean", F.array(*map(F.lit, shares))).alias("q")).select(F.posexplode("q").alias("i", "q"))
+    marks = marks.withColumn("share", F.element_at(F.array(*(F.lit(float(s)) for s in shares)), F.col("i") + 1))
+    near = layers.crossJoin(F.broadcast(marks)).groupBy("share").agg(F.min(F.struct(F.abs(F.col("mean") - F.col("q")).alias("gap"), F.col(ts).alias("ts"), F.col("mean").alias("mean"))).alias("x"))
+    return near.select("share", F.col("x.ts").alias(ts), F.col("x.mean").alias("mean"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import physics, solar
-from ..operators import grid, temporal
+from ..operators import bias, grid, rain, temporal, wind
 
 DAILY = ("tmin", "tmax", "relhum", "pres", "swrad", "lwrad", "windspeed", "winddir", "prec")
 
@@ -29,14 +29,14 @@ def to_hourly(daily: DataFrame, cell: Sequence[str], day: str, lat: Column, lon:
         "p": F.col("pres"), "u": physics.wind_u(F.col("windspeed"), F.col("winddir")), "v": physics.wind_v(F.col("windspeed"), F.col("winddir")),
         "r": F.when(F.col("prec") < rain_cut, 0.0).otherwise(F.col("prec")) / 24,
     })
-    base = temporal.hourly_temperature(base, cell, day, lat, lon)  # with it each day has its 24 rows
+    # The clear-sky share is a day's, and its neighbours are looked up, before a day becomes 24 rows.
+    base = solar.daily_clear_sky(base, solar.julian_day(F.col(day)), lat, lon, "_c").withColumn("share", F.coalesce(F.try_divide(F.col("swrad"), F.col("_c")), F.lit(0.5)))
+    base = base.withColumn("share", physics.clamp(F.col("share"), 0.0, 1.0)).drop("_c")
     keys = [*cell, day]
     of = Window.partitionBy(*keys)
-    base = base.withColumn("cs", solar.clear_sky(solar.julian_day(F.col(day)), F.col("h").cast("double"), lat, lon))
-    base = base.withColumn("_c", F.avg("cs").over(of)).withColumn("share", F.coalesce(F.try_divide(F.col("swrad"), F.col("_c")), F.lit(0.5)))
-    base = base.withColumn("share", F.least(F.greatest(F.col("share"), F.lit(0.0)), F.lit(1.0))).drop("_c")
-    smooth = temporal.day_to_hour(daily_only(base, keys), cell, day, ["q", "p", "u", "v", "r", "share"]).select(*keys, "h", "q", "p", "u", "v", "r", "share")
-    out = base.drop("q", "p", "u", "v", "r", "share").join(smooth, [*keys, "h"])
+    smooth = ["q", "p", "u", "v", "r", "share"]
+    out = temporal.hourly_temperature(temporal.with_neighbours(base, cell, day, smooth), cell, day, lat, lon)
+    out = temporal.between_neighbours(out, smooth).withColumn("cs", solar.clear_sky(solar.julian_day(F.col(day)), F.col("h").cast("double"), lat, lon))
     adjust = lambda value, d: temporal.adjust_to_daily(out, cell, day, value, F.col(d))
     out = out.withColumn("pk", adjust(F.col("p"), "pres"))
     out = out.withColumn("rh", physics.convert_humidity(F.col("q"), "specific", "relative", F.col("temp"), F.col("pk")))
@@ -51,34 +51,123 @@ def to_hourly(daily: DataFrame, cell: Sequence[str], day: str, lat: Column, lon:
     return out.select(*keys, "h", "temp", F.col("rh").alias("relhum"), F.col("pk").alias("pres"), F.col("sw").alias("swrad"), F.col("lw").alias("lwrad"), F.col("ws").alias("windspeed"), F.col("wd").alias("winddir"), rain.alias("prec"))
 
 
-def daily_only(hourly: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row a day of a table whose other columns don't change within it."""
-    return hourly.where("h = 0").drop("h", "temp", "cs")
+def elevated(coarse: DataFrame, dtm: DataFrame, land: DataFrame, row: str, col: str, ts: str, temps: Sequence[str], fy: float, fx: float, others: dict[str, Column] | None = None, lift_in: float = 0.0, lift_out: float = 0.0) -> DataFrame:
+    """(row, col, ts, temps, lr_.., others) on the cells of land (row, col, zf): temperatures brought to sea level by the lapse rates of coarse cells, resampled and raised again.
 
+    coarse has the temperatures, relhum and pres; dtm its elevations, null being sea at 0. lift_in and lift_out are heights of
+    measurement above the ground. others are expressions over coarse that are resampled along, so that all share one join.
+    """
+    z = dtm.select(row, col, F.when(F.col("elev").isNull(), 0.0).otherwise(F.col("elev") + lift_in).alias("_zc"), F.col("elev").alias("zc"))
+    base = coarse.join(z, [row, col])
+    made = {f"lr_{t}": physics.lapse_rate(F.col(t), F.col("relhum"), F.col("pres")) for t in temps}
+    base = base.withColumns(made).withColumns({f"_0_{t}": F.col(t) + F.col(f"lr_{t}") * F.col("_zc") for t in temps} | (others or {}))
+    values = [*made, *(f"_0_{t}" for t in temps), *(others or {})]
+    at = grid.resample(land, base.select(row, col, ts, *values), row, col, values, fy, fx, keep=[ts]).join(land, [row, col])
+    return at.withColumns({t: F.col(f"_0_{t}") - F.col(f"lr_{t}") * (F.col("zf") + lift_out) for t in temps}).drop(*(f"_0_{t}" for t in temps))
+
+
+def temperatures(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame, row: str, col: str, day: str, fy: float, fx: float, drainage: DataFrame | None = None, coast: tuple | None = None, height_in: float = 2.0, height_out: float = 2.0, wind_in: float = 10.0) -> DataFrame:
+    """(row, col, day, tmin, tmax, tmean) on the fine grid, of a coarse table with tmin, tmax, relhum, pres, windspeed, lwrad.
+
+    drainage (row, col, potential) lets cold air run down by night, when the air is stable, from tmin alone. coast is (exposed,
+    sea): what coast.exposures gives, and (row, col, day, sst, windspeed, winddir) on the fine grid. tmax is never below tmin.
+    """
+    from ..operators import coast as shore
+
+    land = fine_dtm.where("elev is not null").select(row, col, F.col("elev").alias("zf"))
+    mid = coarse.withColumn("tmean", (F.col("tmin") + F.col("tmax")) / 2)
+    wind = physics.wind_height(F.col("windspeed"), wind_in, height_in) if wind_in != height_in else F.col("windspeed")
+    out = elevated(mid, coarse_dtm, land, row, col, day, ["tmin", "tmax", "tmean"], fy, fx, {"_still": physics.stability(F.col("tmin"), wind, F.lit(0.0), F.col("lwrad"), height_in)}, height_in, height_out)
+    if drainage is not None:
+        out = out.join(drainage.select(row, col, "potential"), [row, col], "left")
+        fall = physics.cold_air_drop(F.col("lr_tmin"), F.coalesce("potential", F.lit(0.0)), F.when(F.col("_still") >= 1, 1.0).otherwise(0.0))
+        out = out.withColumn("tmin", F.col("tmin") + fall)
+    if coast is not None:
+        exposed, sea = coast
+        for t in ("tmin", "tmax", "tmean"):
+            drawn = shore.temper(out.select(row, col, day, F.col(t).alias("temp")).join(sea, [row, col, day]), exposed, row, col, day)
+            out = out.join(drawn.select(row, col, day, F.col("temp").alias("_drawn")), [row, col, day], "left").withColumn(t, F.coalesce("_drawn", t)).drop("_drawn")
+    lo, hi = physics.ordered(F.col("tmin"), F.col("tmax"))
+    return out.withColumns({"tmin": lo, "tmax": hi}).select(row, col, day, "tmin", "tmax", "tmean")
 
-def to_fine(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame, row: str, col: str, ts: str, fy: float, fx: float, min_humidity: float = 20.0) -> DataFrame:
+
+def cloud_fraction(coarse: DataFrame, coarse_dtm: DataFrame, land: DataFrame, row: str, col: str, ts: str, value: str, fy: float, fx: float) -> DataFrame:
+    """(row, col, ts, value): a clear-sky share on the cells of land (row, col, zf), shifted in logits by the height above the coarse terrain."""
+    z = coarse_dtm.select(row, col, F.coalesce("elev", F.lit(0.0)).alias("zc"))
+    height = grid.resample(land, z, row, col, ["zc"], fy, fx).join(land, [row, col])
+    d, zc = F.col("zf") - F.col("zc"), F.col("zc")
+    moved = height.select(row, col, (-9.938e-3 - 6.550e-4 * d + 4.966e-5 * zc + 1.358e-6 * zc * d).alias("_shift"))
+    at = bias.logit_over(grid.resample(land, coarse, row, col, [value], fy, fx, keep=[ts]), value)
+    return at.join(moved, [row, col]).select(row, col, ts, physics.inverse_logit(F.col(value) + F.col("_shift")).alias(value))
+
+
+def clear_share(total: Column, clear: Column) -> Column:
+    """Radiation over clear-sky radiation, within 0 and 1; a half where both are 0, 1 where there is some without a clear sky."""
+    return F.when(clear == 0, F.when(total > 0, 1.0).when(total < 0, 0.0).otherwise(0.5)).otherwise(physics.clamp(total / clear, 0.0, 1.0))
+
+
+def shortwave(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame, row: str, col: str, day: str, fy: float, fx: float, where: tuple[Column, Column], fine_where: tuple[Column, Column]) -> DataFrame:
+    """(row, col, day, swrad) on the fine grid: the daily clear-sky share, adjusted for elevation, of the clear-sky radiation there.
+
+    where and fine_where are latitude and longitude as expressions over the rows of either grid.
+    """
+    jd = solar.julian_day(F.col(day))
+    share = solar.daily_clear_sky(coarse.select(row, col, day, "swrad"), jd, *where, "_cs").withColumn("share", clear_share(F.col("swrad"), F.col("_cs")))
+    land = fine_dtm.where("elev is not null").select(row, col, F.col("elev").alias("zf"))
+    at = cloud_fraction(share.select(row, col, day, "share"), coarse_dtm, land, row, col, day, "share", fy, fx)
+    return solar.daily_clear_sky(at, jd, *fine_where, "_cs").select(row, col, day, (F.col("share") * F.col("_cs")).alias("swrad"))
+
+
+def shaded(df: DataFrame, horizons: DataFrame, sky: DataFrame, row: str, col: str, azimuth: Column, altitude: Column, diffuse: Column, directions: int = 24) -> DataFrame:
+    """df with swrad cut by terrain and its diffuse part difrad: the beam where the sun stands above the horizon, and the diffuse share by the sky in view.
+
+    horizons (row, col, coefficients) has the tangent of the horizon's angle in so many directions, sky (row, col, skyview).
+    """
+    at = wind.by_sector(df.withColumns({"_az": azimuth, "_alt": altitude, "_dp": diffuse}), horizons, [row, col], "_az", directions).join(sky, [row, col])
+    lit = (F.col("_alt") >= 0) & ~(F.col("coefficient") > F.tan(F.radians("_alt")))
+    scattered = F.col("_dp") * F.col("skyview") * F.col("swrad")
+    beam = F.when(lit, (1 - F.col("_dp")) * F.col("swrad")).otherwise(0.0)
+    return at.withColumns({"difrad": scattered, "swrad": beam + scattered}).drop("_az", "_alt", "_dp", "coefficient", "skyview")
+
+
+def to_fine(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame, row: str, col: str, ts: str, fy: float, fx: float, min_humidity: float = 20.0, coefficients: DataFrame | None = None) -> DataFrame:
     """temp, relhum, pres, lwrad and wind of a coarse table on a fine grid, adjusted for elevation.
 
     coarse has row, col, ts and temp, relhum, pres, lwrad, windspeed, winddir; the DTMs row, col and elev (null is sea). Temperature and
     pressure are brought to sea level, resampled and raised again; humidity follows vapour pressure, longwave the change in emission.
+    All variables share one join. With coefficients (row, col, an array of sectors) the wind follows the terrain.
     """
-    z = coarse_dtm.select(row, col, F.col("elev").alias("zc"))
-    base = coarse.join(z, [row, col])
-    lr = physics.lapse_rate(F.col("temp"), F.col("relhum"), F.col("pres"))
-    base = base.withColumns({
-        "lr": lr, "t0": F.col("temp") + lr * F.coalesce("zc", F.lit(0.0)), "p0": physics.atmos_to_sea_pressure(F.col("pres"), F.col("zc")),
-        "ea": physics.satvap(F.col("temp")) * F.col("relhum") / 100, "up": physics.lw_up(F.col("temp")),
-        "u": physics.wind_u(F.col("windspeed"), F.col("winddir")), "v": physics.wind_v(F.col("windspeed"), F.col("winddir")),
-    })
     land = fine_dtm.where("elev is not null").select(row, col, F.col("elev").alias("zf"))
-    at = grid.resample(land, base, row, col, ["lr", "t0", "p0", "ea", "lwrad", "up", "u", "v"], fy, fx, keep=[ts]).join(land, [row, col])
-    temp = F.col("t0") - F.col("lr") * F.col("zf")
-    out = at.withColumn("temp", temp)
+    base = coarse.join(coarse_dtm.select(row, col, F.col("elev").alias("_z")), [row, col])
+    others = {
+        "p0": physics.atmos_to_sea_pressure(F.col("pres"), F.col("_z")), "ea": physics.satvap(F.col("temp")) * F.col("relhum") / 100, "lwrad": F.col("lwrad"),
+        "up": physics.lw_up(F.col("temp")), "u": physics.wind_u(F.col("windspeed"), F.col("winddir")), "v": physics.wind_v(F.col("windspeed"), F.col("winddir")),
+    }
+    out = elevated(base, coarse_dtm, land, row, col, ts, ["temp"], fy, fx, others)
+    speed = physics.wind_speed(F.col("u"), F.col("v"))
+    if coefficients is not None:
+        out = wind.by_sector(out.withColumn("_way", physics.wind_direction(F.col("u"), F.col("v"))), coefficients, [row, col], "_way", wind.SECTORS)
+        speed = speed * F.coalesce("coefficient", F.lit(1.0))
     return out.select(
         row, col, ts, "temp",
         physics.clamp(F.col("ea") / physics.satvap(F.col("temp")) * 100, min_humidity, 100.0).alias("relhum"),
         physics.sea_to_atmos_pressure(F.col("p0"), F.col("zf")).alias("pres"),
         (F.col("lwrad") + physics.lw_up(F.col("temp")) - F.col("up")).alias("lwrad"),
-        physics.wind_speed(F.col("u"), F.col("v")).alias("windspeed"),
+        speed.alias("windspeed"),
         physics.wind_direction(F.col("u"), F.col("v")).alias("winddir"),
     )
+
+
+def all_to_fine(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame, row: str, col: str, day: str, fy: float, fx: float, where: tuple[Column, Column], fine_where: tuple[Column, Column], drainage: DataFrame | None = None, coefficients: DataFrame | None = None, coast: tuple | None = None, dry: float = 0.0) -> DataFrame:
+    """Every daily variable of a coarse table on a fine grid: tmin, tmax, tmean, relhum, pres, swrad, lwrad, windspeed, winddir, prec.
+
+    coarse has tmin, tmax, relhum, pres, swrad, lwrad, windspeed, winddir, prec. Static tables of the terrain are given, not made
+    anew: drainage and coast as temperatures() takes them, coefficients as wind.coefficients gives them.
+    """
+    keys = [row, col, day]
+    temps = temperatures(coarse, coarse_dtm, fine_dtm, row, col, day, fy, fx, drainage, coast)
+    mean = coarse.withColumn("temp", (F.col("tmin") + F.col("tmax")) / 2)
+    rest = to_fine(mean, coarse_dtm, fine_dtm, row, col, day, fy, fx, coefficients=coefficients).drop("temp")
+    sun = shortwave(coarse, coarse_dtm, fine_dtm, row, col, day, fy, fx, where, fine_where)
+    wet = rain.downscale(coarse, coarse_dtm, fine_dtm, row, col, day, "prec", fy, fx, dry)
+    return temps.join(rest, keys).join(sun, keys).join(wet, keys)

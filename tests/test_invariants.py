@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cirrusgrid import catalogue
 from cirrusgrid.fixtures import view
 from cirrusgrid.functions import physics
-from cirrusgrid.operators import bias, grid, rain, temporal, terrain
+from cirrusgrid.operators import bias, grid, rain, temporal
 from cirrusgrid.plans import downscale
 from cirrusgrid.sources import climdata
 
@@ -91,14 +91,6 @@ def test_smooth_maps_a_line_onto_itself(spark):
     assert [r["corrected"] for r in out.orderBy("v").collect()] == pytest.approx([12.0, 81.5], abs=1e-4)
 
 
-def test_cone_drains_to_its_middle(spark):
-    rows = [(25, 24, 21, 24, 25), (15, 14, 11, 14, 15), (5, 4, 1, 4, 5), (15, 14, 11, 14, 15), (25, 24, 21, 24, 25)]
-    df = spark.createDataFrame([(1, r + 1, c + 1, float(v)) for r, row in enumerate(rows) for c, v in enumerate(row)], "tile int, r int, c int, z double")
-    flow = {(x["r"], x["c"]): x["flow"] for x in terrain.flow_accumulation(df, "tile", "r", "c", "z").collect()}
-    assert flow[3, 3] == 25 and min(flow.values()) == 1
-    assert {x["basin"] for x in terrain.basins(df, "tile", "r", "c", "z").collect()} == {1}
-
-
 def test_hourly_weather_keeps_its_limits(spark):
     start = dt.date(2018, 5, 1)
     rows = [(1, start + dt.timedelta(i), a, b, rh, p, 150.0, 300.0, 4.0, 200.0, 2.4) for i, (a, b, rh, p) in enumerate(zip((10.0, 9.0, 12.0, 12.0, 6.0), (15.0, 15.0, 18.0, 20.0, 12.0), (80.0, 80.0, 70.0, 90.0, 80.0), (96.0, 97.0, 98.0, 99.0, 100.0)))]
