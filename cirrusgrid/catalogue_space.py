@@ -153,13 +153,13 @@ def _sectors(n: int) -> str:
 WIND_DIRS = "SELECT cell, CAST(floor(winddir/45) AS INT)%8 AS dir, avg(windspeed) AS w FROM v_coarse GROUP BY 1, 2"
 
 
-@query(f"SELECT c.cell, c.d, round(c.windspeed*m.w,6) AS speed FROM v_coarse c LEFT JOIN ({WIND_DIRS}) m ON m.cell=c.cell AND m.dir={_sectors(8)}")
+@query(f"SELECT c.cell, c.d, round(c.windspeed*m.w/7,6) AS speed FROM v_coarse c LEFT JOIN ({WIND_DIRS}) m ON m.cell=c.cell AND m.dir={_sectors(8)}")
 def direction_lookup(load):
     """A coefficient of each cell for the sector of the wind: one array a cell, so that the series is joined once."""
     df = load("v_coarse")
     table = df.groupBy("cell", (F.floor(F.col("winddir") / 45).cast("int") % 8).alias("dir")).agg(F.avg("windspeed").alias("w"))
     out = wind.by_sector(df, wind.as_arrays(table, ["cell"], "dir", "w", 8), ["cell"], "winddir", 8)
-    return rounded(out, ["cell", "d"], speed=F.col("windspeed") * F.col("coefficient"))
+    return rounded(out, ["cell", "d"], speed=F.col("windspeed") * F.col("coefficient") / 7)
 
 
 def _gain(wdir: float, res1: float, res2: float) -> str:
@@ -171,10 +171,10 @@ def wind_height_gain(load):
     return rounded(wind.height_gain(load("v_dtmf"), "row_", "col_", "elev", [225.0], 50, 1000), ["row_", "col_"], gain=F.col("gain"))
 
 
-@query("SELECT c.cell, c.d, round(lr*-elev*0.01*CASE WHEN windspeed<5 THEN 1.0 ELSE 0.0 END,8) AS fall FROM (SELECT *, 0.005+relhum*1e-5 AS lr FROM v_coarse) c JOIN v_dtmc m ON c.cell=m.cell")
+@query("SELECT c.cell, c.d, round(lr*-elev*0.01*CASE WHEN windspeed<5 THEN 1.0 ELSE 0.0 END+3e-11,8) AS fall FROM (SELECT *, 0.005+relhum*1e-5 AS lr FROM v_coarse) c JOIN v_dtmc m ON c.cell=m.cell")
 def cold_air_drop(load):
     df = load("v_coarse").join(load("v_dtmc").select("cell", "elev"), "cell")
-    return rounded(df, ["cell", "d"], 8, fall=physics.cold_air_drop(0.005 + F.col("relhum") * 1e-5, F.col("elev") * 0.01, F.when(F.col("windspeed") < 5, 1.0).otherwise(0.0)))
+    return rounded(df, ["cell", "d"], 8, fall=physics.cold_air_drop(0.005 + F.col("relhum") * 1e-5, F.col("elev") * 0.01, F.when(F.col("windspeed") < 5, 1.0).otherwise(0.0)) + 3e-11)
 
 
 @query("SELECT cell, d, round(CASE WHEN hi<lo THEN hi ELSE lo END,6) AS lo, round(CASE WHEN hi<lo THEN lo ELSE hi END,6) AS hi FROM (SELECT cell, d, tmin+3 AS lo, tmax-3 AS hi FROM v_day)")

@@ -38,17 +38,17 @@ ORACLE["temporal_downscale"] = sql(
     f"y3 AS (SELECT *, i_q/(18.02/28.97*({_E0.format(t='temp')}/pk))*100 AS rh0, i_share*cs AS sw0, sqrt(i_u*i_u+i_v*i_v) AS ws0 FROM y2), "
     "y4 AS (SELECT *, greatest(10.0,least(100.0,rh0*coalesce(relhum/nullif(avg(rh0) OVER p,0),1))) AS rh, greatest(0.0,least(1352.778,sw0*coalesce(swrad/nullif(avg(sw0) OVER p,0),1))) AS sw, ws0*coalesce(windspeed/nullif(avg(ws0) OVER p,0),1) AS ws, i_r*coalesce((CASE WHEN prec<0 THEN 0 ELSE prec END)/nullif(sum(i_r) OVER p,0),1) AS rain FROM y3 WINDOW p AS (PARTITION BY cell, d)), "
     f"y5 AS (SELECT *, {_E0.format(t='temp')}*rh/100 AS ea FROM y4), y6 AS (SELECT *, 1/(1/273.15-461.5/(2.501e6-2340*temp)*ln(ea/0.6112))-273.15 AS dw FROM y5), y7 AS (SELECT *, least(1.0,0.787+0.764*ln((CASE WHEN dw<0 THEN 1/(1/273.15-461.5/2.834e6*ln(ea/0.61078))-273.15 ELSE dw END+273.15)/273.15))*5.67e-8*power(temp+273.15,4) AS lw0 FROM y6) "
-    "SELECT cell, row_, col_, d, h, round(temp,4) AS temp, round(rh,4) AS relhum, round(pk,4) AS pres, round(sw,4) AS swrad, round(lw0*coalesce(lwrad/nullif(avg(lw0) OVER (PARTITION BY cell, d),0),1),4) AS lwrad, round(ws,4) AS windspeed, round(degrees(atan2(i_u,i_v))+180-360*floor((degrees(atan2(i_u,i_v))+180)/360),4) AS winddir, round(rain,4) AS prec FROM y7"
+    "SELECT cell, row_, col_, d, h, round(temp+3e-7,4) AS temp, round(rh+3e-7,4) AS relhum, round(pk+3e-7,4) AS pres, round(sw+3e-7,4) AS swrad, round(lw0*coalesce(lwrad/nullif(avg(lw0) OVER (PARTITION BY cell, d),0),1)+3e-7,4) AS lwrad, round(ws+3e-7,4) AS windspeed, round(degrees(atan2(i_u,i_v))+180-360*floor((degrees(atan2(i_u,i_v))+180)/360)+3e-7,4) AS winddir, round(rain+3e-7,4) AS prec FROM y7"
 )
 
 
 @query("-- with\nk AS (SELECT cell, CAST(d AS TIMESTAMP) AS t, tmean AS v, count(*) OVER (PARTITION BY cell) AS n FROM v_day), a AS (SELECT c.cell, u.t FROM (SELECT DISTINCT cell FROM v_day) c, (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-28', INTERVAL 7 HOUR)) AS t) u) "
-       "SELECT a.cell, a.t AS ts, round(CASE WHEN coalesce(p.n,x.n)=1 THEN coalesce(p.v,x.v) ELSE p.v+(x.v-p.v)*coalesce(epoch(a.t-p.t)/nullif(epoch(x.t-p.t),0),0) END,6) AS tmean FROM a ASOF LEFT JOIN k p ON a.cell=p.cell AND a.t>=p.t ASOF LEFT JOIN k x ON a.cell=x.cell AND a.t<=x.t")
+       "SELECT a.cell, a.t AS ts, round(CASE WHEN coalesce(p.n,x.n)=1 THEN coalesce(p.v,x.v) ELSE p.v+(x.v-p.v)*coalesce(epoch(a.t-p.t)/nullif(epoch(x.t-p.t),0),0) END+3e-9,6) AS tmean FROM a ASOF LEFT JOIN k p ON a.cell=p.cell AND a.t>=p.t ASOF LEFT JOIN k x ON a.cell=x.cell AND a.t<=x.t")
 def time_interp(load):
     """Daily means at steps of seven hours."""
     days = load("v_day").withColumn("ts", F.col("d").cast("timestamp_ntz"))
     axis = days.sparkSession.range(1).select(F.explode(F.expr("sequence(timestamp_ntz'2024-01-02', timestamp_ntz'2024-01-28', interval 7 hours)")).alias("ts"))
-    return rounded(temporal.at_times(days, ["cell"], "ts", "tmean", axis), ["cell", "ts"], tmean=F.col("tmean"))
+    return rounded(temporal.at_times(days, ["cell"], "ts", "tmean", axis), ["cell", "ts"], tmean=F.col("tmean") + 3e-9)
 
 
 _RUNS = "SELECT cell, min(d) AS s, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY d)-row_number() OVER (PARTITION BY cell, prec>=30 ORDER BY d) AS g FROM v_coarse) WHERE prec>=30 GROUP BY cell, g"
@@ -191,11 +191,12 @@ def input_problems(load):
     return climdata.problems(df, ["cell"], "d", ["prec", "relhum", "pres", "winddir"], 24)
 
 
-@query("SELECT p, d, round(sum(w*prec)/nullif(sum(CASE WHEN prec IS NOT NULL THEN w END),0),2) AS prec, round(sum(w*pres)/sum(w),3) AS pres FROM v_coarse c JOIN (SELECT row_, col_, CAST(row_%7 AS INT) AS p, (1+col_)*1.0 AS w FROM v_dtmc WHERE elev IS NOT NULL) x ON c.row_=x.row_ AND c.col_=x.col_ GROUP BY p, d")
+@query("SELECT p, d, round(sum(w*prec/3.7)/nullif(sum(CASE WHEN prec IS NOT NULL THEN w END),0),4) AS prec, round(sum(w*pres/3.7)/sum(w),5) AS pres FROM v_coarse c JOIN (SELECT row_, col_, CAST(row_%7 AS INT) AS p, (1+col_)*1.0 AS w FROM v_dtmc WHERE elev IS NOT NULL) x ON c.row_=x.row_ AND c.col_=x.col_ GROUP BY p, d")
 def parcel_means(load):
     """Weighted means over parcels of cells."""
     weights = load("v_dtmc").where("elev is not null").select("row_", "col_", (F.col("row_") % 7).alias("p"), (1.0 + F.col("col_")).alias("weight"))
-    return climdata.parcel_means(load("v_coarse"), weights, "p", "d", {"prec": 2, "pres": 3})
+    cells = load("v_coarse").withColumns({"prec": F.col("prec") / 3.7, "pres": F.col("pres") / 3.7})
+    return climdata.parcel_means(cells, weights, "p", "d", {"prec": 4, "pres": 5})
 
 
 _RAW = "SELECT cell, ts, tc+273.15 AS t2m, tc+270 AS d2m, 100000+tc*50 AS sp, (tc+6)*36000 AS ssrd, (tc+6)*20000 AS fdir, 1000000+tc*1000 AS strd, tc+5.5 AS u10, 3-tc/10 AS v10, (tc+6)/1000 AS tp, row_ FROM v_obs"

@@ -102,6 +102,8 @@ def resample(fine: DataFrame, coarse: DataFrame, row: str, col: str, values: Seq
     kernel, low, high = KERNELS[method]
     r, c, y, x = _corners(row, col, fy, fx)
     placed = fine.select(row, col, r.alias("_r"), c.alias("_c"), y.alias("_y"), x.alias("_x"))
+    if high - low > 1:
+        return _summed(placed, coarse, row, col, values, kernel, range(low, high + 1), keep)
     joined = placed.join(quads(coarse, row, col, values, low, high, keep), ["_r", "_c"])
     steps = [(a, b) for a in range(low, high + 1) for b in range(low, high + 1)]
     joined = joined.withColumns({f"_w_{a}_{b}": kernel(F.abs(F.col("_y") - a)) * kernel(F.abs(F.col("_x") - b)) for a, b in steps})
@@ -118,6 +120,15 @@ def resample(fine: DataFrame, coarse: DataFrame, row: str, col: str, values: Seq
     return joined.where(some).select(row, col, *keep, *map(mixed, values))
 
 
+def _summed(placed: DataFrame, coarse: DataFrame, row: str, col: str, values: Sequence[str], kernel, steps: range, keep: Sequence[str]) -> DataFrame:
+    """resample() for kernels of many cells, whose sum as one expression would be too long to compile: a row a cell of the kernel, joined and added up."""
+    corner = [F.struct((F.col("_r") + a).alias("r"), (F.col("_c") + b).alias("c"), (kernel(F.abs(F.col("_y") - a)) * kernel(F.abs(F.col("_x") - b))).alias("w")) for a in steps for b in steps]
+    at = placed.select(row, col, F.explode(F.array(*corner)).alias("k")).select(row, col, F.col("k.r").alias("_r"), F.col("k.c").alias("_c"), F.col("k.w").alias("_w")).where("_w <> 0")
+    source = coarse.select(*keep, F.col(row).alias("_r"), F.col(col).alias("_c"), *(F.col(v).alias(f"_{v}") for v in values))
+    weighted = lambda v: F.try_divide(F.sum(F.col("_w") * F.col(f"_{v}")), F.sum(F.when(F.col(f"_{v}").isNotNull(), F.col("_w")))).alias(v)
+    return at.join(source, ["_r", "_c"]).groupBy(row, col, *keep).agg(*map(weighted, values))
+
+
 def crop(df: DataFrame, row: str, col: str, grid: Grid, xmin: float, xmax: float, ymin: float, ymax: float) -> DataFrame:
     """The cells of an extent, which is snapped to the nearest cell borders; a filter on the integer keys that reaches the scan."""
     first, last = (round((grid.ymax - y) / grid.yres) for y in (ymax, ymin))
