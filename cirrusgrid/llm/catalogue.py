@@ -58,4 +58,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_warc, op4_secret_scans, op5_suffix_array_dedup, op6_best_fit_packing, op7_quality_rules, op8_fingerprints, op9_jaccard_join, op10_toxicity)}
-ORACLE: dict[str, str] = {"op2_line_dedup": lines.SQL}
+ORACLE: dict[str, str] = {"op2_line_dedup": lines.SQL, "op7_quality_rules": quality.SQL, "op9_jaccard_join": jaccard.SQL}

@@ -5,7 +5,9 @@ pages of the host exceeds ``RATIO``. A host has at most (lines of its average pa
 they go to its pages as one bounded array, and pages are never taken apart.
 
 Lines are compared without the space around them; blank lines never count and always stay. A null text has no
-lines and stays null. Rows without a host are a site of their own. Repeated rows are pages of their own.
+lines and stays null. Rows without a host are a site of their own. Repeated rows are pages of their own. Texts of
+any length are taken whole. Other columns stay as they are, whatever their names, but for n_lines and n_dropped,
+which are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 RATIO, MIN_PAGES = 0.1, 3
 #: Boilerplate lines of a bounded number are broadcast, more are joined by shuffle.
 BROADCAST_LINES = 100_000
@@ -38,32 +42,40 @@ def _hash(line: Column) -> Column:
 
 def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line_hashes): the hashes of each host's boilerplate lines, for hosts that have any."""
-    host_of = F.coalesce(F.col(host_col), F.lit(""))
-    total = pages.groupBy(host_of.alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    lines = F.array_distinct(F.transform(F.filter(F.split(text_col, "\n"), lambda x: F.trim(x) != ""), _hash))
-    seen = pages.select(host_of.alias("host"), F.explode(lines).alias("line")).groupBy("host", "line").count().where(F.col("count") >= min_pages)
+    rows = pages.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.col(text_col).alias("text"))
+    total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _hash))
+    seen = rows.select("host", F.explode(lines).alias("line")).groupBy("host", "line").count().where(F.col("count") >= min_pages)
     common = seen.join(total, "host").where(F.col("count") > ratio * F.col("pages"))
     return common.groupBy("host").agg(F.collect_list("line").alias("line_hashes"))
 
 
 def dedup(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages without their hosts' boilerplate lines, with the columns n_lines (not blank) and n_dropped."""
-    common = boilerplate(pages, host_col, text_col, ratio, min_pages).persist()
+    common = keep(boilerplate(pages, host_col, text_col, ratio, min_pages), "boilerplate")
     few = common.agg(F.coalesce(F.sum(F.size("line_hashes")), F.lit(0))).first()[0] <= BROADCAST_LINES
-    common = common.withColumnRenamed("host", "_host")
+    # Columns of our own go by names that no column of pages begins with.
+    own = "_"
+    while any(c.startswith(own) for c in pages.columns):
+        own += "_"
+    at, of, common_lines, here, lost = (own + n for n in ("at", "of", "common", "here", "lost"))
+    common = common.select(F.col("host").alias(of), F.col("line_hashes").alias(common_lines))
     # A hot host is one side's many rows against the other side's single one, which Spark can split.
-    joined = pages.withColumn("_h", F.coalesce(F.col(host_col), F.lit(""))).join(F.broadcast(common) if few else common.hint("merge"), F.col("_h") == F.col("_host"), "left")
-    lines = F.split(text_col, "\n")
-    lost = F.filter(lines, lambda x: (F.trim(x) != "") & F.array_contains("line_hashes", _hash(x)))
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("line_hashes", _hash(x)))
+    joined = pages.withColumn(at, F.coalesce(F.col(host_col), F.lit(""))).join(F.broadcast(common) if few else common.hint("merge"), F.col(at) == F.col(of), "left")
+    text = F.col(text_col)
+    lines = F.split(text, "\n")
+    # The host's lines that this page has, by hash sets; only these few are looked through line by line.
+    joined = joined.withColumn(here, F.array_intersect(F.transform(lines, _hash), F.col(common_lines)))
+    some = F.coalesce(F.size(here) > 0, F.lit(False)) & text.isNotNull()
+    gone = lambda x: (F.trim(x) != "") & F.array_contains(here, _hash(x))
+    joined = joined.withColumn(lost, F.when(some, F.size(F.filter(lines, gone))).otherwise(0))
     n = F.size(F.filter(lines, lambda x: F.trim(x) != ""))
-    some = F.col("line_hashes").isNotNull() & F.col(text_col).isNotNull()
     out = {
-        "n_lines": F.when(F.col(text_col).isNotNull(), n).otherwise(0).cast("long"),
-        "n_dropped": F.when(some, F.size(lost)).otherwise(0).cast("long"),
-        text_col: F.when(some, F.array_join(kept, "\n")).otherwise(F.col(text_col)),
+        "n_lines": F.when(text.isNotNull(), n).otherwise(0).cast("long"),
+        "n_dropped": F.col(lost).cast("long"),
+        text_col: F.when(some, F.array_join(F.filter(lines, lambda x: ~gone(x)), "\n")).otherwise(text),
     }
-    return joined.withColumns(out).drop("_h", "_host", "line_hashes")
+    return joined.withColumns(out).drop(at, of, common_lines, here, lost)
 
 
 SQL = r"""

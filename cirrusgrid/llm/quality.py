@@ -96,3 +96,24 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs whose texts have lost their failing lines; lines without a word stay, and a null text stays null."""
     lines = F.filter(F.split(text_col, "\n"), lambda x: ~(x.rlike(WORD) & line_fails(x)))
     return docs.withColumn(text_col, F.array_join(lines, "\n"))
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: The same in DuckDB's words.
+SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, {_quoted(SPACES)}), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_quoted(WORD)})) AS l FROM t),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+k AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+x AS (SELECT doc_id, length(x) AS size, trim(x, ' ') AS x, len(string_split_regex(trim(x, ' '), {_quoted(SPACES)})) AS n FROM (SELECT doc_id, unnest(l) AS x FROM w)),
+f AS (SELECT doc_id, sum(size) AS size, count(*) FILTER (bad) AS n, coalesce(sum(size) FILTER (bad), 0) AS bad FROM (SELECT *,
+  NOT regexp_matches(x, {_quoted(ENDS)}) OR length(x) - length(translate(x, {_quoted(SYMBOLS)}, '')) > {MAX_SYMBOLS} * n OR length(x) - length(translate(x, '!', '')) > {MAX_SHOUTS} * greatest(n, 8)
+  OR length(x) - length(translate(x, {_quoted(SEPARATORS)}, '')) > greatest(1.0, {MAX_SEPARATORS} * n) OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(x, {_quoted(BOILERPLATE)})) AS bad FROM x) GROUP BY doc_id),
+o AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, {_quoted(SYMBOLS)}, '')) AS BIGINT) AS n_symbols,
+  CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(k.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(f.n, 0) AS BIGINT) AS n_failed_lines,
+  CASE WHEN len(l) > 0 THEN 1 - f.bad::DOUBLE / f.size::DOUBLE ELSE 0.0 END AS "left" FROM w LEFT JOIN k ON w.doc_id = k.doc_id LEFT JOIN f ON w.doc_id = f.doc_id)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed, NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words) AND "left" >= {MIN_LEFT} AS kept FROM o
+"""
