@@ -70,3 +70,13 @@ def repeated(texts, n=50):
     count = collections.Counter(tuple(w[k : k + n]) for w in words.values() for k in range(len(w) - n + 1))
     out = {i: {p for k in range(len(w) - n + 1) if count[tuple(w[k : k + n])] > 1 for p in range(k, k + n)} for i, w in words.items()}
     return {i: v for i, v in out.items() if v}
+
+
+def without_boilerplate(rows, ratio=0.1, least=3):
+    """id -> text of rows (id, site, text) without the lines that more than ratio, and at least so many, of a site's rows have."""
+    rows = [(i, site or "", text) for i, site, text in rows]
+    total, seen = collections.Counter(site for _, site, _ in rows), collections.Counter()
+    for _, site, text in rows:
+        seen.update({(site, x.strip(" ")) for x in (text or "").split("\n") if x.strip(" ")})
+    bad = {k for k, n in seen.items() if n >= least and n > ratio * total[k[0]]}
+    return {i: text and "\n".join(x for x in text.split("\n") if (site, x.strip(" ")) not in bad) for i, site, text in rows}
