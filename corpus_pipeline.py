@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. All
 but the last return the columns of documents; n_chars follows the text where a stage changes it.
+
+Null and empty texts pass every stage and are packed as an end id alone; texts of any length are taken whole. Rows without an
+id are never like another. Rows that repeat an id and text count once where similar ones do. Columns besides those of
+documents are left out, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
