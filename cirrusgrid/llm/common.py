@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that go to a Python worker at once: few texts, or many numbers.
+BATCH_BYTES = 4 << 20
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and bounds what they are handed at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -21,6 +21,7 @@ from itertools import chain, pairwise
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import vectors
 from .common import ready
 
 SPACE = "▁"
@@ -28,7 +29,6 @@ SPACE = "▁"
 MEMO = 600_000
 #: Words of up to so many symbols keep their agenda in a list, longer ones in a heap.
 SHORT, NEVER = 48, float("inf")
-_models: dict[str, PieceModel] = {}
 
 
 class Memo(dict):
@@ -183,9 +183,7 @@ def _utf8(run: bytearray) -> str:
 
 def model(path: str) -> PieceModel:
     """One model a worker."""
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+    return vectors.only(f"pieces {path}", lambda: PieceModel(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

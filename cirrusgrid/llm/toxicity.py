@@ -3,68 +3,74 @@
 A word's features are the word and its character n-grams, hashed into buckets; a text is the average of
 the embeddings of all features of all its words, and a linear softmax on top gives the score. Both are
 trained together, on the driver, from a bounded sample of labelled texts; an unseen misspelling still
-shares n-gram vectors with the words it comes from.
-
-The output layer is linear, so a trained model folds into one number a bucket, and a text's logit is the
-mean of its features' numbers. Nulls, empty texts and texts without a word score the bias alone. Texts
-are scored whole; repeated rows give repeated results; no other column is an input of a score.
+shares n-gram vectors with the words it comes from. Buckets whose share of texts doesn't differ clearly
+between the two labels would only tell which text it was: their embeddings stay zero.
+
+Texts are turned into bags of buckets by the executors, and only the buckets that keep an embedding reach
+the driver. The output layer is linear, so a trained model folds into one number a bucket, and a text's
+logit is the mean of its features' numbers. Nulls, empty texts and texts without a word score the bias
+alone. Texts are scored whole; repeated rows give repeated results; no other column is an input of a score,
+and columns may have any name. An empty table gives an empty result; with one label or none the score is
+that label's share.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from . import vectors
+from .common import drop, keep as stored, ready
 
 #: Labelled texts of each class (0, 1) a model is trained from at most, those with the least hash of their id.
-SAMPLE = (3000, 1000)
-BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 4, 5)
+SAMPLE = (4000, 2000)
+BUCKETS, DIM, GRAMS = 1 << 18, 4, (3, 4, 5)
 BATCH, RATE, DECAY = 64, 0.03, 0.1
-#: Texts to be seen in all, and the least number of times each is.
-SEEN, EPOCHS = 24_000, 3
-#: A bucket in fewer texts (or fewer than a thousandth) tells which text it was and little else; it keeps no embedding.
-MIN_TEXTS = 10
+#: Texts to be seen in all, and the least and greatest number of times each is.
+SEEN, EPOCHS, MOST_EPOCHS = 24_000, 3, 20
+#: A bucket keeps an embedding if it is in so many texts at least, and the two labels' shares of texts with it are so many standard errors apart.
+MIN_TEXTS, APART = 5, 4.0
 #: Features average over hundreds of words, of which a few matter; the average is scaled up before the output layer.
-SCALE = 30.0
-MEMO = 500_000
-#: Tokens of more characters aren't remembered, and their features are summed so many places at a time.
-LONG, PLACES = 64, 1 << 16
-_last: list[Memo] = []
-
+SCALE = 300.0
 _edges = re.compile(r"^\W+|\W+$")
 #: Signs that stand for letters inside words (fixed values).
 _leet = str.maketrans("013457@$!", "oieastasi")
 
 
-def features(token: str) -> list[int]:
-    """Buckets of a token: the word, bare of punctuation and in lower case, and its n-grams with word ends marked."""
-    return list(chain.from_iterable(parts(token)))
-
-
-def parts(token: str) -> Iterator[list[int]]:
-    """features() of a token of any length, those of PLACES places at a time."""
+def normal(token: str) -> str:
+    """A token bare of punctuation and in lower case, with letters for the signs that stand for them."""
     word = token.lower()
-    if not word.isalpha():
-        word = _edges.sub("", word)
-        if not word.isalpha() and any(c.isalpha() for c in word):
-            word = word.translate(_leet)
-    if not word:
-        return
-    raw = f"<{word}>".encode("utf-32-le")
-    for n in GRAMS:
-        end = len(raw) - 4 * n + 1
-        for at in range(0, end, 4 * PLACES):
-            yield [zlib.crc32(raw[i : i + 4 * n]) & (BUCKETS - 1) for i in range(at, min(end, at + 4 * PLACES), 4)]
-    yield [zlib.crc32(raw) & (BUCKETS - 1)]
+    if word.isalpha():
+        return word
+    word = _edges.sub("", word)
+    return word.translate(_leet) if not word.isalpha() and any(map(str.isalpha, word)) else word
+
+
+def grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all tokens' features, and the token each is of: the word, and its n-grams with word ends marked; whole tokens, of any length."""
+    marked = [f"<{w}>" if (w := normal(t)) else "" for t in tokens]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    code = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(tokens)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # characters from here to the token's end
+    buckets, of = [], []
+    run = code * np.uint64(0x9E3779B97F4A7C15)
+    for n in range(2, max(GRAMS) + 1):
+        run = vectors.mixed(run[: len(code) - n + 1] + code[n - 1 :]) if len(code) >= n else run[:0]
+        if n in GRAMS:
+            at = np.flatnonzero(left[: len(run)] >= n)
+            buckets.append(run[at])
+            of.append(owner[at])
+    some = np.flatnonzero(size)
+    buckets.append(vectors.hashes(pa.array([marked[i] for i in some], pa.string())))
+    of.append(some)
+    return (np.concatenate(buckets) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(of)
 
 
 @dataclass
@@ -76,37 +82,33 @@ class Model:
     trained_on: int
 
 
-class Memo(dict):
-    """token -> its features' sum, with their number as the imaginary part, so that a text is one sum."""
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """The score of each text, from the sums over its distinct tokens' features."""
+    out = [np.zeros(0)]
+    for _, part in vectors.slices(texts):
+        tokens, at, text = _tokens(part)
+        bucket, of = grams(tokens)
+        total, number = np.bincount(of, model.weight[bucket], len(tokens)), np.bincount(of, minlength=len(tokens))
+        mean = np.bincount(text, total[at], len(part)) / np.maximum(np.bincount(text, number[at], len(part)), 1)
+        out.append(model.bias + mean)
+    return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -50, 50)))
 
-    def __init__(self, model: Model):
-        self.model = model
 
-    def __missing__(self, token: str) -> complex:
-        if len(token) > LONG:
-            return sum((complex(float(self.model.weight[at].sum()), len(at)) for at in parts(token)), 0j)
-        at = features(token)
-        self[token] = out = complex(float(self.model.weight[at].sum()), len(at)) if at else 0j
-        return out
+def _tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct tokens of texts, and for every token in order its place among these and its text."""
+    flat, count = vectors.words(texts)
+    coded = flat.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), count)
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        if len(self) > MEMO:
-            self.clear()
-        logit = []
-        for text in texts:
-            total = sum(map(self.__getitem__, (text.as_py() or "").split()))
-            logit.append(self.model.bias + (total.real / total.imag if total else 0.0))
-        return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
+def chosen(with_1, with_0, n_1: int, n_0: int):
+    """Whether buckets in so many of n_1 and n_0 texts of each label keep an embedding; numbers, arrays or columns."""
+    p = (with_1 + with_0 + 1.0) / (n_1 + n_0 + 2.0)
+    apart = with_1 / float(n_1) - with_0 / float(n_0)
+    return (with_1 + with_0 >= MIN_TEXTS) & (apart * apart > p * (1.0 - p) * (APART * APART * (1.0 / n_1 + 1.0 / n_0)))
 
-def memo_of(model: Model) -> Memo:
-    """A worker keeps the memo of the model it scored with last."""
-    if not _last or _last[0].model is not model:
-        _last[:] = [Memo(model)]
-    return _last[0]
 
-
-def train(texts: list[str], labels: list[int], odds: float | None = None, seed: int = 7) -> Model:
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], odds: float | None = None, seed: int = 7) -> Model:
     """Fits embeddings and softmax together with Adam on the cross-entropy. With one class or no text the model is the prior alone.
 
     odds are those of label 1 where the texts come from, if the sample has others.
@@ -115,19 +117,17 @@ def train(texts: list[str], labels: list[int], odds: float | None = None, seed:
     if len(set(labels)) < 2:
         p = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(p / (1 - p))), len(y))
-    seen_tokens: dict[str, np.ndarray] = {}
-    bags = [_bag(t, seen_tokens) for t in texts]
-    del seen_tokens
-    spread = sum(np.bincount(b[0], minlength=BUCKETS) for b in bags) >= max(2, min(MIN_TEXTS, len(bags) // 1000 + 2))
-    for i, (ids, share) in enumerate(bags):  # one by one, as the driver holds all of them
-        bags[i] = (ids[spread[ids]], share[spread[ids]])
+    none = np.zeros(0, np.int64)
+    within = [np.bincount(np.concatenate([none, *(b[0] for b, t in zip(bags, y, strict=True) if t == label)]), minlength=BUCKETS) for label in (0, 1)]
+    kept = chosen(within[1], within[0], int(y.sum()), int(len(y) - y.sum()))
+    bags = [(ids[kept[ids]], SCALE * share[kept[ids]]) for ids, share in bags]
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     params = [emb, out, bias]
     mean = [np.zeros_like(p) for p in params]
     var = [np.zeros_like(p) for p in params]
-    step, epochs = 0, min(20, max(EPOCHS, SEEN // len(bags)))
+    step, epochs = 0, min(MOST_EPOCHS, max(EPOCHS, SEEN // len(bags)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         for rows in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // BATCH)):
@@ -154,40 +154,61 @@ def train(texts: list[str], labels: list[int], odds: float | None = None, seed:
                 mean[k][at] = m = 0.9 * mean[k][at] + 0.1 * g
                 var[k][at] = v = 0.999 * var[k][at] + 0.001 * g * g
                 params[k][at] -= (rate * fix) * m / (np.sqrt(v) + 1e-8) + (rate * DECAY) * params[k][at]
-    weight = np.where(spread, SCALE * (emb @ (out[:, 1] - out[:, 0])), 0).astype(np.float32)
+    weight = np.where(kept, SCALE * (emb @ (out[:, 1] - out[:, 0])), 0).astype(np.float32)
     shift = np.log(odds) - np.log(y.sum() / (len(y) - y.sum())) if odds else 0.0
     return Model(weight, float(bias[1] - bias[0] + shift), len(bags))
 
 
-def _bag(text: str, known: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text, and SCALE times the share of its features that each has."""
-    if len(known) > 60_000:
-        known.clear()
-    flat = [np.zeros(0, np.int32)]
-    for token in text.split():
-        at = known.get(token)
-        if at is None:
-            at = np.fromiter(chain.from_iterable(parts(token)), np.int32)
-            if len(token) <= LONG:
-                known[token] = at
-        flat.append(at)
-    ids, share = np.unique(np.concatenate(flat), return_counts=True)
-    return ids, (SCALE * share / max(1, share.sum())).astype(np.float32)
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text, and the share of its features that each has."""
+    tokens, at, _ = _tokens(pa.array([text or ""]))
+    bucket, of = grams(tokens)
+    ids, where = np.unique(bucket, return_inverse=True)
+    times = np.bincount(where, np.bincount(at, minlength=len(tokens))[of], len(ids))
+    return ids.astype(np.int32), (times / max(1, times.sum())).astype(np.float32)
+
 
+@vectors.tidied
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start, texts in vectors.slices(batch.column(1)):
+            found = list(map(bag, texts.to_pylist()))
+            cols = [pa.array([x[i] for x in found], kind) for i, kind in ((0, pa.list_(pa.int32())), (1, pa.list_(pa.float32())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *cols], names=["y", "ids", "share"])
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column, size: tuple[int, int] = SAMPLE) -> tuple[list[str], list[int], float | None]:
-    """Labelled texts for which use holds, at most size of each class, and the odds of label 1 among all of them.
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, use: Column, size: tuple[int, int] = SAMPLE) -> Model:
+    """A model trained on labelled texts for which use holds, at most size of each class, with the odds of label 1 among all of them.
 
     An id with several labels counts by the greatest, one with several texts by the least; rows without an id, label or text are left out.
     """
-    known = labels.where(use & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("int").alias("_y"))
-    count = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    chosen = [known.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col).limit(size[y]) for y in (0, 1)]
-    # Bounded by size on both sides: the ids that are broadcast, and the texts that come back.
-    rows = docs.select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(chosen[0].unionAll(chosen[1])), id_col).where("_t is not null")
-    got = {r[id_col]: r for r in sorted(rows.select(id_col, "_t", "_y").collect(), reverse=True)}
-    got = [got[i] for i in sorted(got)]
-    return [r["_t"] for r in got], [r["_y"] for r in got], count[1] / count[0] if len(count) == 2 else None
+    ready(docs.sparkSession)
+    known = labels.where(use & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    known = known.groupBy("id").agg((F.max("label") > 0).cast("int").alias("y"))
+    count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(size[y]) for y in (0, 1)]
+    # Bounded by size: the ids that are broadcast, and the texts that become bags.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("t is not null").join(F.broadcast(picked[0].unionAll(picked[1])), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("t").alias("t"))
+    bags = stored(rows.select("y", "t").mapInArrow(_bags, "y int, ids array<int>, share array<float>"), "bags")
+    n = {r["y"]: r["count"] for r in bags.groupBy("y").count().collect()}
+    if len(n) < 2:
+        model = train([(np.zeros(0, np.int64), np.zeros(0, np.float32))] * sum(n.values()), [y for y in n for _ in range(n[y])])
+    else:
+        spread = bags.select("y", F.explode("ids").alias("b")).groupBy("b").agg(F.sum("y").alias("w1"), F.sum(1 - F.col("y")).alias("w0"))
+        kept = np.zeros(BUCKETS, bool)
+        kept[[r["b"] for r in spread.where(chosen(F.col("w1"), F.col("w0"), n[1], n[0])).select("b").collect()]] = True
+        sent = docs.sparkSession.sparkContext.broadcast(kept)
+
+        def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(i[sent.value[i]], s[sent.value[i]]) for i, s in ((r.values.to_numpy(), w.values.to_numpy()) for r, w in zip(batch.column(1), batch.column(2), strict=True))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[c].tobytes() for x in found], pa.binary()) for c in (0, 1))], names=["y", "ids", "share"])
+
+        got = sorted((r["y"], bytes(r["ids"]), bytes(r["share"])) for r in bags.mapInArrow(narrow, "y int, ids binary, share binary").collect())
+        model = train([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(s, np.float32)) for _, i, s in got], [y for y, _, _ in got], count[1] / count[0])
+    drop(bags)
+    return model
 
 
 def held_out(id_col: str) -> Column:
@@ -203,10 +224,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     source = docs.drop("score", "predicted") if keep else docs.select(id_col, text_col)
     at, names = source.columns.index(text_col), [*(source.columns if keep else [id_col]), "score", "predicted"]
 
+    @vectors.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = memo_of(sent.value)
         for batch in batches:
-            p = memo.scores(batch.column(at))
+            p = scores(sent.value, batch.column(at))
             cols = batch.columns if keep else [batch.column(0)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=names)
 
@@ -216,5 +237,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Trains on the labels that aren't held out and scores every text: id, held_out, score, predicted."""
-    model = train(*sample(docs, labels, id_col, text_col, label_col, ~held_out(id_col)))
+    model = learn(docs, labels, id_col, text_col, label_col, ~held_out(id_col))
     return score(docs, model, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "score", "predicted")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,17 +17,37 @@ SLICE = 1 << 22
 LONG = 256
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 _held: dict[str, object] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
 
 
 def only(name: str, make: Callable[[], object]) -> object:
     """What a worker remembers under name. It remembers one thing at a time, so that operators that follow each other don't add up."""
     if name not in _held:
         _held.clear()
-        pa.default_memory_pool().release_unused()
+        tidy()
         _held[name] = make()
     return _held[name]
 
 
+def tidied(run: Callable) -> Callable:
+    """A function over batches that hands back the memory it has used once it is through, as workers live on for other steps."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch], *args, **more) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches, *args, **more)
+        finally:
+            tidy()
+
+    return whole
+
+
+def tidy() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
     """A column in runs of about so many bytes of text, with the row each begins at; nulls as empty texts."""
     texts = texts.fill_null("")
@@ -50,7 +72,7 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, count
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
@@ -68,10 +90,10 @@ def hashes(words: pa.Array) -> np.ndarray:
         raw[:-8] = np.frombuffer(data, np.uint8)[off[0] : off[-1]]
     eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     at, left = off[:-1] - off[0], np.diff(off)
-    h = _mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (eight[at] & _MASK[np.minimum(left, 8)]))
+    h = mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (eight[at] & _MASK[np.minimum(left, 8)]))
     done, rest = 8, np.flatnonzero((left > 8) & (left <= LONG))
     while len(rest):
-        h[rest] = _mixed(h[rest] ^ (eight[at[rest] + done] & _MASK[np.minimum(left[rest] - done, 8)]))
+        h[rest] = mixed(h[rest] ^ (eight[at[rest] + done] & _MASK[np.minimum(left[rest] - done, 8)]))
         done += 8
         rest = rest[left[rest] > done]
     for i in np.flatnonzero(left > LONG):
@@ -85,7 +107,7 @@ def rolling(words: np.ndarray, size: int) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     for j in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
-    return _mixed(h)
+    return mixed(h)
 
 
 def blobs(rows: list[np.ndarray], rest: np.ndarray) -> pa.Array:
