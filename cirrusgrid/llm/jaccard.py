@@ -75,6 +75,7 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
+@vectors.tidied
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
@@ -111,6 +112,7 @@ def _within(count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
+@vectors.tidied
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, c): the least hashes of sets, and in how many sets of a batch each is among them."""
     for batch in batches:
@@ -169,8 +171,9 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+@vectors.tidied
 def _tile_rows(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
-    """(hash, k, n, rank, salts) for each of a set's first hashes; salts is the number of blocks of a hot one, 0 for the others."""
+    """(hash, k, early, salts) for each of a set's first hashes: whether it is among the very first, and the number of blocks of a hot one, 0 for the others."""
     hot, blocks = sent.value
     for batch in batches:
         flat, off = vectors.unblob(batch.column(1))
@@ -181,10 +184,10 @@ def _tile_rows(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBat
             at = np.minimum(np.searchsorted(hot, hash_), len(hot) - 1)
             salts = np.where(hot[at] == hash_, blocks[at], 0).astype(np.int32)
         take = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(hash_), batch.column(0).take(take), pa.array(np.diff(off)[row].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(salts)], names=TILE)
+        yield pa.RecordBatch.from_arrays([pa.array(hash_), batch.column(0).take(take), pa.array(rank < FIRST), pa.array(salts)], names=TILE)
 
 
-TILE = ["hash", "k", "n", "rank", "salts"]
+TILE = ["hash", "k", "early", "salts"]
 TILED = ["hash", "band", "block", "askers", "n", "k", "comp", "home", "loose", "asks", "member"]
 
 
@@ -192,22 +195,23 @@ def _columns(batch: pa.RecordBatch, *at: int) -> np.ndarray:
     return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in at])
 
 
+@vectors.tidied
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by hash, n and k: hot ones, and those that share their hash with another set; once each."""
-    held, given = np.zeros((0, 5), np.int64), False  # the last row, and whether it has been given out
+    """Of rows sorted by hash and k: hot ones, and those that share their hash with another set; once each."""
+    held, given = np.zeros((0, 4), np.int64), False  # the last row, and whether it has been given out
     for batch in batches:
-        rows = np.concatenate([held, _columns(batch, 0, 1, 2, 3, 4)])
+        rows = np.concatenate([held, _columns(batch, 0, 1, 2, 3)])
         if not len(rows):
             continue
         fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
+        fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(1)
         rows = rows[fresh]
         same = rows[1:, 0] == rows[:-1, 0]
-        out = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (rows[:, 4] > 0)
+        out = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (rows[:, 3] > 0)
         out[0] &= not given
         given = bool(out[-1]) or (given and len(rows) == 1)
         pick = rows[out]
-        yield pa.RecordBatch.from_arrays([pa.array(pick[:, i].astype(np.int64 if i < 2 else np.int32)) for i in range(5)], names=TILE)
+        yield pa.RecordBatch.from_arrays([pa.array(pick[:, i].astype(kind)) for i, kind in enumerate((np.int64, np.int64, bool, np.int32))], names=TILE)
         held = rows[-1:]
 
 
@@ -233,6 +237,7 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+@vectors.tidied
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (hash, salt, n, k, bits), sorted: pairs of each set and the likeliest of the BESIDE sets before it in its tile."""
     held, signs = np.zeros((0, 4), np.int64), np.zeros((0, BITS // 64), np.uint64)
@@ -256,6 +261,7 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, signs = rows[-BESIDE:], signs[-BESIDE:]
 
 
+@vectors.tidied
 def _compare(batches: Iterator[pa.RecordBatch], every: bool, few: int) -> Iterator[pa.RecordBatch]:
     """Of tiles or their blocks, (TILED.., bits), sorted: pairs of sets of different components whose signatures allow the similarity.
 
@@ -352,6 +358,7 @@ def _asked(rows: np.ndarray, signs: list[bytes], every: bool) -> Iterator[pa.Rec
         yield _pairs(a, b)
 
 
+@vectors.tidied
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets, intersected as sorted arrays, are similar enough."""
     for batch in batches:
@@ -401,14 +408,14 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     hot = counted.mapInArrow(partial(_frequent, least=HOT), "hash long, c long").orderBy(F.desc("c"), "hash").limit(MOST_HOT).collect()
     hot = sorted((r["hash"], -(-r["c"] // BLOCK)) for r in hot)
     sent = spark.sparkContext.broadcast((np.array([h for h, _ in hot], np.int64), np.array([b for _, b in hot], np.int64)))
-    rows = given.select("k", "h").mapInArrow(partial(_tile_rows, sent=sent), "hash long, k long, n int, rank int, salts int")
+    rows = given.select("k", "h").mapInArrow(partial(_tile_rows, sent=sent), "hash long, k long, early boolean, salts int")
     # Hot tiles are met anyway; only the others need their rows together.
-    apart = rows.repartition("hash", F.when(F.col("salts") > 0, F.col("k"))).sortWithinPartitions("hash", "n", "k")
+    apart = rows.repartition("hash", F.when(F.col("salts") > 0, F.col("k"))).sortWithinPartitions("hash", "k")
     met = keep(apart.mapInArrow(_met, rows.schema), "tiles")
-    signs = keep(given.select("k", "bits").groupBy("k").agg(F.first("bits").alias("bits")), "signatures")
+    signs = keep(given.select("k", "n", "bits").groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "signatures")
     release(spark)
 
-    early = met.where(F.col("rank") < FIRST).withColumn("salt", F.when(F.col("salts") > 0, F.pmod("k", F.greatest("salts", F.lit(1)))).otherwise(0))
+    early = met.where("early").withColumn("salt", F.when(F.col("salts") > 0, F.pmod("k", F.greatest("salts", F.lit(1)))).otherwise(0))
     early = early.join(signs.hint("merge"), "k").select("hash", "salt", "n", "k", "bits").repartition("hash", "salt").sortWithinPartitions("hash", "salt", "n", "k")
     label = _joined(None, _links(early.mapInArrow(_beside, "a long, b long"), full))
     # Small tiles that this leaves mixed are compared whole; in larger ones each set is paired with one, and joined, before all others are.
@@ -426,8 +433,8 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
 
 def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks of the tiles that hold sets of several components and over so many sets, sorted for _compare, and the stored tables they come from."""
-    rows = met.select("hash", "k", "n").join(label.withColumnRenamed("node", "k").hint("merge"), "k", "left").withColumn("comp", F.coalesce("root", "k")).drop("root")
-    rows = keep(rows, "labelled")
+    known = signs.select("k", "n").join(label.withColumnRenamed("node", "k").hint("merge"), "k", "left").select("k", "n", F.coalesce("root", "k").alias("comp"))
+    rows = keep(met.select("hash", "k").join(known.hint("merge"), "k"), "labelled")
     mixed = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where(f"lo <> hi and c > {over}").select("hash")
     # A set belongs to its band of sizes, and is a guest in the next one, whose sets may be up to DEN / NUM times as large.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
@@ -436,6 +443,7 @@ def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tu
     parts = banded.groupBy("hash", "band", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("home").alias("homes"))
     tiles = parts.groupBy("hash", "band").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("many"), F.count(F.lit(1)).alias("comps"), F.sum("homes").alias("homes"))
     tiles = keep(tiles.where(f"comps > 1 and homes > 0 and many > {over}").select("hash", "band", F.col("top.comp").alias("top"), "many", (F.col("many") - F.col("top.c")).alias("others")), "mixed")
+    release(met.sparkSession)
     placed = banded.join(_few(tiles), ["hash", "band"]).withColumn("loose", (F.col("comp") != F.col("top")).cast("int"))
     blocks, askers = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("many", "others"))
     own, seat = (F.pmod(F.xxhash64("k", F.lit(s)), n).cast("int") for s, n in ((1, blocks), (2, askers)))
@@ -444,7 +452,7 @@ def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tu
     here = F.transform(F.sequence(F.lit(0), askers - 1), lambda j: part(own, j, (F.col("loose") == 1) & (j == seat), 1))
     there = F.filter(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: part(i, seat, F.lit(1), 0)), lambda x: x["block"] != own)
     visits = F.when(F.col("loose") == 1, F.concat(here, there)).otherwise(here)
-    placed = placed.select("hash", "band", "n", "k", "comp", "home", "loose", F.explode(visits).alias("x")).select("hash", "band", "x.*", "n", "k", "comp", "home", "loose").join(signs.hint("merge"), "k")
+    placed = placed.select("hash", "band", "n", "k", "comp", "home", "loose", F.explode(visits).alias("x")).select("hash", "band", "x.*", "n", "k", "comp", "home", "loose").join(signs.select("k", "bits").hint("merge"), "k")
     key = ["hash", "band", "block", "askers"]
     return placed.select(*TILED, "bits").repartition(*key).sortWithinPartitions(*key, "n", "k"), rows, tiles
 
@@ -460,3 +468,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     least = full.where("id is not null").groupBy("root").agg(F.min("id").alias("component"))
     out = full.join(least.hint("merge"), "root", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")).unionAll(rooted.where("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+#: The same by pairs of sets with a shingle in common and a recursion along links.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(s) AS s FROM (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a AND r.c < e.b)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON d.doc_id = r.id GROUP BY d.doc_id
+"""
