@@ -27,7 +27,7 @@ from .common import keep, ready
 
 CAPACITY, END = 2048, 0
 #: Chunks a worker remembers, and bytes of text it encodes together; neither changes a result.
-MEMO, SLICE = 300_000, 1 << 23
+MEMO, SLICE = 200_000, 1 << 22
 #: Pieces that one cell of a rank holds on average, and cells that are counted together.
 CELL, RUN = 4000, 1000
 
@@ -105,6 +105,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ready(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
+    @vectors.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch, first, texts in ((b, *part) for b in batches for part in vectors.slices(b.column(1), SLICE)):
