@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, keep, ready
 
+#: Shared payloads that are broadcast, by their digests; more are joined by shuffle, the pages of each in so many parts.
+BROADCAST_SHARED, SALTS = 200_000, 32
 #: A package is closed beyond so many bytes, a range read at about so many.
 PACKAGE_BYTES, RANGE_BYTES = 32 << 20, 1 << 20
 MIN_REVISIT = 0
@@ -201,9 +203,15 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_
     body = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), body.alias("body"))
     rows = rows.withColumn("sha", F.sha1("body"))
-    last = rows.groupBy("sha").agg(F.max("id").alias("last"))
+    # Payloads that pages share: broadcast if they are few, else dealt over SALTS tasks each, so that no task gets all pages of one.
+    last = keep(rows.groupBy("sha").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").select("sha", "last"), "shared")
+    if last.count() <= BROADCAST_SHARED:
+        rows = rows.join(F.broadcast(last), "sha", "left")
+    else:
+        salted = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["sha", "salt"], "left")
     same = (F.octet_length("body") >= least) & F.col("last").isNotNull() & ((F.col("id") < F.col("last")) | F.col("id").isNull())
-    rows = rows.join(last.hint("merge"), "sha").select("id", "url", "body", F.when(same, F.col("last")).alias("last"))
+    rows = rows.select("id", "url", "body", F.when(same, F.col("last")).alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(folder)

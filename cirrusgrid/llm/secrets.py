@@ -142,8 +142,8 @@ def spans(docs: DataFrame, ratios: list[float], text_col: str = "text", threshol
     def score(s):
         return F.aggregate(F.sequence(F.lit(1), F.char_length(s) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, code(s, i) * n + code(s, i + 1)))
 
-    def lone(x):
-        return ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    def lone(x):  # what a pattern's span holds whole is found already
+        return ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
 
     extra = F.filter("_random_at", lambda x: lone(x) & (score(x["s"]) >= threshold))
     return out.withColumn("extra", extra).select(*docs.columns, "base", "extra")

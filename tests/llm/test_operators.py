@@ -108,6 +108,13 @@ def test_archives_round_trip(spark, sf):
     assert archives.read(archives.write(pages.where("false"))).count() == 0
 
 
+def test_shared_payloads_of_any_number(spark, sf, monkeypatch):
+    pages = table(spark, sf, "pages")
+    few = archives.archive(spark, pages).drop("digest_ok").collect()
+    monkeypatch.setattr(archives, "BROADCAST_SHARED", 0)
+    assert sorted(map(str, archives.archive(spark, pages).drop("digest_ok").collect())) == sorted(map(str, few))
+
+
 def test_packages_are_zip_files_with_or_without_index(tmp_path):
     package = archives.Package()
     for i in range(20):
