@@ -21,7 +21,6 @@ repeat an id and text one counts.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -33,67 +32,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import vectors
 from .common import keep, partitions, ready
 
 MIN_WORDS, SEED = 50, 16
 #: How far right of a run's start its minimiser may be.
 REACH = MIN_WORDS - SEED
-MEMO = 500_000
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words(dict):
-    """word -> 64-bit hash."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-
-_words = Words()
-
-
-def word_hashes(text: str) -> np.ndarray:
-    if len(_words) > MEMO:
-        _words.clear()
-    return np.fromiter(map(_words.__getitem__, WORD.findall(text)), np.uint64)
-
-
-def _rolling(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of every size words in a row."""
-    n = len(words) - size + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(size):
-        h = h * _BASE + words[j : j + n]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return h
+def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The hashes of each text's words."""
+    flat, count = vectors.words(texts)
+    h = vectors.hashes(flat)
+    end = np.cumsum(count)
+    return (h[e - n : e] for e, n in zip(end.tolist(), count.tolist(), strict=True))
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the retained suffixes of a text, the hashes of their seeds, and the first and the number of the runs each owns."""
     if len(words) < MIN_WORDS:
         return (np.zeros(0, np.int64),) * 4
-    h = _rolling(words, SEED)
+    h = vectors.rolling(words, SEED)
     width = REACH + 1
     owner = np.lib.stride_tricks.sliding_window_view(h, width).argmin(1) + np.arange(len(h) - width + 1)
     at, first, count = np.unique(owner, return_index=True, return_counts=True)
     return at, h[at].view(np.int64), first, count
 
 
+@vectors.tidied
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, places, keys = [], [], []
-        for i, text in enumerate(batch.column(2)):
-            at, h, _, _ = seeds(word_hashes(text.as_py() or ""))
-            rows.append(np.full(len(at), i))
-            places.append(at)
-            keys.append(h)
-        if rows:
-            take = pa.array(np.concatenate(rows).astype(np.int64))
-            cols = [pa.array(np.concatenate(keys)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(places).astype(np.int32))]
+        for start, texts in vectors.slices(batch.column(2)):
+            found = [seeds(words)[:2] for words in word_hashes(texts)]
+            take = pa.array(np.repeat(np.arange(start, start + len(found)), [len(at) for at, _ in found]))
+            at, keys = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            cols = [pa.array(keys), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["seed", "id", "text_hash", "at"])
 
 
@@ -116,21 +89,25 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
+@vectors.tidied
 def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For the retained positions of a text: a hash of the runs they own together, where these start, and the hash of each in a row."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for id_, text_hash, text, places in zip(*(batch.column(i) for i in range(4)), strict=True):
-            words = word_hashes(text.as_py() or "")
-            at, _, first, count = seeds(words)
-            wanted = np.isin(at, places.values.to_numpy())
-            runs = _rolling(words, MIN_WORDS)
-            for start, n in zip(first[wanted].tolist(), count[wanted].tolist()):
-                own = runs[start : start + n].tobytes()
-                for col, value in zip(out, (xxhash.xxh64_intdigest(own) - (1 << 63), id_.as_py(), text_hash.as_py(), start, own), strict=True):
-                    col.append(value)
-        kinds = [pa.int64(), batch.column(0).type, pa.int64(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "id", "text_hash", "start", "own"])
+        for begin, texts in vectors.slices(batch.column(2)):
+            row, key, starts, owns = [], [], [], []
+            for i, words in enumerate(word_hashes(texts), begin):
+                at, _, first, count = seeds(words)
+                wanted = np.isin(at, batch.column(3)[i].values.to_numpy())
+                runs = vectors.rolling(words, MIN_WORDS)
+                for start, n in zip(first[wanted].tolist(), count[wanted].tolist()):
+                    own = runs[start : start + n].tobytes()
+                    row.append(i)
+                    key.append(xxhash.xxh64_intdigest(own) - (1 << 63))
+                    starts.append(start)
+                    owns.append(own)
+            take = pa.array(row, pa.int64())
+            cols = [pa.array(key, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(starts, pa.int32()), pa.array(owns, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "id", "text_hash", "start", "own"])
 
 
 def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array, pa.Array]]:
