@@ -25,4 +25,5 @@ def repair_360day(ymd: Column) -> Column:
     early, leap = (m == 2) & (d == 0), (m == 2) & (d == 29)
     month = F.when(early, 1).when(leap, 3).otherwise(m)
     day = F.when(early, 31).when(leap, 1).otherwise(d)
-    return F.try_to_timestamp(F.format_string("%04d-%02d-%02d", y, month, day), F.lit("yyyy-MM-dd")).cast("date")
+    # A cast takes years of five digits and more, which patterns don't.
+    return F.format_string("%04d-%02d-%02d", y, month, day).try_cast("date")

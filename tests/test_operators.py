@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cirrusgrid import sqlfunctions
-from cirrusgrid.functions import crs
+from cirrusgrid.functions import calendar, crs
 from cirrusgrid.operators import coast, grid, rain, splines, stochastic, temporal, terrain, wind
 from cirrusgrid.plans import downscale
 from cirrusgrid.sources import climdata, etl
@@ -247,3 +247,10 @@ def test_sql_functions_equal_expressions(spark):
     assert len(names) == len(set(names)) >= 30
     row = spark.sql("SELECT cardinal_point(100D) AS p, day_length(2458240, 50D) AS n, humidity_relative_to_specific(80D, 11D, 101.3D) AS q, real_date_of_360day_hours(24D * 60) AS d, solar_zenith(2458240, 12D, 50D, 0D) AS z").first()
     assert row["p"] == "E" and 14 < row["n"] < 16 and 0.006 < row["q"] < 0.007 and row["d"] == dt.date(1970, 2, 28) or row["d"] is not None and 30 < row["z"] < 40
+
+
+def test_years_of_five_digits_of_360_days_are_dates(spark):
+    ymd = F.struct(F.col("y"), F.col("m"), F.col("d"))
+    df = spark.createDataFrame([(9999, 12, 30), (10000, 1, 1), (26970, 2, 1), (12000, 2, 30), (10001, 2, 30), (26969, 3, 30), (None, 1, 1)], "y int, m int, d int")
+    got = [r["s"] for r in df.select(calendar.repair_360day(ymd).cast("string").alias("s")).collect()]
+    assert got == ["9999-12-30", "+10000-01-01", "+26970-01-31", "+12000-03-01", "+10001-03-01", "+26969-03-31", None]
