@@ -78,20 +78,22 @@ def quads(coarse: DataFrame, row: str, col: str, values: Sequence[str], low: int
     """One row for each cell _r, _c that has coarse cells around it, from low to high rows and columns on: their values as v_a_b, and whether they exist as in_a_b.
 
     The neighbourhoods are made of the coarse table, which is small next to the fine one, so that fine rows are joined once and not shuffled for a sum.
+    They are dealt by _r and _c alone, as the join needs them, so that one shuffle does for both.
     """
     steps = [(a, b) for a in range(low, high + 1) for b in range(low, high + 1)]
     sent = coarse.select(*keep, row, col, *values, F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in steps))).alias("o"))
     sent = sent.select(*keep, (F.col(row) - F.col("o.a")).alias("_r"), (F.col(col) - F.col("o.b")).alias("_c"), "o.a", "o.b", *values)
     at = lambda a, b: (F.col("a") == a) & (F.col("b") == b)
     aggs = [F.max(F.when(at(a, b), F.col(v))).alias(f"{v}_{a}_{b}") for v in values for a, b in steps]
-    return sent.groupBy("_r", "_c", *keep).agg(*aggs, *(F.coalesce(F.max(at(a, b)), F.lit(False)).alias(f"in_{a}_{b}") for a, b in steps))
+    return sent.repartition("_r", "_c").groupBy("_r", "_c", *keep).agg(*aggs, *(F.coalesce(F.max(at(a, b)), F.lit(False)).alias(f"in_{a}_{b}") for a, b in steps))
 
 
-def resample(fine: DataFrame, coarse: DataFrame, row: str, col: str, values: Sequence[str], fy: float, fx: float, keep: Sequence[str] = (), method: str = "bilinear") -> DataFrame:
+def resample(fine: DataFrame, coarse: DataFrame, row: str, col: str, values: Sequence[str], fy: float, fx: float, keep: Sequence[str] = (), method: str = "bilinear", carry: Sequence[str] = (), place: bool = False) -> DataFrame:
     """Coarse values at the centres of fine cells, by bilinear, cubic, cubicspline or near; weights are shared out anew over the cells that have a value.
 
     fine is a static grid and fy x fx of its cells make a coarse one; keep names key columns of coarse, such as the time. A fine
-    cell without any coarse cell of weight other than 0 is left out.
+    cell without any coarse cell of weight other than 0 is left out. With the bilinear method, carry names further columns of fine
+    that come along, so that the many rows of the result need no join for them, and place adds _r and _c, by which the result is dealt.
     """
     if method == "near":
         at = fine.select(row, col, (F.floor((F.col(row) - 1) / fy) + 1).cast("int").alias("_r"), (F.floor((F.col(col) - 1) / fx) + 1).cast("int").alias("_c"))
@@ -101,10 +103,11 @@ def resample(fine: DataFrame, coarse: DataFrame, row: str, col: str, values: Seq
         raise ValueError(f"method is near or one of {sorted(KERNELS)}")
     kernel, low, high = KERNELS[method]
     r, c, y, x = _corners(row, col, fy, fx)
-    placed = fine.select(row, col, r.alias("_r"), c.alias("_c"), y.alias("_y"), x.alias("_x"))
+    placed = fine.select(row, col, *carry, r.alias("_r"), c.alias("_c"), y.alias("_y"), x.alias("_x"))
     if high - low > 1:
         return _summed(placed, coarse, row, col, values, kernel, range(low, high + 1), keep)
-    joined = placed.join(quads(coarse, row, col, values, low, high, keep), ["_r", "_c"])
+    # A neighbourhood has many more steps than fine cells, so that the fine cells of a partition are few.
+    joined = (placed.hint("shuffle_hash") if keep else placed).join(quads(coarse, row, col, values, low, high, keep), ["_r", "_c"])
     steps = [(a, b) for a in range(low, high + 1) for b in range(low, high + 1)]
     joined = joined.withColumns({f"_w_{a}_{b}": kernel(F.abs(F.col("_y") - a)) * kernel(F.abs(F.col("_x") - b)) for a, b in steps})
 
@@ -117,7 +120,7 @@ def resample(fine: DataFrame, coarse: DataFrame, row: str, col: str, values: Seq
     some = F.lit(False)
     for a, b in steps:
         some |= F.col(f"in_{a}_{b}") & (F.col(f"_w_{a}_{b}") != 0)
-    return joined.where(some).select(row, col, *keep, *map(mixed, values))
+    return joined.where(some).select(*(("_r", "_c") if place else ()), row, col, *keep, *carry, *map(mixed, values))
 
 
 def _summed(placed: DataFrame, coarse: DataFrame, row: str, col: str, values: Sequence[str], kernel, steps: range, keep: Sequence[str]) -> DataFrame:
@@ -213,6 +216,8 @@ def fill_gaps(df: DataFrame, row: str, col: str, value: str, keep: Sequence[str]
     Blocks of k cells count on layers of k rows or columns and more; on layers of fewer than 5, blocks of 2 x 2 cells do. keep
     names the key columns of a layer, such as the time.
     """
+    if df.where(F.col(value).isNull()).isEmpty():
+        return df.withColumn("filled", F.col(value))
     layer = df.groupBy(*keep).agg(F.greatest(F.max(row), F.max(col)).alias("_size"), F.avg(value).alias("_all"))
     cells, out = df.select(row, col).distinct(), df
     for k in (2, 5, 10, 100):

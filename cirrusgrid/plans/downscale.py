@@ -52,7 +52,7 @@ def to_hourly(daily: DataFrame, cell: Sequence[str], day: str, lat: Column, lon:
 
 
 def elevated(coarse: DataFrame, dtm: DataFrame, land: DataFrame, row: str, col: str, ts: str, temps: Sequence[str], fy: float, fx: float, others: dict[str, Column] | None = None, lift_in: float = 0.0, lift_out: float = 0.0) -> DataFrame:
-    """(row, col, ts, temps, lr_.., others) on the cells of land (row, col, zf): temperatures brought to sea level by the lapse rates of coarse cells, resampled and raised again.
+    """(row, col, ts, temps, lr_.., others) on the cells of land (row, col, zf and what is to come along): temperatures brought to sea level by the lapse rates of coarse cells, resampled and raised again.
 
     coarse has the temperatures, relhum and pres; dtm its elevations, null being sea at 0. lift_in and lift_out are heights of
     measurement above the ground. others are expressions over coarse that are resampled along, so that all share one join.
@@ -62,7 +62,8 @@ def elevated(coarse: DataFrame, dtm: DataFrame, land: DataFrame, row: str, col:
     made = {f"lr_{t}": physics.lapse_rate(F.col(t), F.col("relhum"), F.col("pres")) for t in temps}
     base = base.withColumns(made).withColumns({f"_0_{t}": F.col(t) + F.col(f"lr_{t}") * F.col("_zc") for t in temps} | (others or {}))
     values = [*made, *(f"_0_{t}" for t in temps), *(others or {})]
-    at = grid.resample(land, base.select(row, col, ts, *values), row, col, values, fy, fx, keep=[ts]).join(land, [row, col])
+    also = [c for c in land.columns if c not in (row, col)]
+    at = grid.resample(land, base.select(row, col, ts, *values), row, col, values, fy, fx, keep=[ts], carry=also)
     return at.withColumns({t: F.col(f"_0_{t}") - F.col(f"lr_{t}") * (F.col("zf") + lift_out) for t in temps}).drop(*(f"_0_{t}" for t in temps))
 
 
@@ -77,9 +78,10 @@ def temperatures(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame,
     land = fine_dtm.where("elev is not null").select(row, col, F.col("elev").alias("zf"))
     mid = coarse.withColumn("tmean", (F.col("tmin") + F.col("tmax")) / 2)
     wind = physics.wind_height(F.col("windspeed"), wind_in, height_in) if wind_in != height_in else F.col("windspeed")
+    if drainage is not None:
+        land = land.join(drainage.select(row, col, "potential"), [row, col], "left")
     out = elevated(mid, coarse_dtm, land, row, col, day, ["tmin", "tmax", "tmean"], fy, fx, {"_still": physics.stability(F.col("tmin"), wind, F.lit(0.0), F.col("lwrad"), height_in)}, height_in, height_out)
     if drainage is not None:
-        out = out.join(drainage.select(row, col, "potential"), [row, col], "left")
         fall = physics.cold_air_drop(F.col("lr_tmin"), F.coalesce("potential", F.lit(0.0)), F.when(F.col("_still") >= 1, 1.0).otherwise(0.0))
         out = out.withColumn("tmin", F.col("tmin") + fall)
     if coast is not None:
@@ -94,11 +96,12 @@ def temperatures(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame,
 def cloud_fraction(coarse: DataFrame, coarse_dtm: DataFrame, land: DataFrame, row: str, col: str, ts: str, value: str, fy: float, fx: float) -> DataFrame:
     """(row, col, ts, value): a clear-sky share on the cells of land (row, col, zf), shifted in logits by the height above the coarse terrain."""
     z = coarse_dtm.select(row, col, F.coalesce("elev", F.lit(0.0)).alias("zc"))
-    height = grid.resample(land, z, row, col, ["zc"], fy, fx).join(land, [row, col])
+    height = grid.resample(land, z, row, col, ["zc"], fy, fx, carry=["zf"])
     d, zc = F.col("zf") - F.col("zc"), F.col("zc")
-    moved = height.select(row, col, (-9.938e-3 - 6.550e-4 * d + 4.966e-5 * zc + 1.358e-6 * zc * d).alias("_shift"))
-    at = bias.logit_over(grid.resample(land, coarse, row, col, [value], fy, fx, keep=[ts]), value)
-    return at.join(moved, [row, col]).select(row, col, ts, physics.inverse_logit(F.col(value) + F.col("_shift")).alias(value))
+    moved = height.select(row, col, (-9.938e-3 - 6.550e-4 * d + 4.966e-5 * zc + 1.358e-6 * zc * d).alias("_shift"), F.lit(True).alias("_known"))
+    # Shifts come along with the cells, so that the rows of all steps need no join.
+    at = grid.resample(land.select(row, col).join(moved, [row, col], "left"), coarse, row, col, [value], fy, fx, keep=[ts], carry=["_shift", "_known"])
+    return bias.logit_over(at, value).where("_known").select(row, col, ts, physics.inverse_logit(F.col(value) + F.col("_shift")).alias(value))
 
 
 def clear_share(total: Column, clear: Column) -> Column:
@@ -138,6 +141,8 @@ def to_fine(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame, row:
     All variables share one join. With coefficients (row, col, an array of sectors) the wind follows the terrain.
     """
     land = fine_dtm.where("elev is not null").select(row, col, F.col("elev").alias("zf"))
+    if coefficients is not None:
+        land = land.join(coefficients.select(row, col, "coefficients"), [row, col], "left")
     base = coarse.join(coarse_dtm.select(row, col, F.col("elev").alias("_z")), [row, col])
     others = {
         "p0": physics.atmos_to_sea_pressure(F.col("pres"), F.col("_z")), "ea": physics.satvap(F.col("temp")) * F.col("relhum") / 100, "lwrad": F.col("lwrad"),
@@ -146,8 +151,8 @@ def to_fine(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame, row:
     out = elevated(base, coarse_dtm, land, row, col, ts, ["temp"], fy, fx, others)
     speed = physics.wind_speed(F.col("u"), F.col("v"))
     if coefficients is not None:
-        out = wind.by_sector(out.withColumn("_way", physics.wind_direction(F.col("u"), F.col("v"))), coefficients, [row, col], "_way", wind.SECTORS)
-        speed = speed * F.coalesce("coefficient", F.lit(1.0))
+        out = out.withColumn("_way", physics.wind_direction(F.col("u"), F.col("v")))
+        speed = speed * F.coalesce(wind.of_sector("_way", wind.SECTORS), F.lit(1.0))
     return out.select(
         row, col, ts, "temp",
         physics.clamp(F.col("ea") / physics.satvap(F.col("temp")) * 100, min_humidity, 100.0).alias("relhum"),
