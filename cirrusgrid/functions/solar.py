@@ -92,13 +92,21 @@ def clear_sky_at(sa: Column, tc: float = 15.0, rh: float = 80.0, pk: float = 101
 
 
 def daily_clear_sky(df: DataFrame, jd: Column, lat: Column, lon: Column, to: str, per_hour: int = 1) -> DataFrame:
-    """df with the mean clear-sky radiation of a day, sampled so many times an hour: folded over a sequence, so that no row is multiplied."""
+    """df with the mean clear-sky radiation of a day, sampled so many times an hour; no row is multiplied.
+
+    Hours are columns, which compile; samples in between are folded over a sequence.
+    """
     out = df.withColumns({"_jd": jd, "_phi": F.radians(lat), "_lon": lon}).withColumn("_dec", declination(F.col("_jd")))
     out = out.withColumns({"_a": F.sin("_dec") * F.sin("_phi"), "_b": F.cos("_dec") * F.cos("_phi"), "_st": solar_time(F.lit(0.0), F.col("_lon"), F.col("_jd"))})
-    at = lambda h: clear_sky_at(F.col("_a") + F.col("_b") * F.cos(0.261799 * (F.col("_st") + h - 12)))
+    high = lambda h: F.col("_a") + F.col("_b") * F.cos(0.261799 * (F.col("_st") + h - 12))
     n = 24 * per_hour
-    mean = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda total, i: total + at(i / float(per_hour))) / n
-    return out.withColumn(to, mean).drop("_jd", "_phi", "_lon", "_dec", "_a", "_b", "_st")
+    if per_hour == 1:
+        hours = [f"_h{i}" for i in range(n)]
+        out = out.withColumns({f"_s{i}": high(float(i)) for i in range(n)}).withColumns({h: clear_sky_at(F.col(f"_s{i}")) for i, h in enumerate(hours)})
+        mean = sum((F.col(h) for h in hours), F.lit(0.0)) / n
+    else:
+        mean = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda total, i: total + clear_sky_at(high(i / float(per_hour)))) / n
+    return out.withColumn(to, mean).select(*(c for c in df.columns if c != to), to)
 
 
 def with_diffuse_fraction(df: DataFrame, to: str, sw: Column, jd: Column, lt: Column, lat: Column, lon: Column) -> DataFrame:
