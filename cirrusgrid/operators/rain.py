@@ -73,15 +73,22 @@ def downscale(coarse: DataFrame, coarse_dtm: DataFrame, fine_dtm: DataFrame, row
     Nulls take the mean of blocks, then the median of their day. Days of dry and more count as wet. Coarse cells without elevation are at 0.
     """
     known = grid.fill_gaps(coarse.select(row, col, day, rain), row, col, rain, [day]).select(row, col, day, F.col("filled").alias(rain))
+    land = fine_dtm.where("elev is not null").select(row, col, "elev")
+    static = targets(known, coarse_dtm, land, row, col, rain, fy, fx, dry)
+    ranked = known.join(F.broadcast(regional_ranks(known, day, rain)), day)  # a row a step
+    # Rows of a fine cell lie together by the place of its coarse neighbourhood, so that the windows need no shuffle.
+    daily = grid.resample(static, ranked, row, col, [rain], fy, fx, [day, "regional"], carry=["_total", "_share"], place=True)
+    out = adjust(daily, ["_r", "_c", row, col], day, rain, "regional", F.col("_share"), F.col("_total"))
+    return out.select(row, col, day, F.col("adjusted").alias(rain))
+
+
+def targets(known: DataFrame, coarse_dtm: DataFrame, land: DataFrame, row: str, col: str, rain: str, fy: float, fx: float, dry: float) -> DataFrame:
+    """(row, col, _total, _share): the total and the share of wet days that the cells of land (row, col, elev) are to have."""
     cells = known.groupBy(row, col).agg(F.sum(rain).alias("_total"), F.avg((F.col(rain) >= dry).cast("double")).alias("_share"))
     cells = cells.join(coarse_dtm.select(row, col, F.coalesce("elev", F.lit(0.0)).alias("_zc")), [row, col])
-    land = fine_dtm.where("elev is not null").select(row, col, "elev")
-    static = grid.resample(land, cells, row, col, ["_total", "_share", "_zc"], fy, fx).join(land, [row, col])
+    static = grid.resample(land, cells, row, col, ["_total", "_share", "_zc"], fy, fx, carry=["elev"])
     total, share = elevation_factors(F.col("elev"), F.col("_zc"))
-    static = static.select(row, col, (F.col("_total") * total).alias("_total"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_share") * share)).alias("_share"))
-    daily = grid.resample(land, known, row, col, [rain], fy, fx, [day]).join(static, [row, col]).join(regional_ranks(known, day, rain), day)
-    out = adjust(daily, [row, col], day, rain, "regional", F.col("_share"), F.col("_total"))
-    return out.select(row, col, day, F.col("adjusted").alias(rain))
+    return static.select(row, col, (F.col("_total") * total).alias("_total"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_share") * share)).alias("_share"))
 
 
 def elevation_factors(zf: Column, zc: Column) -> tuple[Column, Column]:
