@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cirrusgrid import sqlfunctions
+from cirrusgrid.fixtures import view
 from cirrusgrid.functions import calendar, crs
 from cirrusgrid.operators import coast, grid, rain, splines, stochastic, temporal, terrain, wind
 from cirrusgrid.plans import downscale
@@ -254,3 +255,39 @@ def test_years_of_five_digits_of_360_days_are_dates(spark):
     df = spark.createDataFrame([(9999, 12, 30), (10000, 1, 1), (26970, 2, 1), (12000, 2, 30), (10001, 2, 30), (26969, 3, 30), (None, 1, 1)], "y int, m int, d int")
     got = [r["s"] for r in df.select(calendar.repair_360day(ymd).cast("string").alias("s")).collect()]
     assert got == ["9999-12-30", "+10000-01-01", "+26970-01-31", "+12000-03-01", "+10001-03-01", "+26969-03-31", None]
+
+
+def above_the_join(df):
+    """What a plan does with the fine rows after the coarse neighbourhoods have been joined."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+    return plan.split("ShuffledHashJoin")[0]
+
+
+def test_fine_rows_are_neither_shuffled_nor_joined_again(spark):
+    dtmc = spark.createDataFrame([(r, c, 100.0 * r) for r in (1, 2, 3) for c in (1, 2, 3)], "r int, c int, elev double")
+    fine = spark.range(144).selectExpr("cast(id % 12 as int) + 1 as r", "cast(id / 12 as int) + 1 as c", "50D * (id % 12) as elev")
+    arrays = fine.select("r", "c", F.array(*(F.lit(1.0),) * 8).alias("coefficients"))
+    cells, where, fine_where = ("r", "c", "d", 4, 4), (F.lit(50.0), F.lit(-4.0)), (F.lit(50.0), F.lit(-4.0))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large to broadcast
+    try:
+        w = coarse_weather(spark)
+        for df in (
+            downscale.cloud_fraction(w.select("r", "c", "d", (F.col("prec") / 8).alias("v")), dtmc, fine.select("r", "c", F.col("elev").alias("zf")), "r", "c", "d", "v", 4, 4),
+            downscale.shortwave(w, dtmc, fine, *cells, where, fine_where),
+            downscale.temperatures(w, dtmc, fine, *cells, drainage=fine.select("r", "c", F.lit(1.0).alias("potential"))),
+            wind.downscale(w, fine, arrays, *cells),
+            rain.downscale(w, dtmc, fine, "r", "c", "d", "prec", 4, 4, 1.0),
+        ):
+            above = above_the_join(df)
+            assert "Exchange hashpartitioning" not in above and "SortMergeJoin" not in above
+            assert "aggregate(" not in above
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_generated_methods_stay_small_enough_to_compile(spark, sf):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    view(spark, sf, "v_day")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
