@@ -279,6 +279,7 @@ def test_fine_rows_are_neither_shuffled_nor_joined_again(spark):
             downscale.temperatures(w, dtmc, fine, *cells, drainage=fine.select("r", "c", F.lit(1.0).alias("potential"))),
             wind.downscale(w, fine, arrays, *cells),
             rain.downscale(w, dtmc, fine, "r", "c", "d", "prec", 4, 4, 1.0),
+            downscale.all_to_fine(w, dtmc, fine, *cells, where, fine_where, coefficients=arrays),
         ):
             above = above_the_join(df)
             assert "Exchange hashpartitioning" not in above and "SortMergeJoin" not in above
@@ -291,3 +292,18 @@ def test_generated_methods_stay_small_enough_to_compile(spark, sf):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     view(spark, sf, "v_day")
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+
+
+def test_extents_of_all_sizes_meet_once_without_comparing_all(spark):
+    rng = np.random.default_rng(5)
+    size = 10 ** rng.uniform(-3, 4, (300, 2))
+    low = rng.uniform(-500, 500, (300, 2))
+    rows = [(i, float(x), float(x + w), float(y), float(y + h)) for i, ((x, y), (w, h)) in enumerate(zip(low, size))]
+    rows += [(300, 0.0, 64.0, 0.0, 64.0), (301, 64.0, 128.0, 0.0, 64.0), (302, 10.0, 10.0, 10.0, 10.0), (303, -1e300, 1e300, 0.0, 1.0), (304, 20.0, 5.0, 0.0, 9.0), (305, None, 1.0, 0.0, 1.0)]
+    e = spark.createDataFrame(rows, "id int, xmin double, xmax double, ymin double, ymax double")
+    met = grid.overlapping(e, e)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    known = [r for r in rows if r[1] is not None]
+    want = sorted((a[0], b[0]) for a in known for b in known if a[1] < b[2] and b[1] < a[2] and a[3] < b[4] and b[3] < a[4])
+    assert sorted((r["a"], r["b"]) for r in met.collect()) == want
