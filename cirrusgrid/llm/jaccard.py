@@ -5,7 +5,8 @@ A text's set is its distinct five-word shingles, as 64-bit hashes. Hashes are or
 n - ceil(4n/5) + 1 first ones, so a tile is formed for every such hash and a band of sizes: sets whose sizes
 differ too much never meet, and texts that share a common passage alone meet in no tile of it unless they
 have little else. In a tile, signatures of ``BITS`` hashed bits bound the overlap of two sets from above;
-only pairs that pass are intersected exactly, on sorted arrays.
+only pairs that pass are intersected exactly, on sorted arrays. A pair is passed over in a tile where the two are known to
+share a larger one, as they meet there.
 
 Only components are asked for. Each set is first intersected with the likeliest of a few sets beside it in
 its first tiles, and then, in tiles that still hold several components, with the likeliest of another one.
@@ -16,7 +17,8 @@ start. Nothing is dropped, so every link between different sets is accounted for
 
 A null, empty or blank text has an empty set and stands alone. Texts of any length count whole. Repeated
 rows repeat in the result. A row without an id links with nothing, and its component is null. Only the id
-and the text are read, so other columns may have any name. An empty table gives an empty result.
+and the text are read, so other columns may have any name. An empty table gives an empty result. Texts are read
+several times, so they should come from a stored table, as a query's do.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ HOT, MOST_HOT = 100, 200_000
 FIRST, BESIDE = 3, 32
 #: In tiles of up to so many sets all pairs are compared at once; of larger ones, first each set with the likeliest other.
 SMALL = 128
+#: A set's rows name its KNOWN largest tiles, by which a pair that meets in many tiles is given out in one or a few.
+KNOWN = 6
 #: Sets, links or tiles of a bounded number are broadcast, more are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -52,7 +56,8 @@ BROADCAST_IDS = 200_000
 def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, k, n, h, bits) of every text: hash and size of its set, its sorted hashes and its signature.
 
-    h and bits are null where a task has given them for an equal set, and without a set or an id.
+    h and bits are null where a task has given them for an equal set, and without a set or an id. They take more room than
+    the texts, so they are not stored but made again by each step that needs them.
     """
     ready(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
@@ -187,6 +192,24 @@ def _tile_rows(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(hash_), batch.column(0).take(take), pa.array(rank < FIRST), pa.array(salts)], names=TILE)
 
 
+def _lists(column: pa.Array) -> np.ndarray:
+    """Lists of up to KNOWN numbers as rows of KNOWN; what a short list lacks is never looked at."""
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(size), KNOWN), np.int64)
+    out[np.repeat(np.arange(len(size)), size), _within(size)] = column.flatten().to_numpy()
+    return out
+
+
+def _met_before(tile: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs of sets whose first tiles are a and b are known to share one before this one: where they share none before, they meet in this one.
+
+    All of a list come before a tile of the set that it doesn't name.
+    """
+    own = a == tile[:, None]
+    before = np.where(own.any(1), own.argmax(1), KNOWN)
+    return ((a[:, :, None] == b[:, None, :]).any(2) & (np.arange(KNOWN) < before[:, None])).any(1)
+
+
 TILE = ["hash", "k", "early", "salts"]
 TILED = ["hash", "band", "block", "askers", "n", "k", "comp", "home", "loose", "asks", "member"]
 
@@ -263,22 +286,23 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @vectors.tidied
 def _compare(batches: Iterator[pa.RecordBatch], every: bool, few: int) -> Iterator[pa.RecordBatch]:
-    """Of tiles or their blocks, (TILED.., bits), sorted: pairs of sets of different components whose signatures allow the similarity.
+    """Of tiles or their blocks, (TILED.., bits, first), sorted: pairs of sets of different components whose signatures allow the similarity.
 
     In a small tile all are compared, in others those that ask with the members: two loose sets once. Two guests are not, as
     they meet where both are at home. Unless every pair is asked for, a set of a large tile is paired with the likeliest member alone.
     """
-    held: tuple[np.ndarray, list[bytes]] = (np.zeros((0, len(TILED)), np.int64), [])
+    held: tuple[np.ndarray, list[bytes], np.ndarray] = (np.zeros((0, len(TILED)), np.int64), [], np.zeros((0, KNOWN), np.int64))
     for batch in _last_too(batches):
         if batch is None:
-            rows, signs = held
+            rows, signs, first = held
             bounds = np.append(np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(1)])) if len(rows) else [], len(rows)).astype(np.int64)
         else:
             rows, signs = np.concatenate([held[0], _columns(batch, *range(len(TILED)))]), held[1] + batch.column(len(TILED)).to_pylist()
+            first = np.concatenate([held[2], _lists(batch.column(len(TILED) + 1))])
             if not len(rows):
                 continue
             bounds = np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(1)]))
-            held = (rows[bounds[-1] :], signs[bounds[-1] :])  # the last tile may go on
+            held = (rows[bounds[-1] :], signs[bounds[-1] :], first[bounds[-1] :])  # the last tile may go on
         size = np.diff(bounds)
         if not len(size):
             continue
@@ -286,9 +310,9 @@ def _compare(batches: Iterator[pa.RecordBatch], every: bool, few: int) -> Iterat
         at = np.flatnonzero(np.repeat(small, size))
         tile = np.repeat(np.arange(len(size)), size)
         if len(at):
-            yield from _all_pairs(rows[at], tile[at], [signs[i] for i in at])
+            yield from _all_pairs(rows[at], tile[at], [signs[i] for i in at], first[at])
         for t in np.flatnonzero(~small):
-            yield from _asked(rows[bounds[t] : bounds[t + 1]], signs[bounds[t] : bounds[t + 1]], every)
+            yield from _asked(rows[bounds[t] : bounds[t + 1]], signs[bounds[t] : bounds[t + 1]], first[bounds[t] : bounds[t + 1]], every)
 
 
 def _last_too(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -296,14 +320,15 @@ def _last_too(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _all_pairs(rows: np.ndarray, tile: np.ndarray, signs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _all_pairs(rows: np.ndarray, tile: np.ndarray, signs: list[bytes], first: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Pairs within small tiles, all tiles at once: each row with the d-th before it, for every d."""
     length = np.fromiter(map(len, signs), np.int64, len(signs))
-    first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-    least = np.repeat(np.minimum.reduceat(length, first), np.diff(np.append(first, len(tile))))
+    begin = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
+    least = np.repeat(np.minimum.reduceat(length, begin), np.diff(np.append(begin, len(tile))))
     for size in np.unique(least):
         own = np.flatnonzero(least == size)
         n, k, comp, home, t = rows[own, 4], rows[own, 5], rows[own, 6], rows[own, 7], tile[own]
+        known, place = first[own], rows[own, 0]
         bits = _folded([signs[i] for i in own], int(size))
         ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
         a, b = [], []
@@ -315,15 +340,18 @@ def _all_pairs(rows: np.ndarray, tile: np.ndarray, signs: list[bytes]) -> Iterat
             apart = (comp[i] != comp[j]) & (home[i] | home[j] == 1) & ((NUM + DEN) * n[j] >= NUM * (n[i] + n[j]))
             i, j = i[apart], j[apart]
             fits = (NUM + DEN) * _most(n[i], n[j], ones[i], ones[j], np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64)) >= NUM * (n[i] + n[j])
-            a.append(k[i[fits]])
-            b.append(k[j[fits]])
+            i, j = i[fits], j[fits]
+            new = ~_met_before(place[i], known[i], known[j])
+            a.append(k[i[new]])
+            b.append(k[j[new]])
         if a:
             yield _pairs(a, b)
 
 
-def _asked(rows: np.ndarray, signs: list[bytes], every: bool) -> Iterator[pa.RecordBatch]:
+def _asked(rows: np.ndarray, signs: list[bytes], first: np.ndarray, every: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of the sets that ask in a block and its members."""
     n, k, comp, home, loose, asks, member = rows[:, 4:].T
+    place = rows[:, 0]
     ask, give = np.flatnonzero(asks), np.flatnonzero(member)
     if not len(ask) or not len(give):
         return
@@ -342,8 +370,9 @@ def _asked(rows: np.ndarray, signs: list[bytes], every: bool) -> Iterator[pa.Rec
             fits = ((NUM + DEN) * most >= NUM * total) & (comp[x, None] != comp[None, y]) & ((home[x, None] | home[None, y]) == 1) & ((loose[None, y] == 0) | (k[x, None] < k[None, y]))
             if every:
                 p, q = np.nonzero(fits)
-                a.append(k[x[p]])
-                b.append(k[y[q]])
+                new = ~_met_before(place[x[p]], first[x[p]], first[y[q]])
+                a.append(k[x[p[new]]])
+                b.append(k[y[q[new]]])
                 if sum(map(len, a)) > 100_000:
                     yield _pairs(a, b)
                     a, b = [], []
@@ -351,9 +380,11 @@ def _asked(rows: np.ndarray, signs: list[bytes], every: bool) -> Iterator[pa.Rec
                 like = np.where(fits, most / total, 0.0)
                 at = like.argmax(1)
                 better = like[np.arange(len(x)), at] > likely
-                likely[better], which[better] = like[better, at[better]], k[y[at[better]]]
-        a.append(k[x[likely > 0]])
-        b.append(which[likely > 0])
+                likely[better], which[better] = like[better, at[better]], y[at[better]]
+        p, q = x[likely > 0], which[likely > 0]
+        new = ~_met_before(place[p], first[p], first[q])
+        a.append(k[p[new]])
+        b.append(k[q[new]])
     if a:
         yield _pairs(a, b)
 
@@ -373,15 +404,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that are similar, stored."""
+def _links(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that are similar, stored; found has (id, k, n) of all texts and docs their (id, t)."""
     pairs = keep(pairs.distinct(), "candidates")
-    named = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    # Sets that no pair names stay where they are; of each pair one set is sent to the other.
-    side = keep(full.where("h is not null").select("k", "h").join(_few(named), "k", "left_semi").groupBy("k").agg(F.first("h").alias("h")), "named")
+    named = keep(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "names")
+    # Only texts of sets that a pair names are split again, one of each set; of each pair one set is sent to the other.
+    ids = found.where("id is not null").join(_few(named), "k", "left_semi").groupBy("k").agg(F.min("id").alias("id")).select("id").distinct()
+    again = sets(docs.join(_few(one := keep(ids, "ids")), "id", "left_semi"), "id", "t").where("h is not null").select("k", "h")
+    side = keep(again.join(_few(named), "k", "left_semi").groupBy("k").agg(F.first("h").alias("h")), "named")
     both = pairs.join(side.toDF("b", "hb").hint("merge"), "b").join(side.toDF("a", "ha").hint("merge"), "a").select("a", "b", "ha", "hb")
     links = keep(both.mapInArrow(_verify, "a long, b long"), "links")
-    for done in (pairs, side):
+    for done in (pairs, named, one, side):
         drop(done)
     return links
 
@@ -402,12 +435,14 @@ def _joined(before: DataFrame | None, links: DataFrame) -> DataFrame:
 def similar_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(id, k, n) of all texts, stored, and (node, root): components of sets k that have a similar set."""
     spark = docs.sparkSession
-    full = keep(sets(docs, id_col, text_col), "sets", "uncompressed")
-    given = full.where("h is not null")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    found = keep(sets(docs, "id", "t").select("id", "k", "n"), "texts")
+    given = sets(docs, "id", "t").where("h is not null")
     counted = given.select("h").mapInArrow(_counted, "hash long, c long").repartition("hash").sortWithinPartitions("hash")
     hot = counted.mapInArrow(partial(_frequent, least=HOT), "hash long, c long").orderBy(F.desc("c"), "hash").limit(MOST_HOT).collect()
     hot = sorted((r["hash"], -(-r["c"] // BLOCK)) for r in hot)
     sent = spark.sparkContext.broadcast((np.array([h for h, _ in hot], np.int64), np.array([b for _, b in hot], np.int64)))
+    release(spark)
     rows = given.select("k", "h").mapInArrow(partial(_tile_rows, sent=sent), "hash long, k long, early boolean, salts int")
     # Hot tiles are met anyway; only the others need their rows together.
     apart = rows.repartition("hash", F.when(F.col("salts") > 0, F.col("k"))).sortWithinPartitions("hash", "k")
@@ -417,16 +452,15 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
 
     early = met.where("early").withColumn("salt", F.when(F.col("salts") > 0, F.pmod("k", F.greatest("salts", F.lit(1)))).otherwise(0))
     early = early.join(signs.hint("merge"), "k").select("hash", "salt", "n", "k", "bits").repartition("hash", "salt").sortWithinPartitions("hash", "salt", "n", "k")
-    label = _joined(None, _links(early.mapInArrow(_beside, "a long, b long"), full))
+    label = _joined(None, _links(early.mapInArrow(_beside, "a long, b long"), found, docs))
     # Small tiles that this leaves mixed are compared whole; in larger ones each set is paired with one, and joined, before all others are.
     for every in (False, True):
         blocks, *stored = _blocks(met, signs, label, SMALL if every else 1)
-        links = _links(blocks.mapInArrow(partial(_compare, every=every, few=SMALL), "a long, b long"), full)
+        links = _links(blocks.mapInArrow(partial(_compare, every=every, few=SMALL), "a long, b long"), found, docs)
         label, before = _joined(label, links), label
         for done in (links, before, *stored):
             drop(done)
-    found = keep(full.select("id", "k", "n"), "texts")
-    for done in (full, met, signs):
+    for done in (met, signs):
         drop(done)
     return found, label
 
@@ -435,7 +469,9 @@ def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tu
     """Blocks of the tiles that hold sets of several components and over so many sets, sorted for _compare, and the stored tables they come from."""
     known = signs.select("k", "n").join(label.withColumnRenamed("node", "k").hint("merge"), "k", "left").select("k", "n", F.coalesce("root", "k").alias("comp"))
     rows = keep(met.select("hash", "k").join(known.hint("merge"), "k"), "labelled")
-    mixed = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where(f"lo <> hi and c > {over}").select("hash")
+    mixed = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where(f"lo <> hi and c > {over}").select("hash", "c")
+    # The order of tiles, the largest first, is the same in every round: a pair that differs until the last one has met in its first tile.
+    first = rows.select("hash", "k").join(mixed, "hash").groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "hash"))), 1, KNOWN)["hash"].alias("first"))
     # A set belongs to its band of sizes, and is a guest in the next one, whose sets may be up to DEN / NUM times as large.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
     at = F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home")))
@@ -452,9 +488,9 @@ def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tu
     here = F.transform(F.sequence(F.lit(0), askers - 1), lambda j: part(own, j, (F.col("loose") == 1) & (j == seat), 1))
     there = F.filter(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: part(i, seat, F.lit(1), 0)), lambda x: x["block"] != own)
     visits = F.when(F.col("loose") == 1, F.concat(here, there)).otherwise(here)
-    placed = placed.select("hash", "band", "n", "k", "comp", "home", "loose", F.explode(visits).alias("x")).select("hash", "band", "x.*", "n", "k", "comp", "home", "loose").join(signs.select("k", "bits").hint("merge"), "k")
+    placed = placed.select("hash", "band", "n", "k", "comp", "home", "loose", F.explode(visits).alias("x")).select("hash", "band", "x.*", "n", "k", "comp", "home", "loose").join(signs.select("k", "bits").hint("merge"), "k").join(first.hint("merge"), "k")
     key = ["hash", "band", "block", "askers"]
-    return placed.select(*TILED, "bits").repartition(*key).sortWithinPartitions(*key, "n", "k"), rows, tiles
+    return placed.select(*TILED, "bits", "first").repartition(*key).sortWithinPartitions(*key, "n", "k"), rows, tiles
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

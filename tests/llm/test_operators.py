@@ -241,6 +241,27 @@ def test_jaccard_join_of_odd_rows(spark, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_join_gives_out_each_pair_once(spark, rng, monkeypatch):
+    base, rows = [f"w{i}" for i in range(400)], []
+    for i in range(30):  # alike, but hardly any similar enough: pairs meet in many tiles
+        own = list(base)
+        for at in rng.sample(range(400), 5):
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own)))
+    given, stored = [], []
+    links, keep = jaccard._links, jaccard.keep
+    monkeypatch.setattr(jaccard, "_links", lambda pairs, *more: given.append([tuple(r) for r in pairs.collect()]) or links(pairs, *more))
+    monkeypatch.setattr(jaccard, "keep", lambda df, tag, *more: stored.append((tag, df.columns)) or keep(df, tag, *more))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["doc_id"]: r["component_id"] for r in out} == brute.components({i: brute.shingles(t) for i, t in rows})
+    assert len(given[1]) > 20 and all(len(set(pairs)) == len(pairs) for pairs in given[1:])
+    assert {tag for tag, columns in stored if "h" in columns} == {"named"}  # only sets that a pair names are stored
+
+
 def test_tile_stream_over_batch_borders(rng):
     rows = sorted((rng.randrange(40), rng.randrange(9), False) for _ in range(200))
     rows = [(h, k, early, 5 * (h % 9 == 0)) for h, k, early in rows]
