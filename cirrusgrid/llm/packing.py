@@ -27,7 +27,7 @@ from .common import keep, ready
 
 CAPACITY, END = 2048, 0
 #: Chunks a worker remembers, and bytes of text it encodes together; neither changes a result.
-MEMO, SLICE = 200_000, 1 << 22
+MEMO, SLICE = 800_000, 1 << 22
 #: Pieces that one cell of a rank holds on average, and cells that are counted together.
 CELL, RUN = 4000, 1000
 
@@ -62,7 +62,7 @@ class Encoder:
         """Remembers chunks; a mark after a letter stands alone, so a word with one is learnt as the word."""
         marked = [c for c in chunks if c[-1] in ",." and c[-2:-1].isalpha()]
         new = set(chunks).difference(marked).union(c[:-1] for c in marked).difference(self.memo)
-        single = [c for c in new if c.isascii() and c.isalpha() or c.isalpha() and c.lower().isalpha()]
+        single = [c for c in new if c.isalpha() and (c.isascii() or c.lower().isalpha())]
         other = list(new.difference(single)) + [",", "."]
         if single:
             ids = np.frombuffer(self.ids([" ".join(single)])[0], "<u4")

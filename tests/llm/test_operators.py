@@ -361,6 +361,15 @@ def test_removing_later_repeats_leaves_one_copy(spark, rng):
     assert {left[w] for p in passages for w in p} == {1}
 
 
+def test_packing_learns_each_of_many_words_once(monkeypatch):
+    coder = packing.Encoder(catalogue.tokenizer("word_bpe_49k.json"))
+    texts = pa.array([" ".join("".join(chr(97 + n // 26**i % 26) for i in range(5)) for n in range(at, at + 50_000)) for at in range(0, 250_000, 50_000)])
+    once, asked, learn = coder.encode(texts, packing.END), [], coder.learn
+    monkeypatch.setattr(coder, "learn", lambda chunks: asked.extend(chunks) or learn(chunks))
+    again = coder.encode(texts, packing.END)
+    assert not asked and all(np.array_equal(a, b) for a, b in zip(once, again, strict=True))
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
