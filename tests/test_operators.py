@@ -4,12 +4,13 @@ import csv
 import datetime as dt
 import glob
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cirrusgrid import sqlfunctions
+from cirrusgrid import catalogue, sqlfunctions
 from cirrusgrid.fixtures import view
 from cirrusgrid.functions import calendar, crs
 from cirrusgrid.operators import coast, grid, rain, splines, stochastic, temporal, terrain, wind
@@ -307,3 +308,18 @@ def test_extents_of_all_sizes_meet_once_without_comparing_all(spark):
     known = [r for r in rows if r[1] is not None]
     want = sorted((a[0], b[0]) for a in known for b in known if a[1] < b[2] and b[1] < a[2] and a[3] < b[4] and b[3] < a[4])
     assert sorted((r["a"], r["b"]) for r in met.collect()) == want
+
+
+def test_plain_rounding_gives_what_round_gives(spark):
+    rng = random.Random(7)
+    odd = [None, 0.0, -0.0, float("nan"), float("inf"), -float("inf"), 1e300, 123456789012.123455, 1e-320, 9999.999995, 10000.000005]
+    ties = [k / 2e5 for k in range(-301, 302)] + [-2.128075, 799.554925, -5.708175, -12.694275]
+    near = [x * (1 + s * 2**-52) for x in ties for s in (-3, -1, 1, 3)]
+    values = odd + ties + near + [rng.uniform(-2000, 2000) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select(F.round("x", 5).alias("want"), catalogue.plainly_rounded(F.col("x"), 5).alias("got"))
+    assert [str(r["got"]) for r in df.collect()] == [str(r["want"]) for r in df.collect()]
+
+
+def test_fine_temperatures_are_rounded_without_decimals(spark, sf):
+    plan = catalogue.QUERIES["temperature_downscale"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ELSE round(") == plan.count("round(") == 3
