@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -105,7 +106,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ready(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
-    @vectors.tidied
+    @partial(vectors.tidied, holds=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch, first, texts in ((b, *part) for b in batches for part in vectors.slices(b.column(1), SLICE)):

@@ -73,6 +73,10 @@ def grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(buckets) & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate(of)
 
 
+#: Bytes of text that are scored together: each comes with some hundred times as many of features.
+SLICE = 1 << 20
+
+
 @dataclass
 class Model:
     """One number a bucket, and the bias, for the logit of label 1."""
@@ -85,7 +89,7 @@ class Model:
 def scores(model: Model, texts: pa.Array) -> np.ndarray:
     """The score of each text, from the sums over its distinct tokens' features."""
     out = [np.zeros(0)]
-    for _, part in vectors.slices(texts):
+    for _, part in vectors.slices(texts, SLICE):
         tokens, at, text = _tokens(part)
         bucket, of = grams(tokens)
         total, number = np.bincount(of, model.weight[bucket], len(tokens)), np.bincount(of, minlength=len(tokens))

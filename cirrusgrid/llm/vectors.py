@@ -29,11 +29,17 @@ def only(name: str, make: Callable[[], object]) -> object:
     return _held[name]
 
 
-def tidied(run: Callable) -> Callable:
-    """A function over batches that hands back the memory it has used once it is through, as workers live on for other steps."""
+def tidied(run: Callable, holds: bool = False) -> Callable:
+    """A function over batches that hands back the memory it has used once it is through, as workers live on for other steps.
+
+    Unless it holds something itself, it first forgets what the worker remembers for another step.
+    """
 
     @functools.wraps(run)
     def whole(batches: Iterator[pa.RecordBatch], *args, **more) -> Iterator[pa.RecordBatch]:
+        if _held and not holds:
+            _held.clear()
+            tidy()
         try:
             yield from run(batches, *args, **more)
         finally:

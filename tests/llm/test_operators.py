@@ -370,6 +370,12 @@ def test_packing_learns_each_of_many_words_once(monkeypatch):
     assert not asked and all(np.array_equal(a, b) for a, b in zip(once, again, strict=True))
 
 
+def test_steps_forget_what_a_worker_remembers_for_others(monkeypatch):
+    monkeypatch.setattr(vectors, "_held", {"encoder": object()})
+    assert list(vectors.tidied(iter, holds=True)([1])) == [1] and vectors._held
+    assert list(vectors.tidied(iter)([1])) == [1] and not vectors._held
+
+
 def test_packing(docs, texts, empty):
     from tokenizers import Tokenizer
 
