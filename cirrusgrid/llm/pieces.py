@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 from collections.abc import Iterator
 from itertools import chain, pairwise
 
@@ -26,7 +27,7 @@ from .common import ready
 
 SPACE = "▁"
 #: Words a worker remembers; beyond that it starts afresh, which changes no result.
-MEMO = 600_000
+MEMO = 1_800_000
 #: Words of up to so many symbols keep their agenda in a list, longer ones in a heap.
 SHORT, NEVER = 48, float("inf")
 
@@ -73,10 +74,15 @@ class PieceModel:
             self.surface[i] = chr(b) if b < 0x80 else "�"
         self.text = [str(i) for i in ids]
         self.runs = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n[^{SPACE}\n]*")
-        self.memo = Memo(self.encode_key)
+        follow = {b for n in self.id for a, b in pairwise(n) if a.isalpha()}
+        self.marks = "".join(c for c in string.punctuation if c not in follow)
+        self.memo, self.tails = Memo(self.encode_key), Memo(self.encode_word)
 
     def encode_key(self, key: str) -> tuple[int, ...]:
-        """A line feed is in no piece and stands alone."""
+        """A line feed is in no piece and stands alone; no piece crosses from a letter to one of the marks, so a word is encoded once for all marks after it."""
+        bare = key.rstrip(self.marks)
+        if len(bare) < len(key) and bare[-1:].isalpha():
+            return self.memo[bare] + self.tails[key[len(bare) :]]
         if key[:1] == "\n":
             return (self.byte[10], *self.encode_word(key[1:]))
         return self.encode_word(SPACE + key)
@@ -136,8 +142,9 @@ class PieceModel:
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text with the end id."""
         memo = self.memo
-        if len(memo) > MEMO:
+        if len(memo) + len(self.tails) > MEMO:
             memo.clear()
+            self.tails.clear()
         return [[*chain.from_iterable(map(memo.__getitem__, self.keys(t))), self.eos] for t in texts]
 
     def agrees(self, text: str, ids: list[int], decoded: str) -> bool:

@@ -47,6 +47,16 @@ def test_every_text_is_held_against_the_library():
     assert not broken.agrees("some of many", ids[-1], "some of any")
 
 
+def test_a_word_is_encoded_once_for_all_marks_after_it(monkeypatch):
+    model, asked = pieces.PieceModel(PIECES), []
+    plain = model.encode_word
+    monkeypatch.setattr(model, "encode_word", lambda word: asked.append(word) or plain(word))
+    texts = ["zorblat zorblat, zorblat. (zorblat) zorblat%%%", "zorblat\nzorblat,\nzorblat", "e\u0301, x\u0301. 日本, \n., a.b, 3.5, ▁. -, '' )\",", ""]
+    for _ in range(2):
+        assert model.encode_batch(texts) == [model.library.encode(t, add_eos=True) for t in texts]
+    assert sum("zorblat" in word for word in asked) == 3  # after a space, a bracket and a line feed
+
+
 def test_decoding_any_ids(rng):
     model = pieces.PieceModel(PIECES)
     for _ in range(300):
