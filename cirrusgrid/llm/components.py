@@ -1,17 +1,36 @@
 """Connected components of a table of links, by large-star and small-star rounds.
 
-Links and labels stay in tables; each round's links are written to the shared folder. Minima are combined
+Up to ``FEW`` links, which are counted, are joined on the driver. More stay in tables, as do
+labels; each round's links are written to the shared folder. Minima are combined
 before the shuffle; joins by a node of very many links are split where Spark finds them skewed. The rounds
 end when every node but the roots has one link, to a root, which is counted exactly.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, keep
 
+FEW = 200_000
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links, in order, and the least node of each one's component."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(node))
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        if (low == high).all():
+            return node, node[root]
+        np.minimum.at(root, high, low)
+        while ((up := root[root]) != root).any():
+            root = up
+
 
 def _unfinished(edges: DataFrame) -> bool:
     """Whether some node has several links up, or links both up and down."""
@@ -21,7 +40,13 @@ def _unfinished(edges: DataFrame) -> bool:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b); root is the least node of its component. Nulls and self-links are left out."""
-    edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = links.where("a <> b").select("a", "b")
+    if links.count() <= FEW:
+        got = links.toArrow()
+        node, root = roots(*(got.column(c).to_numpy() for c in ("a", "b")))
+        kind = dict(links.dtypes)["a"]
+        return links.sparkSession.createDataFrame(pa.table({"node": node, "root": root}), f"node {kind}, root {kind}")
+    edges = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while _unfinished(edges):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Large star: every larger neighbour of a node links to the least of the node and its neighbours.

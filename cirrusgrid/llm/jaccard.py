@@ -51,17 +51,20 @@ SMALL = 128
 KNOWN = 6
 #: Sets, links or tiles of a bounded number are broadcast, more are joined by shuffle.
 BROADCAST_IDS = 200_000
+#: Candidates of up to so many, which are counted, pass through the driver as pairs of numbers; more are joined by shuffle.
+FEW = 200_000
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, k, n, h, bits) of every text: hash and size of its set, its sorted hashes and its signature.
+def sets(docs: DataFrame, id_col: str, text_col: str, columns: str = "id k n") -> DataFrame:
+    """Of id, k, n, h and bits of every text the columns asked for: hash and size of its set, its sorted hashes and its signature.
 
-    h and bits are null where a task has given them for an equal set, and without a set or an id. They take more room than
-    the texts, so they are not stored but made again by each step that needs them.
+    With h or bits, only rows with an id and a set, and of equal sets in a task the first. They take more room than the texts,
+    so they are not stored but made again by each step that needs them.
     """
     ready(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(_sets, f"id {kind}, k long, n int, h binary, bits binary")
+    kinds = {"id": dict(docs.dtypes)[id_col], "k": "long", "n": "int", "h": "binary", "bits": "binary"}
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(partial(_sets, columns=columns.split()), ", ".join(f"{c} {kinds[c]}" for c in columns.split()))
 
 
 def shingles(texts: pa.Array) -> list[np.ndarray]:
@@ -81,23 +84,35 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
 
 
 @vectors.tidied
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
+    large = "h" in columns or "bits" in columns
     for batch in batches:
         for start, texts in vectors.slices(batch.column(1)):
-            found = shingles(texts)
+            found, ids = shingles(texts), batch.column(0).slice(start, len(texts))
             k = [xxhash.xxh64_intdigest(h.tobytes()) - 2**63 for h in found]
-            named = batch.column(0).slice(start, len(texts)).is_valid().to_numpy(zero_copy_only=False)
-            new = np.zeros(len(found), bool)
-            for i, x in enumerate(k):
-                if len(found[i]) and named[i] and x not in seen:
-                    new[i] = True
-                    seen.add(x)
-            if len(seen) > 200_000:
-                seen.clear()
-            signs = [_signature(h) if give else None for h, give in zip(found, new, strict=True)]
-            cols = [batch.column(0).slice(start, len(texts)), pa.array(k, pa.int64()), pa.array([len(h) for h in found], pa.int32()), vectors.blobs(found, new), pa.array(signs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "k", "n", "h", "bits"])
+            take = list(range(len(found)))
+            if large:
+                named, take = ids.is_valid().to_numpy(zero_copy_only=False), []
+                for i, x in enumerate(k):
+                    if len(found[i]) and named[i] and x not in seen:
+                        take.append(i)
+                        seen.add(x)
+                if len(seen) > 200_000:
+                    seen.clear()
+            made = {
+                "id": lambda: ids.take(pa.array(take, pa.int64())),
+                "k": lambda: pa.array([k[i] for i in take], pa.int64()),
+                "n": lambda: pa.array([len(found[i]) for i in take], pa.int32()),
+                "h": lambda: pa.array([found[i].tobytes() for i in take], pa.binary()),
+                "bits": lambda: pa.array([_signature(found[i]) for i in take], pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays([made[c]() for c in columns], names=columns)
+
+
+def _of_sets(batches: Iterator[pa.RecordBatch], run, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """run over the sets of texts in the same worker, which then doesn't hand them through another."""
+    return run(_sets(batches, columns))
 
 
 def _signature(h: np.ndarray) -> bytes:
@@ -389,28 +404,72 @@ def _asked(rows: np.ndarray, signs: list[bytes], first: np.ndarray, every: bool)
         yield _pairs(a, b)
 
 
+def _similar(p: np.ndarray, q: np.ndarray) -> bool:
+    at = np.minimum(np.searchsorted(p, q), len(p) - 1)
+    both = int((p[at] == q).sum())
+    return DEN * both >= NUM * (len(p) + len(q) - both)
+
+
 @vectors.tidied
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets, intersected as sorted arrays, are similar enough."""
     for batch in batches:
         good = []
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-            at = np.minimum(np.searchsorted(p, q), len(p) - 1)
-            both = int((p[at] == q).sum())
-            if DEN * both >= NUM * (len(p) + len(q) - both):
+            if _similar(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)):
                 good.append(i)
         at = pa.array(good, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
 
+@vectors.tidied
+def _verify_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, k, h), sorted by a, b and k: pairs whose sets, one row of each, are similar enough; a set may be there more than once."""
+    pair, sides = None, {}
+    for batch in batches:
+        good = []
+        a, b, k = (batch.column(i).to_pylist() for i in range(3))
+        for i, h in enumerate(batch.column(3)):
+            if pair != (a[i], b[i]):
+                pair, sides = (a[i], b[i]), {}
+            if k[i] not in sides:
+                sides[k[i]] = np.frombuffer(h.as_buffer(), np.int64).copy()
+                if len(sides) == 2 and _similar(*sides.values()):
+                    good.append(pair)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in good], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _few_links(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """As _links, of so few pairs that their ids pass through the driver; only texts of sets that a pair names are shuffled, once a pair."""
+    spark = docs.sparkSession
+    got = pairs.toArrow()
+    p, q = (got.column(i).to_numpy() for i in (0, 1))
+    both = np.unique(np.column_stack([np.minimum(p, q), np.maximum(p, q)]).astype(np.int64), axis=0)
+    ends = pa.table({"k": np.concatenate([both[:, 0], both[:, 1]]), "a": np.tile(both[:, 0], 2), "b": np.tile(both[:, 1], 2)})
+    named = F.broadcast(spark.createDataFrame(pa.table({"k": np.unique(both)}), "k long"))
+    ids = found.where("id is not null").join(named, "k", "left_semi").groupBy("k").agg(F.min("id").alias("id")).select("id").toArrow()
+    one = F.broadcast(spark.createDataFrame(pa.table({"id": ids.column(0).unique()}), found.select("id").schema))
+    side = keep(sets(docs.join(one, "id", "left_semi"), "id", "t", "k h").join(named, "k", "left_semi"), "named")
+    sides = side.join(F.broadcast(spark.createDataFrame(ends, "k long, a long, b long")), "k").select("a", "b", "k", "h")
+    links = keep(sides.repartition("a", "b").sortWithinPartitions("a", "b", "k").mapInArrow(_verify_sides, "a long, b long"), "links")
+    drop(side)
+    return links
+
+
 def _links(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that are similar, stored; found has (id, k, n) of all texts and docs their (id, t)."""
-    pairs = keep(pairs.distinct(), "candidates")
+    given = keep(pairs, "candidates")
+    release(docs.sparkSession)
+    if given.count() <= FEW:
+        links = _few_links(given, found, docs)
+        drop(given)
+        return links
+    pairs = keep(given.distinct(), "candidates")
+    drop(given)
     named = keep(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct(), "names")
     # Only texts of sets that a pair names are split again, one of each set; of each pair one set is sent to the other.
     ids = found.where("id is not null").join(_few(named), "k", "left_semi").groupBy("k").agg(F.min("id").alias("id")).select("id").distinct()
-    again = sets(docs.join(_few(one := keep(ids, "ids")), "id", "left_semi"), "id", "t").where("h is not null").select("k", "h")
+    again = sets(docs.join(_few(one := keep(ids, "ids")), "id", "left_semi"), "id", "t", "k h")
     side = keep(again.join(_few(named), "k", "left_semi").groupBy("k").agg(F.first("h").alias("h")), "named")
     both = pairs.join(side.toDF("b", "hb").hint("merge"), "b").join(side.toDF("a", "ha").hint("merge"), "a").select("a", "b", "ha", "hb")
     links = keep(both.mapInArrow(_verify, "a long, b long"), "links")
@@ -436,18 +495,17 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     """(id, k, n) of all texts, stored, and (node, root): components of sets k that have a similar set."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    found = keep(sets(docs, "id", "t").select("id", "k", "n"), "texts")
-    given = sets(docs, "id", "t").where("h is not null")
-    counted = given.select("h").mapInArrow(_counted, "hash long, c long").repartition("hash").sortWithinPartitions("hash")
+    found = keep(sets(docs, "id", "t"), "texts")
+    counted = docs.mapInArrow(partial(_of_sets, run=_counted, columns=["h"]), "hash long, c long").repartition("hash").sortWithinPartitions("hash")
     hot = counted.mapInArrow(partial(_frequent, least=HOT), "hash long, c long").orderBy(F.desc("c"), "hash").limit(MOST_HOT).collect()
     hot = sorted((r["hash"], -(-r["c"] // BLOCK)) for r in hot)
     sent = spark.sparkContext.broadcast((np.array([h for h, _ in hot], np.int64), np.array([b for _, b in hot], np.int64)))
     release(spark)
-    rows = given.select("k", "h").mapInArrow(partial(_tile_rows, sent=sent), "hash long, k long, early boolean, salts int")
+    rows = docs.mapInArrow(partial(_of_sets, run=partial(_tile_rows, sent=sent), columns=["k", "h"]), "hash long, k long, early boolean, salts int")
     # Hot tiles are met anyway; only the others need their rows together.
     apart = rows.repartition("hash", F.when(F.col("salts") > 0, F.col("k"))).sortWithinPartitions("hash", "k")
     met = keep(apart.mapInArrow(_met, rows.schema), "tiles")
-    signs = keep(given.select("k", "n", "bits").groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "signatures")
+    signs = keep(sets(docs, "id", "t", "k n bits").groupBy("k").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), "signatures")
     release(spark)
 
     early = met.where("early").withColumn("salt", F.when(F.col("salts") > 0, F.pmod("k", F.greatest("salts", F.lit(1)))).otherwise(0))
@@ -465,13 +523,14 @@ def similar_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame
     return found, label
 
 
-def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tuple[DataFrame, ...]:
     """Blocks of the tiles that hold sets of several components and over so many sets, sorted for _compare, and the stored tables they come from."""
     known = signs.select("k", "n").join(label.withColumnRenamed("node", "k").hint("merge"), "k", "left").select("k", "n", F.coalesce("root", "k").alias("comp"))
     rows = keep(met.select("hash", "k").join(known.hint("merge"), "k"), "labelled")
     mixed = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where(f"lo <> hi and c > {over}").select("hash", "c")
     # The order of tiles, the largest first, is the same in every round: a pair that differs until the last one has met in its first tile.
     first = rows.select("hash", "k").join(mixed, "hash").groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "hash"))), 1, KNOWN)["hash"].alias("first"))
+    first = keep(first, "first")
     # A set belongs to its band of sizes, and is a guest in the next one, whose sets may be up to DEN / NUM times as large.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
     at = F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home")))
@@ -488,9 +547,13 @@ def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tu
     here = F.transform(F.sequence(F.lit(0), askers - 1), lambda j: part(own, j, (F.col("loose") == 1) & (j == seat), 1))
     there = F.filter(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: part(i, seat, F.lit(1), 0)), lambda x: x["block"] != own)
     visits = F.when(F.col("loose") == 1, F.concat(here, there)).otherwise(here)
-    placed = placed.select("hash", "band", "n", "k", "comp", "home", "loose", F.explode(visits).alias("x")).select("hash", "band", "x.*", "n", "k", "comp", "home", "loose").join(signs.select("k", "bits").hint("merge"), "k").join(first.hint("merge"), "k")
+    placed = placed.select("hash", "band", "n", "k", "comp", "home", "loose", F.explode(visits).alias("x")).select("hash", "band", "x.*", "n", "k", "comp", "home", "loose")
+    # Stored before the signatures come along, as shuffle files up to here then make room for the largest ones.
+    placed = keep(placed, "placed")
+    release(met.sparkSession)
+    signed = placed.join(signs.select("k", "bits").hint("merge"), "k").join(first.hint("merge"), "k")
     key = ["hash", "band", "block", "askers"]
-    return placed.select(*TILED, "bits", "first").repartition(*key).sortWithinPartitions(*key, "n", "k"), rows, tiles
+    return signed.select(*TILED, "bits", "first").repartition(*key).sortWithinPartitions(*key, "n", "k"), rows, tiles, first, placed
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

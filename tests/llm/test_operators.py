@@ -272,6 +272,48 @@ def test_jaccard_join_gives_out_each_pair_once(spark, rng, monkeypatch):
     assert {tag for tag, columns in stored if "h" in columns} == {"named"}  # only sets that a pair names are stored
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_jaccard_join_by_shuffle_or_driver(spark, rng, few, monkeypatch):
+    rows = near_copies(rng)
+    rows += [(None, rows[0][1]), (rows[0][0], rows[0][1]), (rows[0][0], rows[70][1]), (7, "a b"), (8, ""), (9, None)]
+    stored, keep = [], jaccard.keep
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "FEW", few)
+        monkeypatch.setattr(module, "keep", lambda df, tag, *more, name=module.__name__: stored.append((name.rpartition(".")[2], tag, df.columns)) or keep(df, tag, *more))
+    out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    sets = {i: brute.shingles(t) for i, t in enumerate(t for _, t in rows)}
+    root, ids = brute.components(sets), [i for i, _ in rows]
+    least = {}
+    for i, r in root.items():
+        if sets[i] and ids[i] is not None:
+            least[r] = min(least.get(r, ids[i]), ids[i])
+    want = [(ids[i], len(s), None if ids[i] is None else least[root[i]] if s else ids[i]) for i, s in sets.items()]
+    assert collections.Counter(map(tuple, out)) == collections.Counter(want)
+    assert any(name == "components" for name, _, _ in stored) == (few == 0)  # few links need no table of each round
+    assert {tag for _, tag, columns in stored if "bits" in columns} == {"signatures"} and ("placed" in {tag for _, tag, _ in stored})
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_sides_of_a_pair_over_batch_borders(size):
+    sets = {1: range(10), 2: range(1, 11), 3: range(5), 4: range(11)}
+    rows = [(a, b, k, np.array(sets[k], np.int64).tobytes()) for a, b in ((1, 2), (1, 3), (1, 4), (2, 4)) for k in (a, a, b, b)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + size]]) for c in range(4)], names=["a", "b", "k", "h"]) for i in range(0, len(rows), size)]
+    assert [(r["a"], r["b"]) for x in jaccard._verify_sides(iter(batches)) for r in x.to_pylist()] == [(1, 2), (1, 4), (2, 4)]
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components_by_shuffle_or_driver(spark, rng, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW", few)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(i, i + 1) for i in range(340, 300, -1)]
+    df = spark.createDataFrame([*links, (5, 5), (None, 6)], "a long, b long")
+    root = {x: x for link in links if link[0] != link[1] for x in link}
+    for _ in range(90):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert sorted(map(tuple, components.components(df).collect())) == sorted(root.items())
+
+
 def test_tile_stream_over_batch_borders(rng):
     rows = sorted((rng.randrange(40), rng.randrange(9), False) for _ in range(200))
     rows = [(h, k, early, 5 * (h % 9 == 0)) for h, k, early in rows]
