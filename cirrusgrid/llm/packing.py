@@ -29,6 +29,8 @@ from .common import keep, ready
 CAPACITY, END = 2048, 0
 #: Chunks a worker remembers, and bytes of text it encodes together; neither changes a result.
 MEMO, SLICE = 800_000, 1 << 22
+#: New chunks that the library encodes in one text: it keeps a hundred bytes and more for each token.
+TOGETHER = 1 << 14
 #: Pieces that one cell of a rank holds on average, and cells that are counted together.
 CELL, RUN = 4000, 1000
 
@@ -47,6 +49,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
+        self.most = MEMO
         vocabulary = self.library.get_vocab()
         self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes; each byte is one character of the vocabulary
         self.ends = np.zeros(len(self.size), bool)
@@ -65,35 +68,50 @@ class Encoder:
         new = set(chunks).difference(marked).union(c[:-1] for c in marked).difference(self.memo)
         single = [c for c in new if c.isalpha() and (c.isascii() or c.lower().isalpha())]
         other = list(new.difference(single)) + [",", "."]
-        if single:
-            ids = np.frombuffer(self.ids([" ".join(single)])[0], "<u4")
-            size = [len(c) if c.isascii() else len(unicodedata.normalize("NFC", c).lower().encode()) for c in single]
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) == len(single) and np.array_equal(np.cumsum(self.size[ids])[last - 1], np.cumsum(size)) and last[-1] == len(ids):
-                raw, bounds = ids.tobytes(), [0, *(4 * last).tolist()]
-                self.memo.update(zip(single, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
-            else:
-                other += single
+        for at in range(0, len(single), TOGETHER):
+            other += self._learn_single(single[at : at + TOGETHER])
         self.memo.update(zip(other, self.ids(other), strict=True))
         self.memo.update((c, self.memo[c[:-1]] + self.memo[c[-1]]) for c in marked)
 
+    def _learn_single(self, single: list[str]) -> list[str]:
+        """Remembers chunks of letters; gives back those that must be encoded one by one."""
+        ids = np.frombuffer(self.ids([" ".join(single)])[0], "<u4")
+        size = [len(c) if c.isascii() else len(unicodedata.normalize("NFC", c).lower().encode()) for c in single]
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != len(single) or not np.array_equal(np.cumsum(self.size[ids])[last - 1], np.cumsum(size)) or last[-1] != len(ids):
+            return single
+        raw, bounds = ids.tobytes(), [0, *(4 * last).tolist()]
+        self.memo.update(zip(single, map(raw.__getitem__, map(slice, bounds, bounds[1:])), strict=True))
+        return []
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text's followed by the end id, and the places where each begins and the last ends."""
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo.clear()
         flat, count = vectors.words(texts)
         coded = flat.dictionary_encode()
+        del flat  # here and below, what is not needed any more makes room
         chunks = coded.dictionary.to_pylist()
         self.learn([c for c in chunks if c not in self.memo])
         known = [*map(self.memo.__getitem__, chunks), np.array([end], "<u4").tobytes()]
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        begin = np.cumsum(size) - size
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
         after = np.cumsum(count)
-        at = np.insert(coded.indices.to_numpy().astype(np.int64), after, len(chunks))  # the end id after each text's chunks
+        at = np.insert(coded.indices.to_numpy(), after, len(chunks))  # the end id after each text's chunks
+        raw = np.frombuffer(b"".join(known), "<u4")
+        del coded, chunks, known
         long = size[at]
-        done = np.cumsum(long)
-        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(begin[at] - done + long, long) + np.arange(int(done[-1]) if len(done) else 0)]
-        return ids, np.concatenate([[0], done[after + np.arange(len(after))]])
+        done = np.cumsum(long, dtype=np.int64)
+        bounds = np.concatenate([[0], done[after + np.arange(len(after))]])
+        total = int(bounds[-1])
+        # Places as 32-bit numbers where they fit, as there are many of them.
+        kind = np.int32 if max(total, int(size.sum(dtype=np.int64))) < 2**31 else np.int64
+        begin = (np.cumsum(size, dtype=np.int64) - size).astype(kind)
+        shift = begin[at] - done.astype(kind)
+        shift += long
+        del at, done
+        place = np.repeat(shift, long)
+        place += np.arange(total, dtype=kind)
+        return raw[place], bounds
 
 
 def encoder(path: str) -> Encoder:
@@ -101,15 +119,19 @@ def encoder(path: str) -> Encoder:
     return vectors.only(f"encoder {path}", lambda: Encoder(path))
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every document, cut only where it exceeds capacity; with_ids adds the ids."""
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, with_ids: bool = False, room: tuple[int, int] = (MEMO, SLICE)) -> DataFrame:
+    """(id, piece, start, length, ids_crc32) of every document, cut only where it exceeds capacity; with_ids adds the ids.
+
+    room: chunks a worker remembers, and bytes of text it encodes together; less takes less memory and more time.
+    """
     ready(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     @partial(vectors.tidied, holds=True)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for batch, first, texts in ((b, *part) for b in batches for part in vectors.slices(b.column(1), SLICE)):
+        coder.most = room[0]
+        for batch, first, texts in ((b, *part) for b in batches for part in vectors.slices(b.column(1), room[1])):
             ids, bounds = coder.encode(texts, end)
             number = -(-np.diff(bounds) // capacity)
             row = np.repeat(np.arange(len(number)), number)
@@ -193,7 +215,7 @@ def assign(cut: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFram
     )
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, room: tuple[int, int] = (MEMO, SLICE)) -> DataFrame:
     """Every piece of docs with its sequence and place there."""
-    cut = keep(pieces(docs, path, id_col, text_col, capacity), "pieces")
+    cut = keep(pieces(docs, path, id_col, text_col, capacity, room=room), "pieces")
     return assign(cut, [id_col, "piece", "ids_crc32"], capacity)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from cirrusgrid.llm import catalogue, jaccard, lines, packing, secrets, toxicity
 from cirrusgrid.llm.common import keep, table
 
+#: Chunks a worker remembers while it packs, and bytes of text it encodes together: less than by itself, as earlier stages leave less memory. No result depends on it.
+ROOM = (200_000, 1 << 20)
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -54,7 +56,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every text with its sequence and place."""
-    return packing.pack(docs, catalogue.tokenizer("word_bpe_49k.json"))
+    return packing.pack(docs, catalogue.tokenizer("word_bpe_49k.json"), room=ROOM)
 
 
 STAGES = [

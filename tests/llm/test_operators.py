@@ -422,6 +422,24 @@ def test_packing_learns_each_of_many_words_once(monkeypatch):
     assert not asked and all(np.array_equal(a, b) for a, b in zip(once, again, strict=True))
 
 
+def test_packing_hands_the_library_few_new_words_at_once(monkeypatch):
+    coder, asked = packing.Encoder(WORDS), []
+    plain = coder.ids
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x, é" for i in range(300)), "", "one 12 two."]
+    want = [[*np.frombuffer(x, "<u4").tolist(), 0] for x in plain(texts)]
+    monkeypatch.setattr(packing, "TOGETHER", 40)
+    monkeypatch.setattr(coder, "ids", lambda x: asked.append(max((len(t.split(" ")) for t in x), default=0)) or plain(x))
+    ids, bounds = coder.encode(pa.array(texts), 0)
+    assert [ids[i:j].tolist() for i, j in itertools.pairwise(bounds)] == want and max(asked) == 40
+    ids, bounds = coder.encode(pa.array([], pa.string()), 0)
+    assert len(ids) == 0 and bounds.tolist() == [0]
+
+
+def test_packing_in_little_room(docs):
+    by = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert by(packing.pieces(docs, WORDS, room=(50, 5000))) == by(packing.pieces(docs, WORDS))
+
+
 def test_steps_forget_what_a_worker_remembers_for_others(monkeypatch):
     monkeypatch.setattr(vectors, "_held", {"encoder": object()})
     assert list(vectors.tidied(iter, holds=True)([1])) == [1] and vectors._held
