@@ -30,11 +30,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
-from .common import drop, keep, ready, release
+from .common import drop, keep, ready, release, swept
 from .components import components
 
 # Similarity NUM / DEN or more, shingles of SHINGLE words.
@@ -478,9 +478,10 @@ def _links(pairs: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """rows, to be broadcast if their number, which is counted, is small enough."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+def _few(rows: DataFrame, size: Column | None = None) -> DataFrame:
+    """rows, to be broadcast if their number, or that of what they hold, which is counted, is small enough."""
+    many = rows.count() if size is None else rows.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(rows) if many <= BROADCAST_IDS else rows
 
 
 def _joined(before: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -528,18 +529,23 @@ def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tu
     known = signs.select("k", "n").join(label.withColumnRenamed("node", "k").hint("merge"), "k", "left").select("k", "n", F.coalesce("root", "k").alias("comp"))
     rows = keep(met.select("hash", "k").join(known.hint("merge"), "k"), "labelled")
     mixed = rows.groupBy("hash").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("c")).where(f"lo <> hi and c > {over}").select("hash", "c")
+    mixed = keep(mixed, "shared")
     # The order of tiles, the largest first, is the same in every round: a pair that differs until the last one has met in its first tile.
     first = rows.select("hash", "k").join(mixed, "hash").groupBy("k").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "hash"))), 1, KNOWN)["hash"].alias("first"))
     first = keep(first, "first")
     # A set belongs to its band of sizes, and is a guest in the next one, whose sets may be up to DEN / NUM times as large.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM))).cast("int")
     at = F.array(F.struct(band.alias("band"), F.lit(1).alias("home")), F.struct((band + 1).alias("band"), F.lit(0).alias("home")))
-    banded = rows.join(mixed, "hash", "left_semi").select("hash", "k", "n", "comp", F.explode(at).alias("x")).select("hash", "x.band", "k", "n", "comp", "x.home")
+    banded = rows.join(mixed, "hash", "left_semi").select("hash", "comp", F.explode(at).alias("x")).select("hash", "x.band", "comp", "x.home")
     parts = banded.groupBy("hash", "band", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("home").alias("homes"))
     tiles = parts.groupBy("hash", "band").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("many"), F.count(F.lit(1)).alias("comps"), F.sum("homes").alias("homes"))
-    tiles = keep(tiles.where(f"comps > 1 and homes > 0 and many > {over}").select("hash", "band", F.col("top.comp").alias("top"), "many", (F.col("many") - F.col("top.c")).alias("others")), "mixed")
+    tiles = tiles.where(f"comps > 1 and homes > 0 and many > {over}").select("hash", F.struct("band", F.col("top.comp").alias("top"), "many", (F.col("many") - F.col("top.c")).alias("others")).alias("x"))
+    # A hash's tiles come as one list, so that rows are dealt by hash alone, once, and are doubled only after that.
+    tiles = keep(tiles.groupBy("hash").agg(F.collect_list("x").alias("bands")), "mixed")
     release(met.sparkSession)
-    placed = banded.join(_few(tiles), ["hash", "band"]).withColumn("loose", (F.col("comp") != F.col("top")).cast("int"))
+    own = F.filter("bands", lambda x: (x["band"] == band) | (x["band"] == band + 1))
+    placed = rows.join(_few(tiles, F.size("bands")), "hash").select("hash", "k", "n", "comp", F.explode(own).alias("x")).select("hash", "k", "n", "comp", "x.*")
+    placed = placed.withColumn("home", (F.col("band") == band).cast("int")).withColumn("loose", (F.col("comp") != F.col("top")).cast("int"))
     blocks, askers = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("many", "others"))
     own, seat = (F.pmod(F.xxhash64("k", F.lit(s)), n).cast("int") for s, n in ((1, blocks), (2, askers)))
     # Members stay in their block, and loose sets ask in all blocks; both come in parts of BLOCK.
@@ -550,19 +556,22 @@ def _blocks(met: DataFrame, signs: DataFrame, label: DataFrame, over: int) -> tu
     placed = placed.select("hash", "band", "n", "k", "comp", "home", "loose", F.explode(visits).alias("x")).select("hash", "band", "x.*", "n", "k", "comp", "home", "loose")
     # Stored before the signatures come along, as shuffle files up to here then make room for the largest ones.
     placed = keep(placed, "placed")
+    for done in (rows, mixed, tiles):
+        drop(done)
     release(met.sparkSession)
     signed = placed.join(signs.select("k", "bits").hint("merge"), "k").join(first.hint("merge"), "k")
     key = ["hash", "band", "block", "askers"]
-    return signed.select(*TILED, "bits", "first").repartition(*key).sortWithinPartitions(*key, "n", "k"), rows, tiles, first, placed
+    return signed.select(*TILED, "bits", "first").repartition(*key).sortWithinPartitions(*key, "n", "k"), first, placed
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the least id reachable by links) of every document."""
     ready(docs.sparkSession)
-    found, label = similar_sets(docs, id_col, text_col)
-    label = label.select(F.col("node").alias("k"), "root")
-    rooted = found.select("id", "k", "n").join(label.hint("merge"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    rooted = keep(rooted.select("id", "n", "root"), "rooted")
+    with swept(docs.sparkSession):
+        found, label = similar_sets(docs, id_col, text_col)
+        label = label.select(F.col("node").alias("k"), "root")
+        rooted = found.select("id", "k", "n").join(label.hint("merge"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+        rooted = keep(rooted.select("id", "n", "root"), "rooted")
     full = rooted.where("n > 0")
     least = full.where("id is not null").groupBy("root").agg(F.min("id").alias("component"))
     out = full.join(least.hint("merge"), "root", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component")).alias("component")).unionAll(rooted.where("n = 0").select("id", "n", F.col("id").alias("component")))

@@ -5,6 +5,8 @@ import collections
 import hashlib
 import itertools
 import io
+import os
+import time
 import zipfile
 import zlib
 
@@ -293,6 +295,43 @@ def test_jaccard_join_by_shuffle_or_driver(spark, rng, few, monkeypatch):
     assert {tag for _, tag, columns in stored if "bits" in columns} == {"signatures"} and ("placed" in {tag for _, tag, _ in stored})
 
 
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for top in folders for _, _, files in os.walk(top) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+@pytest.mark.parametrize("ids", [0, 200_000])
+def test_jaccard_join_leaves_no_shuffle_files_and_deals_rows_once(spark, rng, ids, monkeypatch):
+    left, exchanges, keep = [], [], jaccard.keep
+
+    def watched(df, tag, *more):
+        if tag == "placed":
+            exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        before = shuffle_files(spark)
+        out = keep(df, tag, *more)
+        until = time.time() + 3  # Spark removes them on another thread
+        while shuffle_files(spark) - before and time.time() < until:
+            time.sleep(0.02)
+        left.append((tag, len(shuffle_files(spark) - before)))
+        return out
+
+    monkeypatch.setattr(jaccard, "keep", watched)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = near_copies(rng)
+        was = spark.conf.get(key, None)
+        out = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert spark.conf.get(key, None) == was
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["doc_id"]: r["component_id"] for r in out} == brute.components({i: brute.shingles(t) for i, t in rows})
+    assert [x for x in left if x[1]] == []
+    # Rows by hash and, unless they are broadcast, its tiles; rows doubled for two bands are not dealt again.
+    assert exchanges[0] == (2 if ids == 0 else 0)
+
+
 @pytest.mark.parametrize("size", [1, 3, 100])
 def test_sides_of_a_pair_over_batch_borders(size):
     sets = {1: range(10), 2: range(1, 11), 3: range(5), 4: range(11)}
