@@ -4,7 +4,9 @@ import csv
 import datetime as dt
 import glob
 import math
+import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -323,3 +325,30 @@ def test_plain_rounding_gives_what_round_gives(spark):
 def test_fine_temperatures_are_rounded_without_decimals(spark, sf):
     plan = catalogue.QUERIES["temperature_downscale"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ELSE round(") == plan.count("round(") == 3
+
+
+@pytest.mark.parametrize("part", [1 << 40, 1 << 6])  # sides of 4 and, as for large tables, of 8
+def test_neighbourhoods_of_all_tiles_are_whole(spark, tmp_path, monkeypatch, part):
+    monkeypatch.setattr(grid, "PART", part)
+    rng = np.random.default_rng(3)
+    known = {(r, c, t): float(rng.uniform(-9, 9)) for r in range(-3, 20) for c in range(-2, 12) for t in (1, 2) if rng.random() < 0.4}
+    spark.createDataFrame([(*k, v) for k, v in known.items()], "r int, c int, t int, v double").write.parquet(str(tmp_path / "v"))
+    fine = spark.range(46 * 28).selectExpr("cast(id % 46 as int) - 7 as r", "cast(id / 46 as int) - 5 as c")
+    out = grid.resample(fine, spark.read.parquet(str(tmp_path / "v")), "r", "c", ["v"], 2, 2, keep=["t"])
+    want = {}
+    for r, c, t in ((r, c, t) for r in range(-7, 39) for c in range(-5, 23) for t in (1, 2)):
+        y, x = (r - 0.5) / 2 + 0.5, (c - 0.5) / 2 + 0.5
+        near = [(w, known[k]) for a in (0, 1) for b in (0, 1) if (k := (math.floor(y) + a, math.floor(x) + b, t)) in known and (w := (1 - abs(y - k[0])) * (1 - abs(x - k[1])))]
+        if near:
+            want[r, c, t] = sum(w * v for w, v in near) / sum(w for w, _ in near)
+    assert {(x["r"], x["c"], x["t"]): x["v"] for x in out.collect()} == pytest.approx(want)
+
+
+def test_coarse_rows_are_dealt_out_once_and_before_what_is_made_of_them(spark, sf, monkeypatch):
+    monkeypatch.setattr(grid, "PART", 1000)
+    for name in ("temperature_downscale", "spatial_downscale"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        around, dealt, made = plan.index("explode([[0,0],[0,1],[1,0],[1,1]])"), plan.rindex("REPARTITION_BY_NUM"), plan.rindex("lr_t")
+        assert around < dealt and made < dealt and plan.count("Exchange hashpartitioning") == 3
+        read = os.path.getsize(f"{sf}/lineitem.parquet") // 1000
+        assert int(re.search(r"hashpartitioning\(_tr#\d+, _tc#\d+, (\d+)\)", plan).group(1)) >= read  # partitions grow with the input
