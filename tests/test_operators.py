@@ -352,3 +352,8 @@ def test_coarse_rows_are_dealt_out_once_and_before_what_is_made_of_them(spark, s
         assert around < dealt and made < dealt and plan.count("Exchange hashpartitioning") == 3
         read = os.path.getsize(f"{sf}/lineitem.parquet") // 1000
         assert int(re.search(r"hashpartitioning\(_tr#\d+, _tc#\d+, (\d+)\)", plan).group(1)) >= read  # partitions grow with the input
+
+
+def test_fine_weather_is_rounded_without_decimals(spark, sf):
+    plan = catalogue.QUERIES["spatial_downscale"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ELSE round(") == plan.count("round(") == 5
