@@ -357,3 +357,30 @@ def test_coarse_rows_are_dealt_out_once_and_before_what_is_made_of_them(spark, s
 def test_fine_weather_is_rounded_without_decimals(spark, sf):
     plan = catalogue.QUERIES["spatial_downscale"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ELSE round(") == plan.count("round(") == 5
+
+
+def test_limits_of_cells_change_rain_as_windows_do(spark):
+    rng = np.random.default_rng(11)
+    days = [dt.date(2018, 5, 1) + dt.timedelta(k) for k in range(30)]
+    amounts = [0.0, 0.0, 0.0, 1.0, 2.0, 5.5, None]
+    rows = [(r, c, d, amounts[rng.integers(0, 7)]) for r in range(1, 5) for c in range(1, 4) for d in days if rng.random() < 0.8]
+    known = spark.createDataFrame(rows, "r int, c int, d date, prec double").cache()
+    ranked = known.join(rain.numbered_days(rain.regional_ranks(known, "d", "prec"), "d", "regional"), "d")
+    static = [(r, c, None if r == 2 and c == 2 else float(rng.uniform(0, 300)), None if r == 3 and c == 3 else float(rng.choice([0, 0.1, 0.5, 0.9, 1]))) for r in range(1, 13) for c in range(1, 10)]
+    static = spark.createDataFrame(static, "r int, c int, _total double, _share double")
+    keys = ["d", "_at", "_order", "regional"]
+    by_windows = rain.adjust(grid.resample(static, ranked, "r", "c", ["prec"], 3, 3, keys, carry=["_total", "_share"], place=True), ["_tr", "_tc", "r", "c"], "d", "prec", "regional", F.col("_share"), F.col("_total"))
+    found = rain.limits(static, ranked, "r", "c", "prec", 3, 3)
+    cells = static.select("r", "c").join(found, ["r", "c"])
+    by_limits = grid.resample(cells, ranked, "r", "c", ["prec"], 3, 3, keys, carry=[x for x in cells.columns if x[0] == "_"]).withColumn("adjusted", rain.adjusted("prec"))
+    want, got = ({(x["r"], x["c"], x["d"]): x["adjusted"] for x in df.collect()} for df in (by_windows, by_limits))
+    assert len(want) > 2000 and got.keys() == want.keys()
+    assert all(got[k] == want[k] if want[k] is None else got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_no_window_sorts_fine_rows_of_all_variables(spark):
+    dtmc = spark.createDataFrame([(r, c, 100.0 * r) for r in (1, 2, 3) for c in (1, 2, 3)], "r int, c int, elev double")
+    fine = spark.range(144).selectExpr("cast(id % 12 as int) + 1 as r", "cast(id / 12 as int) + 1 as c", "50D * (id % 12) as elev")
+    out = downscale.all_to_fine(coarse_weather(spark), dtmc, fine, "r", "c", "d", 4, 4, (F.lit(50.0), F.lit(-4.0)), (F.lit(50.0), F.lit(-4.0)))
+    above = above_the_join(out)
+    assert "Window" not in above and "Sort" not in above.replace("SortMerge", "")
